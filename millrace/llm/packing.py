@@ -19,7 +19,7 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import partitions, staged, table
@@ -91,27 +91,29 @@ def cut_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CA
 # -- the cutting-stock problem
 
 
-def class_of(length: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
-    """The size of a length's class: itself up to 1/16 of the capacity, then steps of 1/512 and of 1/128 of it, rounded up."""
-    fine, coarse = max(1, capacity // 512), max(1, capacity // 128)
-    step = np.where(length <= capacity // 16, 1, np.where(length <= capacity // 4, fine, coarse))
-    return np.minimum(-(-length // step) * step, capacity)
+def steps(capacity: int = CAPACITY) -> tuple[int, int, int]:
+    """(least, fine, unit): lengths up to ``least`` fall into classes of ``fine`` and fill gaps; longer ones into classes of ``unit``, which the linear program packs."""
+    return capacity // 32, max(1, capacity // 1024), max(1, capacity // 128)
+
+
+def class_of(length: Column, capacity: int = CAPACITY) -> Column:
+    """The size of a length's class: the length rounded up."""
+    least, fine, unit = steps(capacity)
+    up = lambda step: F.ceil(length / step) * step
+    return F.least(F.when(length <= least, up(fine)).otherwise(up(unit)), F.lit(capacity)).cast("long")
 
 
 def knapsack(sizes: np.ndarray, values: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
-    """The most valuable filling (with repeats), and how many of each size it takes."""
+    """The most valuable filling (with repeats), and how many of each size it takes. sizes ascend."""
     worth, last = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    use = np.flatnonzero(values > 0)
-    order = use[np.argsort(sizes[use])]
-    own, value = sizes[order], values[order]
-    fit = np.searchsorted(own, np.arange(capacity + 1), side="right")
+    fit = np.searchsorted(sizes, np.arange(capacity + 1), side="right")
     for c in range(1, capacity + 1):
-        worth[c], last[c] = worth[c - 1], -1
+        worth[c] = worth[c - 1]
         if k := fit[c]:
-            got = worth[c - own[:k]] + value[:k]
+            got = worth[c - sizes[:k]] + values[:k]
             best = int(got.argmax())
             if got[best] > worth[c]:
-                worth[c], last[c] = got[best], order[best]
+                worth[c], last[c] = got[best], best
     taken, c = np.zeros(len(sizes), np.int64), capacity
     while c > 0:
         if last[c] < 0:
@@ -122,19 +124,43 @@ def knapsack(sizes: np.ndarray, values: np.ndarray, capacity: int) -> tuple[floa
     return float(worth[capacity]), taken
 
 
-def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 1e-3, rounds: int = 3000) -> tuple[np.ndarray, np.ndarray]:
-    """Patterns (one a column) and how often the linear program uses each: sum(x) is least, up to ``gap``, with patterns @ x = demand."""
+def _inverse(a: np.ndarray) -> np.ndarray:
+    """Gauss-Jordan; no library threads are started beside the session's."""
+    m = len(a)
+    both = np.hstack([a, np.eye(m)])
+    for i in range(m):
+        k = i + int(np.abs(both[i:, i]).argmax())
+        both[[i, k]] = both[[k, i]]
+        both[i] /= both[i, i]
+        others = np.arange(m) != i
+        both[others] -= np.outer(both[others, i], both[i])
+    return both[:, m:]
+
+
+def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 1e-3, rounds: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+    """Patterns (one a column) and how often the linear program uses each: the sum is least, up to ``gap``, and demand is met or exceeded.
+
+    The basis begins with a pattern of each size alone. A size whose price is negative takes a surplus column; else the
+    knapsack gives the pattern that is worth most. All sizes ascend.
+    """
     m = len(sizes)
     per = capacity // sizes
-    basis = np.diag(per).astype(float)
-    inverse = np.diag(1.0 / per)
-    x = demand / per
+    basis, cost, inverse, x = np.diag(per).astype(float), np.ones(m), np.diag(1.0 / per), demand / per
+    bound = 0.0
     for step in range(rounds):
-        price = inverse.sum(axis=0)
-        worth, taken = knapsack(sizes, price, capacity)
-        if worth <= 1 + gap:  # sum(demand * price) / worth is a lower bound
-            break
-        way = inverse @ taken
+        price = cost @ inverse
+        low = int(price.argmin())
+        if price[low] < -1e-9:
+            column, price_of = np.zeros(m), 0.0
+            column[low] = -1.0
+        else:
+            price = np.maximum(price, 0)
+            worth, taken = knapsack(sizes, price, capacity)
+            bound = max(bound, float(demand @ price) / max(worth, 1.0))
+            if worth <= 1 + 1e-9 or cost @ x <= (1 + gap) * bound:
+                break
+            column, price_of = taken.astype(float), 1.0
+        way = inverse @ column
         up = way > 1e-9
         if not up.any():
             break
@@ -143,15 +169,14 @@ def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap:
         out = int(ratio.argmin())
         theta = ratio[out]
         x = np.maximum(x - theta * way, 0)
-        x[out] = theta
-        basis[:, out] = taken
+        x[out], basis[:, out], cost[out] = theta, column, price_of
         inverse[out] /= way[out]
         others = np.arange(m) != out
         inverse[others] -= np.outer(way[others], inverse[out])
-        if step % 200 == 199:  # keep rounding errors down
-            inverse = np.linalg.inv(basis)
+        if step % 100 == 99:  # keep rounding errors down
+            inverse = _inverse(basis)
             x = np.maximum(inverse @ demand, 0)
-    return basis.astype(np.int64), x
+    return basis[:, cost > 0].astype(np.int64), x[cost > 0]
 
 
 @dataclass
@@ -170,40 +195,37 @@ class Plan:
 
 
 def plan(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> Plan:
-    """Patterns for the whole demand: the linear program's, rounded down, and first-fit for the rest."""
-    patterns: list[tuple[np.ndarray, int]] = []
+    """Patterns for the whole demand (sizes ascend): the linear program's, rounded down, then first-fit, the longest first, for the rest and the short ones."""
+    least, _, unit = steps(capacity)
     rest = demand.copy()
-    if len(sizes):
-        basis, x = column_generation(sizes, demand.astype(float), capacity)
-        for column, n in zip(basis.T, np.floor(x + 1e-6).astype(np.int64), strict=True):
-            if n > 0 and (n := int(min(n, (rest[column > 0] // column[column > 0]).min()))) > 0:
-                patterns.append((column, n))
-                rest = rest - n * column
-    bins: list[np.ndarray] = []
-    space: list[int] = []
-    for i in np.argsort(-sizes) if len(sizes) else ():
-        size, left = int(sizes[i]), int(rest[i])
-        for b in range(len(bins)):
-            if not left:
-                break
-            k = min(left, space[b] // size)
-            if k:
-                bins[b][i] += k
-                space[b] -= k * size
-                left -= k
-        while left:
-            k = min(left, capacity // size)
+    groups: list[list] = []  # [counts of a sequence, number of sequences, tokens left in each]
+    main = np.flatnonzero(sizes > least)
+    if len(main):
+        patterns, x = column_generation(-(-sizes[main] // unit), demand[main].astype(float), capacity // unit)
+        for column, n in zip(patterns.T, np.floor(x + 1e-6).astype(np.int64).tolist(), strict=True):
             own = np.zeros(len(sizes), np.int64)
-            own[i] = k
-            bins.append(own)
-            space.append(capacity - k * size)
-            left -= k
-    patterns += [(b, 1) for b in bins]
+            own[main] = column
+            if n and (space := capacity - int(own @ sizes)) >= 0:
+                groups.append([own, n, space])
+                rest = np.maximum(rest - n * own, 0)
+    for i in range(len(sizes) - 1, -1, -1):
+        size, left = int(sizes[i]), int(rest[i])
+        for g in groups:
+            if left >= g[1] and (k := min(g[2] // size, left // g[1])):
+                g[0][i] += k
+                g[2] -= k * size
+                left -= k * g[1]
+        per = capacity // size
+        for n, k in ((left // per, per), (1, left % per)):
+            if n and k:
+                own = np.zeros(len(sizes), np.int64)
+                own[i] = k
+                groups.append([own, n, capacity - k * size])
     rows, sequence, rank = [], 0, np.zeros(len(sizes), np.int64)
-    for column, n in patterns:
-        for i in np.flatnonzero(column):
-            rows.append((int(i), int(rank[i]), sequence, int(column[i])))
-            rank[i] += n * column[i]
+    for own, n, _ in groups:
+        for i in np.flatnonzero(own).tolist():
+            rows.append((i, int(rank[i]), sequence, int(own[i])))
+            rank[i] += n * own[i]
         sequence += n
     rows.sort()
     at, first, seq, each = (np.array(c, np.int64) for c in (zip(*rows, strict=True) if rows else ((),) * 4))
@@ -215,19 +237,15 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     Pieces of length 1 to ``capacity``; each gets one place, and the places of a sequence follow one another from 0. Equal
     rows are pieces of their own. An empty table gives an empty result. A rerun gives the same result. To the driver go the
-    counts of the length classes, fewer than 400.
+    counts of the length classes, fewer than 200.
     """
     spark = pieces.sparkSession
-    sizes_udf = np.unique(class_of(np.arange(1, capacity + 1), capacity))
-    fine, coarse = max(1, capacity // 512), max(1, capacity // 128)
-    up = lambda step: (F.ceil(F.col("length") / step) * step).cast("long")
-    size = F.least(F.when(F.col("length") <= capacity // 16, F.col("length")).when(F.col("length") <= capacity // 4, up(fine)).otherwise(up(coarse)), F.lit(capacity))
+    size = class_of(F.col("length"), capacity)
     counts = {r["size_"]: r["n"] for r in pieces.groupBy(size.alias("size_")).agg(F.count(F.lit(1)).alias("n")).collect()}
     if any(not 1 <= s <= capacity for s in counts):
         raise ValueError(f"a piece's length is from 1 to {capacity}")
     sizes = np.array(sorted(counts), np.int64)
     made = plan(sizes, np.array([counts[s] for s in sizes.tolist()], np.int64), capacity)
-    assert len(sizes) <= len(sizes_udf)
 
     # ranks: groups of a class by hash, ranked inside and one after the other
     groups = max(16, sum(counts.values()) // GROUP)
