@@ -8,9 +8,11 @@ Both passes handle many words at once, as arrays of (word, position, piece lengt
 
 from __future__ import annotations
 
-import zlib
+import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -18,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import WORD, partitions, staged, table
+from .shared import partitions, staged, table
 
 VOCABULARY = "piece_bpe_32k.model"
 #: About so many documents of each language are learnt from (chosen by a hash of their id); all are, if there are fewer.
@@ -33,6 +35,8 @@ FOLDS = 5
 CACHE = 100_000
 CHARS = 1 << 19
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+#: A word is a run of letters of the lower-cased text.
+_WORD = re.compile(r"[^\W\d_]+")
 
 
 class Vocabulary:
@@ -71,6 +75,12 @@ class Vocabulary:
             out = np.where(self._hashes[own] == hashes, self._ids[own], out)
         return out
 
+    @staticmethod
+    @lru_cache(maxsize=2)
+    def at(path: str) -> Vocabulary:
+        """Loaded once a process."""
+        return Vocabulary(path)
+
     def lattice(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(lengths, ids[word, end, k]): the piece of k + 1 characters that ends after position ``end``, -1 if none. A word starts with U+2581."""
         lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
@@ -208,20 +218,20 @@ def learn(docs: DataFrame, vocabulary: str | None = None, per_language: int = PE
     if len(found) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     languages = sorted(found)
-    size = len(Vocabulary(path).pieces)
+    size = len(Vocabulary.at(path).pieces)
     if not languages:
         return Model([], np.zeros((size, 0)))
     share = F.create_map(*[x for k in languages for x in (F.lit(k), F.lit(min(1.0, per_language / found[k])))])
     number = F.create_map(*[x for i, k in enumerate(languages) for x in (F.lit(k), F.lit(i))])
     sample = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
-    words = sample.select(number[F.col("lang")].alias("language"), F.explode(F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1))).alias("word"))
-    counts = staged(words.groupBy("language", "word").agg(F.count(F.lit(1)).alias("n")).repartition(partitions(spark)), "word-counts")
+    words = sample.select(number[F.col("lang")].cast("long").alias("language"), F.col("text").cast("string").alias("text")).mapInArrow(_counted, "language long, word string, n long")
+    counts = staged(words.groupBy("language", "word").agg(F.sum("n").alias("n")).repartition(partitions(spark)), "word-counts")
     probabilities = np.full((size, len(languages)), 1.0 / size)
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast(probabilities)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            pieces, total = Vocabulary(path), np.zeros(shared.value.shape)
+            pieces, total = Vocabulary.at(path), np.zeros(shared.value.shape)
             for batch in batches:
                 language, word, n = batch.column(0).to_numpy(), batch.column(1).to_pylist(), batch.column(2).to_numpy()
                 for i in np.unique(language):
@@ -238,6 +248,15 @@ def learn(docs: DataFrame, vocabulary: str | None = None, per_language: int = PE
     return Model(languages, probabilities)
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often each batch has each word, by language."""
+    for batch in batches:
+        counts: Counter = Counter()
+        for language, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            counts.update((language, w) for w in _WORD.findall(text.lower()))
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.int64()), pa.array([k[1] for k in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], ["language", "word", "n"])
+
+
 def _has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
@@ -254,7 +273,7 @@ def identify(docs: DataFrame, model: Model, vocabulary: str | None = None, keep:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, pieces = shared.value, Vocabulary(path)
+        m, pieces = shared.value, Vocabulary.at(path)
         known: dict[str, int] = {}
         logs = np.zeros((0, len(m.languages)))
         for batch in batches:
@@ -262,18 +281,19 @@ def identify(docs: DataFrame, model: Model, vocabulary: str | None = None, keep:
             pred: list[str] = []
             score = np.zeros(len(texts))
             for lo in range(0, len(texts), 128):
-                own = [t.split() if m.languages and t and _has_letter(t) else [] for t in texts[lo : lo + 128]]
-                new = list({w for words in own for w in words if w not in known})
+                own = [_WORD.findall(t.lower()) if m.languages and t and _has_letter(t) else [] for t in texts[lo : lo + 128]]
+                words = set().union(*own)
+                new = list(words.difference(known))
                 if new:
                     if len(known) > CACHE:
-                        known, logs, new = {}, logs[:0], list({w for words in own for w in words})
+                        known, logs, new = {}, logs[:0], list(words)
                     known.update(zip(new, range(len(logs), len(logs) + len(new)), strict=True))
                     logs = np.vstack([logs, log_probabilities(new, pieces, m.probabilities)])
                 for i, words in enumerate(own):
                     if not words:
                         pred.append("und")
                         continue
-                    total = logs[[known[w] for w in words]].sum(axis=0)
+                    total = logs[list(map(known.__getitem__, words))].sum(axis=0)
                     best = int(total.argmax())
                     pred.append(m.languages[best])
                     score[lo + i] = 1.0 / np.exp(total - total[best]).sum()

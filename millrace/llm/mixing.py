@@ -31,7 +31,7 @@ GOLDEN = (math.sqrt(5) - 1) / 2
 class Mix:
     sources: DataFrame  # source, sid, source_size, target, quota (whole words), slots
     schedule: DataFrame  # slot, sid, rank
-    pieces: DataFrame  # doc_id, source, size, position (in its source's stream), slot, rank, copy, start, length (words)
+    pieces: DataFrame  # doc_id, source, size, position (in its source's stream), slot, rank, copy, start, length (words), text_hash
 
 
 def targets(sizes: list[int], weights: list[float], most: float = 3.0) -> list[float]:
@@ -80,7 +80,7 @@ def mix_sources(docs: DataFrame, weights=(5.0, 2.0, 1.0), most: float = 3.0, slo
     alike. An empty table gives empty results. Other columns are ignored. Reruns agree.
     """
     spark = docs.sparkSession
-    sized = staged(docs.select(F.col("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size")), "sizes")
+    sized = staged(docs.select(F.col("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), F.xxhash64(F.col("text").cast("string")).alias("text_hash")), "sizes")
     rows = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("docs")).limit(MAX_SOURCES + 1).collect()
     if len(rows) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
@@ -114,10 +114,26 @@ def mix_sources(docs: DataFrame, weights=(5.0, 2.0, 1.0), most: float = 3.0, slo
     edge = lambda r: F.expr(f"({r}) * quota div slots")
     start = F.greatest("lo", edge("rank"))
     piece = d.withColumn("start", start - F.col("lo")).withColumn("length", F.when(F.col("used"), F.least("hi", edge("rank + 1")) - start).otherwise(0))
-    pieces = piece.join(F.broadcast(slots_df), ["sid", "rank"], "left").select("doc_id", "source", "size", "position", "slot", "rank", "copy", "start", "length", "source_size", "target")
+    pieces = piece.join(F.broadcast(slots_df), ["sid", "rank"], "left").select("doc_id", "source", "size", "position", "slot", "rank", "copy", "start", "length", "source_size", "target", "text_hash")
     return Mix(sources, slots_df, pieces)
 
 
+def mixed_documents(docs: DataFrame, mix: Mix) -> DataFrame:
+    """The rows of ``docs`` that the mix takes, as often as it takes them; a text that it takes in part is cut after its last word taken.
+
+    ``docs`` has doc_id, text, source, n_chars and may have other columns; n_chars follows the cut.
+    """
+    taken = mix.pieces.where("length > 0").groupBy("doc_id", "source", "size", "text_hash", "position", "copy").agg(F.sum("length").alias("taken_"))
+    taken = taken.select(F.col("doc_id").alias("d_"), F.col("source").alias("s_"), F.col("text_hash").alias("h_"), F.col("size").alias("size_"), "taken_")
+    hashed = docs.withColumn("h0_", F.xxhash64(F.col("text").cast("string")))
+    # equal rows are taken one by one, so one of them stands for all
+    one = hashed.dropDuplicates(["doc_id", "source", "h0_"])
+    joined = one.join(taken, one["doc_id"].eqNullSafe(taken["d_"]) & one["source"].cast("string").eqNullSafe(taken["s_"]) & (one["h0_"] == taken["h_"]))
+    cut = F.regexp_extract("text", F.concat(F.lit(r"^([\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]+){"), (F.col("taken_") - 1).cast("string"), F.lit(r"}[^\x20\x09-\x0D]+)")), F.lit(1))
+    text = F.when(F.col("taken_") < F.col("size_"), cut).otherwise(F.col("text"))
+    return joined.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = mix_sources(table(spark, sf_dir, "documents")).pieces
     # position tells documents apart, but for empty ones, of which every row has one piece
