@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
 from ..functions.ordering import last_known, numbered
 
@@ -47,9 +48,7 @@ def checked(models: dict[str, object], inputs: dict[str, str], every: dict[str,
 def infer(df: DataFrame, models: dict[str, Load], inputs: dict[str, str]) -> DataFrame:
     """``df`` with a column array<float> for each model, of its output for the array column that ``inputs`` names. A null input gives null."""
     checked(models, inputs)
-    schema = df.schema
-    for m in models:
-        schema = schema.add(m, "array<float>")
+    schema = StructType([*df.schema.fields, *[StructField(m, ArrayType(FloatType())) for m in models]])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         loaded = {m: load() for m, load in models.items()}

@@ -1,0 +1,97 @@
+"""Wiring operators by name: a thin layer that turns a graph of DataFrame functions into DataFrames. Spark plans and runs them."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from dataclasses import dataclass, field
+
+from pyspark.sql import DataFrame
+
+Frames = dict[str, DataFrame]
+
+
+@dataclass
+class Node:
+    """``run`` takes its inputs by port (a port of several flows gets a list, in the order they were added) and returns its outputs by port."""
+
+    name: str
+    run: Callable[..., DataFrame | Frames]
+    inputs: tuple[str, ...] = ()
+    outputs: tuple[str, ...] = ("out",)
+    many: tuple[str, ...] = ()
+
+
+def operator(inputs: str | tuple[str, ...] = (), outputs: str | tuple[str, ...] = "out", many: tuple[str, ...] = ()):
+    """Turn a function of DataFrames into a node of its name."""
+
+    def made(f: Callable) -> Node:
+        one = lambda x: (x,) if isinstance(x, str) else tuple(x)
+        return Node(f.__name__, f, one(inputs), one(outputs), many)
+
+    return made
+
+
+@dataclass
+class Flow:
+    nodes: dict[str, Node] = field(default_factory=dict)
+    edges: list[tuple[str, str, str, str]] = field(default_factory=list)  # (source, port, target, port)
+
+    def add(self, node: Node, name: str | None = None) -> str:
+        name = name or node.name
+        if name in self.nodes:
+            raise ValueError(f"there is a node {name!r} already")
+        self.nodes[name] = node
+        return name
+
+    def connect(self, source: str, target: str, ports: list[tuple[str, str]] | None = None) -> None:
+        """Flows between two nodes; without ``ports``, both must have one to connect."""
+        for n in (source, target):
+            if n not in self.nodes:
+                raise ValueError(f"no node {n!r}")
+        a, b = self.nodes[source], self.nodes[target]
+        if ports is None:
+            if len(a.outputs) != 1 or len(b.inputs) != 1:
+                raise ValueError(f"{source} -> {target}: name the ports, {list(a.outputs)} and {list(b.inputs)}")
+            ports = [(a.outputs[0], b.inputs[0])]
+        for out, into in ports:
+            if out not in a.outputs or into not in b.inputs:
+                raise ValueError(f"no flow from {source}.{out} to {target}.{into}")
+            if into not in b.many and any(e[2:] == (target, into) for e in self.edges):
+                raise ValueError(f"{target}.{into} is taken")
+            self.edges.append((source, out, target, into))
+
+    def embed(self, prefix: str, part: Flow) -> None:
+        """Another flow's nodes and edges, their names behind ``prefix``."""
+        for name, node in part.nodes.items():
+            self.add(node, f"{prefix}_{name}")
+        self.edges += [(f"{prefix}_{a}", x, f"{prefix}_{b}", y) for a, x, b, y in part.edges]
+
+    def order(self) -> list[str]:
+        """Nodes after all that feed them; a cycle is an error."""
+        left, out = {n: {e[0] for e in self.edges if e[2] == n} for n in self.nodes}, []
+        while left:
+            ready = [n for n, before in left.items() if not before & left.keys()]
+            if not ready:
+                raise ValueError(f"a cycle among {sorted(left)}")
+            out += ready
+            for n in ready:
+                del left[n]
+        return out
+
+    def frames(self) -> dict[tuple[str, str], DataFrame]:
+        """The DataFrame of each output port. An output that feeds several nodes is one DataFrame."""
+        made: dict[tuple[str, str], DataFrame] = {}
+        for name in self.order():
+            node = self.nodes[name]
+            given = {}
+            for port in node.inputs:
+                came = [made[e[:2]] for e in self.edges if e[2:] == (name, port)]
+                if not came and port not in node.many:
+                    raise ValueError(f"nothing flows into {name}.{port}")
+                given[port] = came if port in node.many else came[0]
+            got = node.run(**given)
+            got = {node.outputs[0]: got} if isinstance(got, DataFrame) else got or {}
+            if missing := set(node.outputs) - set(got):
+                raise ValueError(f"{name} did not return {sorted(missing)}")
+            made.update({(name, port): df for port, df in got.items()})
+        return made
