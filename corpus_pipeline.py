@@ -30,10 +30,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group; rows without a doc_id stay if nothing with one is like them."""
+    """The document with the smallest doc_id of each group; rows without a doc_id stay. Rows that share a doc_id stay or go together."""
     groups = simhash.similar_groups(docs)
-    kept = groups.where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).where("doc_id is not null").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    kept = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct().withColumn("kept_", F.lit(True))
+    return docs.select(*COLUMNS).join(kept, "doc_id", "left").where("kept_ or doc_id is null").select(*COLUMNS)
 
 
 def _without_repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

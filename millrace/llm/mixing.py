@@ -129,7 +129,8 @@ def mixed_documents(docs: DataFrame, mix: Mix) -> DataFrame:
     # equal rows are taken one by one, so one of them stands for all
     one = hashed.dropDuplicates(["doc_id", "source", "h0_"])
     joined = one.join(taken, one["doc_id"].eqNullSafe(taken["d_"]) & one["source"].cast("string").eqNullSafe(taken["s_"]) & (one["h0_"] == taken["h_"]))
-    cut = F.regexp_extract("text", F.concat(F.lit(r"^([\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]+){"), (F.col("taken_") - 1).cast("string"), F.lit(r"}[^\x20\x09-\x0D]+)")), F.lit(1))
+    words = F.regexp_extract_all("text", F.lit(f"([\\x20\\x09-\\x0D]*{WORD})"), F.lit(1))  # each with the white space before it
+    cut = F.array_join(F.slice(words, F.lit(1), F.col("taken_").cast("int")), "")
     text = F.when(F.col("taken_") < F.col("size_"), cut).otherwise(F.col("text"))
     return joined.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
