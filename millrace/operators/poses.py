@@ -113,3 +113,45 @@ def between(paths: DataFrame, pairs: DataFrame) -> DataFrame:
     a = paths.select(F.col("frame").alias("lhs"), F.col("root").alias("a_"), F.col("pose").alias("p_"))
     b = paths.select(F.col("frame").alias("rhs"), F.col("root").alias("b_"), F.col("pose").alias("q_"))
     return pairs.join(a, "lhs").join(b, "rhs").where("a_ = b_").select("lhs", "rhs", multiply(inverse(F.col("p_")), F.col("q_")).alias("pose"))
+
+
+#: The longest name of a frame.
+MOST_NAME = 127
+
+
+def frame_problems(frames: DataFrame) -> DataFrame:
+    """(frame, problem): names that are empty, too long, begin with an underscore, or are there twice; frames whose parent is missing."""
+    counts = frames.groupBy("frame").agg(F.count(F.lit(1)).alias("n_"), F.max("parent").alias("parent"))
+    known = counts.select(F.col("frame").alias("parent"), F.lit(True).alias("known_"))
+    found = F.array(
+        F.when(F.col("frame").isNull() | (F.col("frame") == ""), "no name"),
+        F.when(F.length("frame") > MOST_NAME, "long name"),
+        F.when(F.col("frame").startswith("_"), "reserved name"),
+        F.when(F.col("n_") > 1, "repeated name"),
+        F.when(F.col("parent").isNotNull() & F.col("known_").isNull(), "no such parent"),
+    )
+    joined = counts.join(known, "parent", "left")
+    return joined.select("frame", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("problem"))
+
+
+def canonical(edges: DataFrame) -> DataFrame:
+    """``edges`` (lhs, rhs, pose, ...) with lhs < rhs: those the other way round are turned and their poses inverted."""
+    turn = F.col("lhs") > F.col("rhs")
+    both = edges.withColumn("pose", F.when(turn, inverse(F.col("pose"))).otherwise(F.col("pose")))
+    return both.withColumns({"lhs": F.least("lhs", "rhs"), "rhs": F.greatest("lhs", "rhs")})
+
+
+def is_rigid(pose: Column, tolerance: float = 1e-6) -> Column:
+    """Whether all seven numbers are finite and the quaternion has length 1."""
+    finite = F.lit(True)
+    for c in ("qw", "qx", "qy", "qz", "tx", "ty", "tz"):
+        finite = finite & pose[c].isNotNull() & ~F.isnan(pose[c]) & (F.abs(pose[c]) < float("inf"))
+    norm = sum((pose[c] * pose[c] for c in ("qx", "qy", "qz")), pose["qw"] * pose["qw"])
+    return finite & (F.abs(norm - 1) < tolerance)
+
+
+def disconnected(history: DataFrame, cuts: DataFrame, edge: list[str], at: str, value: str) -> DataFrame:
+    """``history`` with a sample that is not valid for each of ``cuts`` (edge, at, version)."""
+    kind = dict(history.dtypes)[value]
+    gone = cuts.select(*edge, at, "version", F.lit(None).cast(kind).alias(value), F.lit(False).alias("valid"))
+    return history.unionByName(gone, allowMissingColumns=True)

@@ -13,6 +13,7 @@ from ..functions.ordering import DAY_US, day, micros
 from ..functions.rotations import about_z, pose
 from ..operators import conditions, images, inference, poses, queues, routing, tracking
 from ..sources import recording
+from .process import process
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -607,3 +608,28 @@ UNION ALL SELECT 'n' || n_nationkey, 2, r_regionkey, n_nationkey FROM nation JOI
 def pose_compose(spark, sf_dir):
     out = poses.to_root(_frames(spark, sf_dir), 3)
     return out.select("frame", "depth", *[(F.round(f"pose.{c}", 6) + 0.0).alias(c) for c in ("tx", "ty")])
+
+
+@query("""SELECT 'n' || n_nationkey AS lhs, 'r' || r_regionkey AS rhs, 0.0::double AS tx, n_nationkey::double AS ty FROM nation JOIN region ON r_regionkey = n_regionkey
+UNION ALL SELECT 'r' || r_regionkey, 'world', 0.0, r_regionkey FROM region UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, 0.0, c_custkey FROM customer""")
+def pose_canonical(spark, sf_dir):
+    """Edges from child to parent are in order already, so each parent's edge to its child is turned round."""
+    edges = _frames(spark, sf_dir).where("parent is not null").select(F.col("parent").alias("lhs"), F.col("frame").alias("rhs"), "pose")
+    out = poses.canonical(edges).where(poses.is_rigid(F.col("pose")))
+    return out.select("lhs", "rhs", *[(F.round(f"pose.{c}", 6) + 0.0).alias(c) for c in ("tx", "ty")])
+
+
+@query("""WITH f AS (SELECT CASE WHEN event_type = 'error' THEN '_' || event_id WHEN event_id % 50 = 0 THEN '' ELSE 'f' || (event_id % 5000) END AS frame, 'f' || (event_id % 7000) AS parent FROM events),
+c AS (SELECT frame, count(*) AS n, max(parent) AS parent FROM f GROUP BY frame)
+SELECT frame, 'no name' AS problem FROM c WHERE frame = '' UNION ALL SELECT frame, 'reserved name' FROM c WHERE starts_with(frame, '_') UNION ALL SELECT frame, 'repeated name' FROM c WHERE n > 1
+UNION ALL SELECT frame, 'no such parent' FROM c WHERE NOT EXISTS (SELECT 1 FROM c d WHERE d.frame = c.parent)""")
+def frame_problems(spark, sf_dir):
+    e = _events(spark, sf_dir)
+    name = F.when(F.col("event_type") == "error", F.concat(F.lit("_"), "event_id")).when(F.col("event_id") % 50 == 0, "").otherwise(F.concat(F.lit("f"), F.col("event_id") % 5000))
+    return poses.frame_problems(e.select(name.alias("frame"), F.concat(F.lit("f"), F.col("event_id") % 7000).alias("parent")))
+
+
+@query(f"""WITH u AS (SELECT vec_id, {_U8} AS u FROM embeddings) SELECT vec_id, array_to_string(list_transform(u[1:3], lambda x: x::varchar), ', ') || ', ...' AS line, u[3] AS blue FROM u""")
+def process_chain(spark, sf_dir):
+    steps = {"line": ("v", [("rescale_down", {"lo": -0.5, "hi": 0.5}), ("printed", {"most": 3})]), "bgra": ("v", [("rescale_down", {"lo": -0.5, "hi": 0.5}), ("reorder_channels", {"channels": 4, "order": [2, 1, 0, 3]})])}
+    return process(_vectors(spark, sf_dir), steps).select("vec_id", "line", F.col("bgra")[0].alias("blue"))

@@ -234,3 +234,20 @@ def test_log_filter_denies_first(spark):
     df = spark.createDataFrame([("a.in",), ("a.out",), ("b.in",)], "n string")
     got = [r["n"] for r in df.where(tracking.log_filter(F.col("n"), allow=["in"], deny=["^b"])).collect()]
     assert got == ["a.in"]
+
+
+def test_process_checks_its_configuration(spark):
+    from millrace.plans.process import process
+
+    df = spark.createDataFrame([([0.0, 1.0],)], "v array<double>")
+    assert process(df, {"t": ("v", [("rescale_down", {}), ("printed", {})])}).first()["t"] == "0, 255"
+    for bad in ({}, {"v": ("v", [("printed", {})])}, {"": ("v", [("printed", {})])}, {"t": ("w", [("printed", {})])}, {"t": ("v", [])}, {"t": ("v", [("none", {})])}):
+        with pytest.raises(ValueError):
+            process(df, bad)
+
+
+def test_rigid_poses_and_cuts(spark):
+    df = spark.range(1).select(rotations.pose(1, 0, 0, 0, 0, 0, 0).alias("a"), rotations.pose(1, 1, 0, 0, 0, 0, 0).alias("b"), rotations.pose(1, 0, 0, 0, math.nan, 0, 0).alias("c"))
+    assert tuple(df.select(*[poses.is_rigid(F.col(c)) for c in "abc"]).first()) == (True, False, False)
+    cut = poses.disconnected(history(spark, TWO), spark.createDataFrame([(1, 3.0, 3)], "edge int, t double, version long"), ["edge"], "t", "x")
+    assert cut.where("not valid").count() == 1
