@@ -7,7 +7,7 @@ segments with equal anchor strings. Segments whose anchor occurs once are done;
 its count, before and after the shuffle. The different segments that share an anchor are gathered into blocks of bounded
 size, each block gets a run-length index, and one stream over it gives the matching statistics: windows that match
 ``length`` bytes elsewhere are marked. Anchors with more than ``most`` different segments have no bounded block; their
-windows are counted by hash instead, one row a window, which is exact and splits by content.
+windows are counted by hash instead, dealt by hash into parts of bounded size, which is exact and splits by content.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ LENGTH = 400
 ANCHOR = 128
 #: The most different segments of an anchor that are indexed together.
 MOST = 512
+#: Segments with more companions deal their windows to PARTS parts for every PART of them.
+PARTS, PART = 16, 1 << 16
 #: Bytes that are hashed, or indexed, at once.
 CHUNK = 1 << 20
 
@@ -115,7 +117,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 rows["many"].append(w["many"])
                 rows["bytes"].append(whole[w["first"] : w["past"]])
         if rows["key"]:
-            yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([("key", pa.int64()), ("sig", pa.int64()), ("copies", pa.int64()), ("many", pa.bool_()), ("bytes", pa.binary())]))
+            yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([("key", pa.int64()), ("sig", pa.int64()), ("copies", pa.int64()), ("many", pa.int64()), ("bytes", pa.binary())]))
 
 
 def runs_of(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -164,17 +166,53 @@ def _index(length: int) -> Callable:
 
 
 def _windows(length: int) -> Callable:
+    """For each segment, its windows' hashes and places in ``parts`` rows, dealt by hash, so equal windows meet in a part."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, sig, copies, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            rows: list[tuple] = []
+            for key, sig, copies, parts, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 data = np.frombuffer(text, np.uint8)
                 h, n = prefix_hashes(data), len(data) - length + 1
                 w = mixed((h[length:] - h[:-length]) * powers(n)[1])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, key)), pa.array(np.full(n, sig)), pa.array(np.full(n, copies)), pa.array(np.arange(n)), pa.array(w.view(np.int64))], ["key", "sig", "copies", "x", "window"])
+                part = (w % np.uint64(parts)).astype(np.int64)
+                order = np.argsort(part, kind="stable")
+                first = np.flatnonzero(np.diff(part[order], prepend=-1))
+                for lo, hi in zip(first.tolist(), [*first[1:].tolist(), n], strict=True):
+                    own = order[lo:hi]
+                    rows.append((key, int(part[own[0]]), sig, copies, w[own].tobytes(), own.astype("<i4").tobytes()))
+            if rows:
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["key", "part", "sig", "copies", "windows", "places"])
 
     return run
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by (key, part), about PART segments to one; the places of windows that occur more than once."""
+    rows: list[tuple] = []
+
+    def flush() -> pa.RecordBatch:
+        windows = [np.frombuffer(r[4], np.uint64) for r in rows]
+        flat, of = np.concatenate(windows), np.repeat(np.arange(len(rows)), [len(w) for w in windows])
+        _, back = np.unique(flat, return_inverse=True)
+        often = np.bincount(back, weights=np.array([r[3] for r in rows])[of])[back] > 1
+        places = np.concatenate([np.frombuffer(r[5], "<i4") for r in rows])[often]
+        of = of[often]
+        row, n = np.unique(of, return_counts=True)
+        ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array([rows[i][0] for i in row], pa.int64()), pa.array([rows[i][2] for i in row], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(places.astype(np.int64)))], ["key", "sig", "xs"])
+
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if rows and row[:2] != rows[-1][:2]:
+                yield flush()
+                rows.clear()
+            rows.append(row)
+    if rows:
+        yield flush()
+
+
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for key, sig, xs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -189,23 +227,25 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     n = partitions(keyed.sparkSession)
     found = staged(keyed.select("d1", "d2", "text").mapInArrow(_find(length, anchor), "d1 long, d2 long, first long, more long, key long, sig long"), "segments")
     again = found.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("sig").alias("a"), F.max("sig").alias("b")).where("n > 1").select("key", (F.col("a") != F.col("b")).alias("differ"))
+    again = staged(again, "met-anchors")  # a plain table: a skewed join with it can be split
     met = staged(found.join(again, "key"), "met-segments")
 
     differ = met.where("differ").groupBy("key", "sig").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("d1", "d2", "first", "more")).alias("one"))
     differ = staged(differ, "differing-segments")
-    many = differ.groupBy("key").agg((F.count(F.lit(1)) > most).alias("many"))
+    many = differ.groupBy("key").agg(F.when(F.count(F.lit(1)) > most, PARTS * F.ceil(F.count(F.lit(1)) / PART)).otherwise(0).alias("many"))
+    many = staged(many, "crowded-anchors")
     wanted = differ.join(many, "key").select("one.d1", "one.d2", F.struct("key", "sig", "copies", "many", F.col("one.first").alias("first"), (F.col("one.first") + F.col("one.more") + length).alias("past")).alias("w"))
     wanted = wanted.groupBy("d1", "d2").agg(F.collect_list("w").alias("wanted"))
     # of equal rows one is enough
-    cut = keyed.join(wanted, ["d1", "d2"]).select(F.col("text").cast("binary").alias("text"), "wanted").mapInArrow(_cut, "key long, sig long, copies long, many boolean, bytes binary")
+    cut = keyed.join(wanted, ["d1", "d2"]).select(F.col("text").cast("binary").alias("text"), "wanted").mapInArrow(_cut, "key long, sig long, copies long, many long, bytes binary")
     cut = staged(cut, "segment-bytes").dropDuplicates(["key", "sig"])
-    dealt = cut.where("not many").select("key", "sig", "copies", "bytes").repartition(n, "key").sortWithinPartitions("key")
+    dealt = cut.where("many = 0").select("key", "sig", "copies", "bytes").repartition(n, "key").sortWithinPartitions("key")
     indexed = dealt.mapInArrow(_index(length), "key long, sig long, lo long, hi long")
 
-    windows = cut.where("many").select("key", "sig", "copies", "bytes").mapInArrow(_windows(length), "key long, sig long, copies long, x long, window long")
-    windows = staged(windows, "windows")
-    common = windows.groupBy("key", "window").agg(F.sum("copies").alias("n")).where("n > 1").select("key", "window")
-    counted = windows.join(common, ["key", "window"]).groupBy("key", "sig").agg(F.collect_list("x").alias("xs")).mapInArrow(_runs, "key long, sig long, lo long, hi long")
+    windows = cut.where("many > 0").select("key", "sig", "copies", "many", "bytes").mapInArrow(_windows(length), "key long, part long, sig long, copies long, windows binary, places binary")
+    dealt = windows.repartition(n, "key", "part").sortWithinPartitions("key", "part")
+    common = dealt.mapInArrow(_counted, "key long, sig long, xs array<long>")
+    counted = common.groupBy("key", "sig").agg(F.flatten(F.collect_list("xs")).alias("xs")).mapInArrow(_runs, "key long, sig long, lo long, hi long")
 
     verdict = staged(indexed.unionAll(counted), "verdicts")
     parts = met.where("differ").join(verdict, ["key", "sig"]).select("d1", "d2", (F.col("first") + F.col("lo")).alias("lo"), (F.col("first") + F.col("hi") + length).alias("hi"))
