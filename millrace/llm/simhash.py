@@ -23,8 +23,11 @@ from .shared import partitions, staged, table
 
 #: The most node pairs that are walked at once.
 FRONTIER = 1 << 17
-#: Bits of the wide fingerprint, and how many of them may differ: WIDE times the angle over pi of texts that share 0.8 of their shingles, and two standard deviations.
-WIDE, WIDE_BUDGET, WORD_BUDGET = 512, 92, 8
+#: Texts that share 0.8 of their five-word shingles differ in 0.15 of the bits that those vote on, and in about 0.07 of those that their
+#: distinct words vote on. BANDS keys of BAND bits of the latter: two such texts share none with a chance of 0.03, at 0.9 with 0.00003.
+BANDS, BAND = 20, 26
+#: Bits of shingles, how many of them may differ (two standard deviations above the mean at 0.8), and of the 64 - BAND that a trie has (four above).
+WIDE, WIDE_BUDGET, FIRST_BUDGET = 512, 92, 15
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -147,65 +150,53 @@ def hook(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def links(distinct: DataFrame, budget: int = 2, wide: tuple[str, ...] = (), wide_budget: int = 0) -> DataFrame:
-    """Star edges (a, b) between the ``node`` of fingerprints (column ``fp``) that differ in at most ``budget`` bits, and in at most ``wide_budget`` bits of the columns ``wide``.
+def _joined(keyed: DataFrame, order: Callable, budget: int, wide: tuple[str, ...] = (), wide_budget: int = 0) -> DataFrame:
+    """Star edges (a, b) inside the groups of ``keyed`` (way, key, fp, node, wide): ``order(way)`` says how a way's fingerprints are laid out, (bit ranges, bits shared by a group).
 
-    Each task emits at most an edge a fingerprint: a spanning star of each class that it finds, so no link is lost in the
-    components and no group's pairs are written out.
+    Each task emits at most an edge a fingerprint and way: a spanning star of each class that it finds, so no link is lost in
+    the components and no group's pairs are written out.
     """
-    spark = distinct.sparkSession
-    plans = layouts(budget)
-    fp = F.col("fp")
-
-    def take(lo: int, hi: int):
-        return F.shiftrightunsigned(fp, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1))
-
-    def key(ranges, shared):
-        out, width = F.lit(0).cast("long"), 0
-        for lo, hi in ranges:
-            if width == shared:
-                break
-            out, width = F.shiftleft(out, hi - lo).bitwiseOR(take(lo, hi)), width + hi - lo
-        return out
-
-    keyed = distinct.select("fp", "node", *wide, F.explode(F.array(*[F.struct(F.lit(i).alias("way"), key(r, shared).alias("key")) for i, (r, shared) in enumerate(plans)])).alias("x")).select("x.way", "x.key", "fp", "node", *wide)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by (way, key); whole groups are joined as soon as they are complete."""
         held: list[pa.Table] = []
 
+        def pairs(values: np.ndarray, own: np.ndarray, more: list[np.ndarray], shared: int) -> pa.RecordBatch | None:
+            label, rank = np.arange(len(own)), np.argsort(np.argsort(own))
+            by_rank = np.sort(own)
+            turns = None  # where the class changes from one value to the next, summed up
+
+            def done(alo, ahi, blo, bhi):
+                nonlocal turns
+                of = label[rank]
+                if turns is None:
+                    turns = np.concatenate([[0], np.cumsum(of[1:] != of[:-1])])
+                return (turns[ahi - 1] == turns[alo]) & (turns[bhi - 1] == turns[blo]) & (of[alo] == of[blo])
+
+            for a, b in trie_pairs(values, budget, shared, done):
+                if more:
+                    apart = sum(np.bitwise_count(x[a] ^ x[b]).astype(np.int64) for x in more)
+                    a, b = a[apart <= wide_budget], b[apart <= wide_budget]
+                label, turns = hook(label, rank[a], rank[b]), None
+            star = np.flatnonzero(label != np.arange(len(own)))
+            if len(star):
+                return pa.RecordBatch.from_arrays([pa.array(by_rank[star]), pa.array(by_rank[label[star]])], ["a", "b"])
+
         def flush(t: pa.Table) -> Iterator[pa.RecordBatch]:
             way, keys = t["way"].to_numpy(), t["key"].to_numpy()
             same = (way[1:] == way[:-1]) & (keys[1:] == keys[:-1])
             met = np.zeros(len(way), bool)
             met[1:] |= same
             met[:-1] |= same
-            fps, nodes = t["fp"].to_numpy().view(np.uint64), t["node"].to_numpy()
-            for i in np.unique(way[met]):
-                at = np.flatnonzero(met & (way == i))
-                values = _permuted(fps[at], plans[i][0])
-                order = np.argsort(values)
-                values, own = values[order], nodes[at][order]
-                label, rank = np.arange(len(own)), np.argsort(np.argsort(own))
-                by_rank = np.sort(own)
-                more = [t[c].to_numpy()[at][order].view(np.uint64) for c in wide]
-                turns = None  # where the class changes from one value to the next, summed up
-
-                def done(alo, ahi, blo, bhi):
-                    nonlocal turns
-                    of = label[rank]
-                    if turns is None:
-                        turns = np.concatenate([[0], np.cumsum(of[1:] != of[:-1])])
-                    return (turns[ahi - 1] == turns[alo]) & (turns[bhi - 1] == turns[blo]) & (of[alo] == of[blo])
-
-                for a, b in trie_pairs(values, budget, plans[i][1], done):
-                    if more:
-                        apart = sum(np.bitwise_count(x[a] ^ x[b]).astype(np.int64) for x in more)
-                        a, b = a[apart <= wide_budget], b[apart <= wide_budget]
-                    label, turns = hook(label, rank[a], rank[b]), None
-                star = np.flatnonzero(label != np.arange(len(own)))
-                if len(star):
-                    yield pa.RecordBatch.from_arrays([pa.array(by_rank[star]), pa.array(by_rank[label[star]])], ["a", "b"])
+            fps, nodes, more = t["fp"].to_numpy().view(np.uint64), t["node"].to_numpy(), [t[c].to_numpy().view(np.uint64) for c in wide]
+            at = np.flatnonzero(met)
+            for i in np.unique(way[at]):
+                own = at[way[at] == i]
+                ranges, shared = order(int(i))
+                values = _permuted(fps[own], ranges)
+                by = np.argsort(values, kind="stable")
+                if (out := pairs(values[by], nodes[own][by], [x[own][by] for x in more], shared)) is not None:
+                    yield out
 
         for batch in batches:
             t = pa.Table.from_batches([*[b for h in held for b in h.to_batches()], batch])
@@ -219,10 +210,27 @@ def links(distinct: DataFrame, budget: int = 2, wide: tuple[str, ...] = (), wide
         if held:
             yield from flush(held[0])
 
-    dealt = keyed.repartition(partitions(spark), "way", "key").sortWithinPartitions("way", "key")
+    dealt = keyed.repartition(partitions(keyed.sparkSession), "way", "key").sortWithinPartitions("way", "key")
     return dealt.mapInArrow(join, "a long, b long")
 
 
+def links(distinct: DataFrame, budget: int = 2) -> DataFrame:
+    """Star edges (a, b) between the ``node`` of fingerprints (column ``fp``) that differ in at most ``budget`` bits."""
+    plans = layouts(budget)
+
+    def key(ranges, shared):
+        out, width = F.lit(0).cast("long"), 0
+        for lo, hi in ranges:
+            if width == shared:
+                break
+            out, width = F.shiftleft(out, hi - lo).bitwiseOR(F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1))), width + hi - lo
+        return out
+
+    ways = F.array(*[F.struct(F.lit(i).alias("way"), key(r, shared).alias("key")) for i, (r, shared) in enumerate(plans)])
+    keyed = distinct.select("fp", "node", F.explode(ways).alias("x")).select("x.way", "x.key", "fp", "node")
+    return _joined(keyed, lambda way: plans[way], budget)
+
+
 def _bits(hashes: np.ndarray) -> np.ndarray:
     """Fingerprint of (n, words of 64 bits): a bit is set where it is set in over half the rows."""
     n, width = hashes.shape
@@ -241,41 +249,49 @@ def _stirred(h: np.ndarray) -> np.ndarray:
 
 
 _SEEDS = np.random.default_rng(64).integers(0, 1 << 63, WIDE // 64, dtype=np.uint64)
+_WORD_SEEDS = np.random.default_rng(65).integers(0, 1 << 63, -(-BANDS * BAND // 64), dtype=np.uint64)
 
 
-def wide_fingerprint(text: bytes, words: int) -> np.ndarray:
-    """(64 bits of the distinct words, WIDE bits of the distinct shingles of ``words`` words) as words of 64 bits; zeros without words."""
+def wide_fingerprint(text: bytes, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(BANDS keys of the distinct words, WIDE bits of the distinct shingles of ``words`` words as words of 64 bits); zeros without words."""
     own = _WORD.findall(text.translate(_UPPER))
     if not own:
-        return np.zeros(1 + WIDE // 64, np.uint64)
+        return np.zeros(BANDS, np.int32), np.zeros(WIDE // 64, np.uint64)
     h = np.fromiter(map(xxhash.xxh64_intdigest, own), np.uint64, len(own))
     k = min(words, len(h))
     grams = h[: len(h) - k + 1].copy()
     for j in range(1, k):
         grams = grams * np.uint64(0x9E3779B97F4A7C15) + h[j : len(h) - k + 1 + j]
-    grams = np.unique(grams)
-    return np.concatenate([_bits(np.unique(h)[:, None]), _bits(_stirred(grams[:, None] ^ _SEEDS))])
+    bits = np.unpackbits(_bits(_stirred(np.unique(h)[:, None] ^ _WORD_SEEDS)).view(np.uint8), bitorder="little")
+    bands = bits[: BANDS * BAND].reshape(BANDS, BAND) @ (1 << np.arange(BAND))
+    return bands.astype(np.int32), _bits(_stirred(np.unique(grams)[:, None] ^ _SEEDS))
 
 
-def similar_groups(docs: DataFrame, words: int = 5, budget: int = WORD_BUDGET, wide_budget: int = WIDE_BUDGET) -> DataFrame:
+def similar_groups(docs: DataFrame, words: int = 5, first_budget: int = FIRST_BUDGET, wide_budget: int = WIDE_BUDGET) -> DataFrame:
     """(doc_id, component_id): documents that share about 0.8 or more of their shingles, directly or through others.
 
-    Two texts link if the 64-bit fingerprints of their distinct words differ in at most ``budget`` bits (edits change few of
-    them, so the trie join has a small error budget) and the WIDE-bit ones of their distinct shingles in at most
-    ``wide_budget``, which is what decides: at a similarity of 0.8 they differ in 77 bits on average, at 0.7 in 99, at 0.6 in 118, give or take 9.
-    ``component_id`` is the smallest doc_id; nulls, repeats and empty tables are as in :func:`near_duplicates`.
+    Texts meet in groups that share one of BANDS keys, bits on which their distinct words vote: edits change few words, so
+    these differ less than shingles do. In a group the trie join goes over the first 64 - BAND of the WIDE bits on which their
+    shingles vote, with ``first_budget``, and two texts link if at most ``wide_budget`` of all differ: at a similarity of 0.8
+    77 do on average, at 0.7 99, at 0.6 118, give or take 9. ``component_id`` is the smallest doc_id; nulls, repeats and
+    empty tables are as in :func:`near_duplicates`.
     """
-    columns = ["fp", *(f"w{i}" for i in range(WIDE // 64))]
+    columns = [f"w{i}" for i in range(WIDE // 64)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marks = np.array([wide_fingerprint(t or b"", words) for t in batch.column(1).cast(pa.binary()).to_pylist()], np.uint64).reshape(-1, len(columns))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(c).view(np.int64)) for c in marks.T)], ["doc_id", *columns])
+            marks = [wide_fingerprint(t or b"", words) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            bits = np.array([w for _, w in marks], np.uint64).reshape(-1, len(columns))
+            bands = pa.FixedSizeListArray.from_arrays(pa.array(np.array([b for b, _ in marks], np.int32).ravel()), BANDS).cast(pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), bands, *(pa.array(np.ascontiguousarray(c).view(np.int64)) for c in bits.T)], ["doc_id", "bands", *columns])
 
-    each = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in columns))
+    each = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, bands array<int>, " + ", ".join(f"{c} long" for c in columns))
     each = staged(each, "wide-fingerprints")
-    distinct = staged(each.where("doc_id is not null").groupBy(*columns).agg(F.min("doc_id").alias("node")), "distinct-fingerprints")
-    found = components(links(distinct, budget, tuple(columns[1:]), wide_budget), "a", "b")
+    distinct = each.where("doc_id is not null").groupBy(*columns).agg(F.min(F.struct("doc_id", "bands")).alias("one"))
+    distinct = staged(distinct.select(*columns, F.col("one.doc_id").alias("node"), "one.bands"), "distinct-fingerprints")
+    keyed = distinct.select(F.posexplode("bands").alias("way", "key"), "node", *columns)
+    keyed = keyed.withColumn("fp", F.shiftleft(F.col("key").cast("long"), 64 - BAND).bitwiseOR(F.shiftrightunsigned("w0", BAND)))
+    found = components(_joined(keyed, lambda way: ([(0, 64)], BAND), first_budget, tuple(columns), wide_budget), "a", "b")
     of = distinct.join(found, "node", "left").select(*columns, F.coalesce("component", "node").alias("component_id"))
     return each.join(of, columns, "left").select("doc_id", "component_id")
 
