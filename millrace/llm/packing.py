@@ -11,7 +11,9 @@ bounded size.
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,33 +31,67 @@ TOKENIZER = "word_bpe_49k.json"
 #: The id that ends each document.
 END = 1
 #: The most words whose ids a task keeps.
-CACHE = 300_000
+CACHE = 500_000
 #: Pieces that are ranked together.
 GROUP = 4096
 
 
+#: Texts of these bytes in Latin-1 are parted here as the tokenizer parts them; fixed values: its letters, and everything it takes for one.
+_UPPER = bytes(c for c in range(256) if 65 <= c <= 90 or 0xC0 <= c <= 0xDE and c != 0xD7)
+_LOWER = bytes(c + 32 for c in _UPPER)
+_LETTERS = bytes(c for c in range(256) if 97 <= c <= 122 or c in (0xAA, 0xB5, 0xBA) or c >= 0xDF and c != 0xF7)
+_PLAIN = bytes(range(32, 127)) + b"\t\n\r" + _UPPER + _LETTERS
+_TO_LOWER = bytes.maketrans(_UPPER, _LOWER)
+#: How byte-level vocabularies write a byte: printable ones as themselves, the others in order from U+0100 on.
+_HIDDEN = [c for c in range(256) if not (33 <= c <= 126 or 161 <= c <= 172 or c >= 174)]
+_SHOWN = {c: 256 + i for i, c in enumerate(_HIDDEN)}
+_PART = re.compile(b"'s|'t|'re|'ve|'m|'ll|'d|[%s]+|[0-9]|[^ \t\n\r%s0-9]+" % (_LETTERS, _LETTERS))
+
+
+class _Known(dict):
+    """Ids of parts; one that is missing is encoded."""
+
+    def __init__(self, tokenizer):
+        super().__init__({"": b""})
+        self._tokenizer, self._model = tokenizer, tokenizer.model
+
+    def __missing__(self, part: bytes | str) -> bytes:
+        if isinstance(part, bytes):  # one part: the model's pairs are merged in it
+            ids = [t.id for t in self._model.tokenize(part.decode("latin-1").encode().decode("latin-1").translate(_SHOWN))]
+        else:
+            ids = self._tokenizer.encode(part, add_special_tokens=False).ids
+        own = self[part] = array("I", ids).tobytes()
+        return own
+
+
 class WordCoder:
-    """Ids of whole texts, as little-endian bytes. The tokenizer parts texts at spaces and line ends and no id or rule reaches across, so words are encoded once."""
+    """Ids of whole texts, as little-endian bytes. No id reaches across the parts into which the tokenizer cuts a text, so each part is encoded once.
+
+    Texts of plain Latin-1 characters are cut here, after lower-casing; others at spaces and line ends only, which are always cuts.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks use the cores
         self._tokenizer = Tokenizer.from_file(path)
-        self._known: dict[str, bytes] = {"": b""}
+        self._known = _Known(self._tokenizer)
+
+    @staticmethod
+    def _parts(text: str) -> list:
+        try:
+            raw = text.encode("latin-1")
+        except UnicodeEncodeError:
+            raw = None
+        if raw is None or b"<|" in raw or raw.translate(None, _PLAIN):
+            return text.replace("\n", " ").split(" ")
+        return _PART.findall(raw.translate(_TO_LOWER))
 
     def __call__(self, texts: list[str], end: int) -> list[bytes]:
-        words = [t.replace("\n", " ").split(" ") for t in texts]
-        known = self._known
-        new = list({w for own in words for w in own if w not in known})
-        for lo in range(0, len(new), 4096):
-            part = new[lo : lo + 4096]
-            for w, c in zip(part, self._tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[w] = np.array(c.ids, "<u4").tobytes()
-        last = np.array([end], "<u4").tobytes()
-        out = [b"".join([known[w] for w in own]) + last for own in words]
-        if len(known) > CACHE:
-            self._known = {"": b""}
+        last, ids = array("I", [end]).tobytes(), self._known.__getitem__
+        out = [b"".join(map(ids, self._parts(t))) + last for t in texts]
+        if len(self._known) > CACHE:
+            self._known = _Known(self._tokenizer)
         return out
 
 
