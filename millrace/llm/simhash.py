@@ -24,8 +24,8 @@ from .shared import partitions, staged, table
 #: The most node pairs that are walked at once.
 FRONTIER = 1 << 17
 #: Texts that share 0.8 of their five-word shingles differ in 0.15 of the bits that those vote on, and in about 0.07 of those that their
-#: distinct words vote on. BANDS keys of BAND bits of the latter: two such texts share none with a chance of 0.03, at 0.9 with 0.00003.
-BANDS, BAND = 20, 26
+#: distinct words vote on. BANDS keys of BAND bits of the latter: two such texts share none with a chance of 0.015, at 0.9 with 0.00001.
+BANDS, BAND = 24, 26
 #: Bits of shingles, how many of them may differ (two standard deviations above the mean at 0.8), and of the 64 - BAND that a trie has (four above).
 WIDE, WIDE_BUDGET, FIRST_BUDGET = 512, 92, 15
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
