@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import partitions, staged, table
+from .shared import staged, table
 
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
