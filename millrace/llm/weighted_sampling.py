@@ -167,7 +167,7 @@ def with_edits(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     own = F.struct("range", F.lit(False).alias("extra"))
     places = F.when(F.col("ahead").isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col("ahead").alias("range"), F.lit(True).alias("extra"))))
     every = rows.join(F.broadcast(ahead), ["range", "order"], "left").select("doc_id", "text", "order", F.explode(places).alias("place")).select("doc_id", "text", "order", "place.range", "place.extra")
-    dealt = every.withColumn("tie", F.xxhash64("text")).repartition(n, "range").sortWithinPartitions("range", "extra", "order", "tie").select("doc_id", "text", "range", "extra")
+    dealt = every.withColumn("tie", F.xxhash64("text")).repartitionById(n, F.col("range")).sortWithinPartitions("range", "extra", "order", "tie").select("doc_id", "text", "range", "extra")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Sampler(samples)
