@@ -277,11 +277,11 @@ def identify(docs: DataFrame, model: Model, vocabulary: str | None = None, keep:
         known: dict[str, int] = {}
         logs = np.zeros((0, len(m.languages)))
         for batch in batches:
-            texts = batch.column(len(kept)).to_pylist()
             pred: list[str] = []
-            score = np.zeros(len(texts))
-            for lo in range(0, len(texts), 128):
-                own = [_WORD.findall(t.lower()) if m.languages and t and _has_letter(t) else [] for t in texts[lo : lo + 128]]
+            score = np.zeros(batch.num_rows)
+            for lo in range(0, batch.num_rows, 128):
+                texts = batch.column(len(kept)).slice(lo, 128).to_pylist()
+                own = [_WORD.findall(t.lower()) if m.languages and t and _has_letter(t) else [] for t in texts]
                 words = set().union(*own)
                 new = list(words.difference(known))
                 if new:
