@@ -23,11 +23,8 @@ from .shared import partitions, staged, table
 
 #: The most node pairs that are walked at once.
 FRONTIER = 1 << 17
-#: Texts that share 0.8 of their five-word shingles differ in 0.15 of the bits that those vote on, and in about 0.07 of those that their
-#: distinct words vote on. BANDS keys of BAND bits of the latter: two such texts share none with a chance of 0.015, at 0.9 with 0.00001.
+#: Texts that share 0.8 of their five-word shingles differ in about 0.07 of the bits that their distinct words vote on. BANDS keys of BAND of these.
 BANDS, BAND = 24, 26
-#: Bits of shingles, how many of them may differ (two standard deviations above the mean at 0.8), and of the 64 - BAND that a trie has (four above).
-WIDE, WIDE_BUDGET, FIRST_BUDGET = 512, 92, 15
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -248,52 +245,150 @@ def _stirred(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-_SEEDS = np.random.default_rng(64).integers(0, 1 << 63, WIDE // 64, dtype=np.uint64)
 _WORD_SEEDS = np.random.default_rng(65).integers(0, 1 << 63, -(-BANDS * BAND // 64), dtype=np.uint64)
 
 
-def wide_fingerprint(text: bytes, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """(BANDS keys of the distinct words, WIDE bits of the distinct shingles of ``words`` words as words of 64 bits); zeros without words."""
+def shingle_set(text: bytes, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hashes of the distinct shingles of ``words`` words, ascending; those of the distinct words): empty without words."""
     own = _WORD.findall(text.translate(_UPPER))
-    if not own:
-        return np.zeros(BANDS, np.int32), np.zeros(WIDE // 64, np.uint64)
     h = np.fromiter(map(xxhash.xxh64_intdigest, own), np.uint64, len(own))
+    if not own:
+        return h, h
     k = min(words, len(h))
     grams = h[: len(h) - k + 1].copy()
     for j in range(1, k):
         grams = grams * np.uint64(0x9E3779B97F4A7C15) + h[j : len(h) - k + 1 + j]
-    bits = np.unpackbits(_bits(_stirred(np.unique(h)[:, None] ^ _WORD_SEEDS)).view(np.uint8), bitorder="little")
-    bands = bits[: BANDS * BAND].reshape(BANDS, BAND) @ (1 << np.arange(BAND))
-    return bands.astype(np.int32), _bits(_stirred(np.unique(grams)[:, None] ^ _SEEDS))
+    return np.unique(_stirred(grams)), np.unique(h)
+
+
+def _set_id(grams: np.ndarray) -> tuple[int, int]:
+    """128 bits that stand for a set, as two signed longs."""
+    return tuple(np.frombuffer(xxhash.xxh3_128_digest(grams.tobytes()), np.int64).tolist())
+
 
+def keys(grams: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """BANDS keys of a text; none without words."""
+    if not len(words):
+        return np.zeros(0, np.int64)
+    bits = np.unpackbits(_bits(_stirred(words[:, None] ^ _WORD_SEEDS)).view(np.uint8), bitorder="little")
+    return bits[: BANDS * BAND].reshape(BANDS, BAND) @ (1 << np.arange(BAND))
 
-def similar_groups(docs: DataFrame, words: int = 5, first_budget: int = FIRST_BUDGET, wide_budget: int = WIDE_BUDGET) -> DataFrame:
-    """(doc_id, component_id): documents that share about 0.8 or more of their shingles, directly or through others.
 
-    Texts meet in groups that share one of BANDS keys, bits on which their distinct words vote: edits change few words, so
-    these differ less than shingles do. In a group the trie join goes over the first 64 - BAND of the WIDE bits on which their
-    shingles vote, with ``first_budget``, and two texts link if at most ``wide_budget`` of all differ: at a similarity of 0.8
-    77 do on average, at 0.7 99, at 0.6 118, give or take 9. ``component_id`` is the smallest doc_id; nulls, repeats and
-    empty tables are as in :func:`near_duplicates`.
+def alike(sets: list[np.ndarray], label: np.ndarray, pivot: np.ndarray) -> np.ndarray:
+    """``label`` (least rows of classes), joined where a pivot's set and any other have an intersection of 0.8 or more of their union.
+
+    Sets of one class are not compared, so near copies of one another cost one comparison each.
     """
-    columns = [f"w{i}" for i in range(WIDE // 64)]
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    _, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    first = np.cumsum(size) - size
+    mark = np.zeros(len(codes) + 1, bool)
+    label, waiting = label.copy(), pivot.copy()
+    while waiting.any():
+        c = label[np.argmax(waiting)]
+        # a pivot that had its turn met all other sets already
+        out = np.flatnonzero((label != c) & (waiting | ~pivot))
+        inside = np.zeros(len(sets), bool)
+        inside[out] = True
+        near, ends = codes[np.repeat(inside, size)], np.cumsum(size[out])
+        while len(own := np.flatnonzero(waiting & (label == c))):
+            if not len(out):
+                waiting[own] = False
+                break
+            q = own[0]
+            waiting[q] = False
+            mine = codes[first[q] : first[q] + size[q]]
+            mark[mine] = True
+            total = np.concatenate([[0], np.cumsum(mark[near])])
+            mark[mine] = False
+            hit = out[9 * (total[ends] - total[ends - size[out]]) >= 4 * (size[q] + size[out])]
+            if len(hit):
+                label[np.isin(label, label[hit])] = c
+                break
+    return label
+
+
+def _stars_of(rows: DataFrame) -> DataFrame:
+    """Star edges (a, b) between nodes whose sets are alike, inside the groups of ``rows`` (way, key, part, block, node, label, pivot, shingles).
+
+    Nodes of one label are linked already; an edge joins two labels.
+    """
+    place = ["way", "key", "part", "block"]
+
+    def edges(t: pa.Table) -> pa.RecordBatch | None:
+        nodes = t["node"].to_numpy()
+        _, rep, of = np.unique(t["label"].to_numpy(), return_index=True, return_inverse=True)
+        if len(rep) < 2:
+            return None
+        got = alike([np.frombuffer(x.as_buffer(), np.uint64) for x in t["shingles"]], rep[of], np.asarray(t["pivot"].to_pylist(), bool))
+        moved = rep[got[rep] != rep]
+        return pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[got[moved]])], ["a", "b"]) if len(moved) else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by group; one group is held at a time."""
+        held, at = [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            where = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in place])
+            cuts = [0, *(np.flatnonzero((where[:, 1:] != where[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if held and at != (now := tuple(where[:, lo])):
+                    if (out := edges(pa.Table.from_batches(held))) is not None:
+                        yield out
+                    held = []
+                held.append(batch.slice(lo, hi - lo))
+                at = tuple(where[:, lo])
+        if held and (out := edges(pa.Table.from_batches(held))) is not None:
+            yield out
+
+    dealt = rows.select(*place, "node", "label", "pivot", "shingles").repartition(partitions(rows.sparkSession), *place).sortWithinPartitions(*place)
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def similar_groups(docs: DataFrame, words: int = 5) -> DataFrame:
+    """(doc_id, component_id): documents that share 0.8 or more of their distinct shingles, directly or through others.
+
+    Texts that share a key meet, and link if their sets of shingles do have an intersection of 0.8 of their union. Groups with
+    the same members are joined once. ``component_id`` is the smallest doc_id; nulls, repeats and empty tables are as in
+    :func:`near_duplicates`.
+    """
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, sizes, own = [], [], []
+            for t in batch.column(1).cast(pa.binary()):
+                grams, distinct_words = shingle_set(t.as_py() or b"", words)
+                ids.append(_set_id(grams))
+                sizes.append(len(grams))
+                own.append(keys(grams, distinct_words))
+            bounds = np.concatenate([[0], np.cumsum([len(x) for x in own])])
+            flat = np.concatenate([np.zeros(0, np.int64), *own])
+            s0, s1 = (pa.array([x[i] for x in ids], pa.int64()) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), s0, s1, pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat, pa.int64()))], ["doc_id", "s0", "s1", "size", "keys"])
+
+    def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marks = [wide_fingerprint(t or b"", words) for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            bits = np.array([w for _, w in marks], np.uint64).reshape(-1, len(columns))
-            bands = pa.FixedSizeListArray.from_arrays(pa.array(np.array([b for b, _ in marks], np.int32).ravel()), BANDS).cast(pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), bands, *(pa.array(np.ascontiguousarray(c).view(np.int64)) for c in bits.T)], ["doc_id", "bands", *columns])
-
-    each = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, bands array<int>, " + ", ".join(f"{c} long" for c in columns))
-    each = staged(each, "wide-fingerprints")
-    distinct = each.where("doc_id is not null").groupBy(*columns).agg(F.min(F.struct("doc_id", "bands")).alias("one"))
-    distinct = staged(distinct.select(*columns, F.col("one.doc_id").alias("node"), "one.bands"), "distinct-fingerprints")
-    keyed = distinct.select(F.posexplode("bands").alias("way", "key"), "node", *columns)
-    keyed = keyed.withColumn("fp", F.shiftleft(F.col("key").cast("long"), 64 - BAND).bitwiseOR(F.shiftrightunsigned("w0", BAND)))
-    found = components(_joined(keyed, lambda way: ([(0, 64)], BAND), first_budget, tuple(columns), wide_budget), "a", "b")
-    of = distinct.join(found, "node", "left").select(*columns, F.coalesce("component", "node").alias("component_id"))
-    return each.join(of, columns, "left").select("doc_id", "component_id")
+            for lo in range(0, batch.num_rows, 256):
+                grams = [shingle_set(t.as_py() or b"", words)[0] for t in batch.column(0).slice(lo, 256).cast(pa.binary())]
+                ids = [_set_id(x) for x in grams]
+                yield pa.RecordBatch.from_arrays([*(pa.array([x[i] for x in ids], pa.int64()) for i in (0, 1)), pa.array([x.tobytes() for x in grams], pa.binary())], ["s0", "s1", "shingles"])
+
+    each = staged(whole.mapInArrow(run, "doc_id long, s0 long, s1 long, size long, keys array<long>"), "shingle-keys")
+    distinct = each.where("doc_id is not null").groupBy("s0", "s1").agg(F.min("doc_id").alias("node"), F.first("size").alias("size"), F.first("keys").alias("keys"))
+    distinct = staged(distinct, "distinct-shingles")
+    keyed = distinct.select(F.posexplode("keys").alias("way", "key"), "node", "s0", "s1", "size")
+    groups = keyed.groupBy("way", "key").agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("total"), F.expr("bit_xor(s0)").alias("x"), F.expr("bit_xor(s1)").alias("y"))
+    groups = groups.where("rows > 1").groupBy("rows", "total", "x", "y").agg(F.min(F.struct("way", "key")).alias("one")).select("one.way", "one.key", "rows", "total")
+    met = staged(keyed.join(groups, ["way", "key"]), "meetings")
+    wanted = met.select(F.col("node").alias("doc_id")).distinct()
+    sets = whole.join(wanted, "doc_id", "left_semi").select("text").mapInArrow(load, "s0 long, s1 long, shingles binary")
+    sets = sets.groupBy("s0", "s1").agg(F.first("shingles").alias("shingles"))
+    rows = met.join(sets, ["s0", "s1"]).select("way", "key", F.lit(0).alias("part"), F.lit(0).alias("block"), "node", F.col("node").alias("label"), F.lit(True).alias("pivot"), "shingles")
+    found = components(_stars_of(rows), "a", "b")
+    of = distinct.join(found, "node", "left").select("s0", "s1", F.coalesce("component", "node").alias("component_id"))
+    return each.join(of, ["s0", "s1"], "left").select("doc_id", "component_id")
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, budget: int = 2) -> DataFrame:
