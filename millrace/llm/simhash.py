@@ -23,8 +23,9 @@ from .shared import partitions, staged, table
 
 #: The most node pairs that are walked at once.
 FRONTIER = 1 << 17
-#: Texts that share 0.8 of their five-word shingles differ in about 0.07 of the bits that their distinct words vote on. BANDS keys of BAND of these.
-BANDS, BAND = 24, 26
+#: BANDS keys of BAND min-hashes of the shingles: two texts at a similarity of s share none with a chance of (1 - s ** BAND) ** BANDS, whatever
+#: the edits are and however short the texts: 0.00007 at 0.8, 5e-10 at 0.9. At 0.5 half of all pairs meet, at 0.3 one in 18.
+BANDS, BAND = 24, 5
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -147,8 +148,8 @@ def hook(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def _joined(keyed: DataFrame, order: Callable, budget: int, wide: tuple[str, ...] = (), wide_budget: int = 0) -> DataFrame:
-    """Star edges (a, b) inside the groups of ``keyed`` (way, key, fp, node, wide): ``order(way)`` says how a way's fingerprints are laid out, (bit ranges, bits shared by a group).
+def _joined(keyed: DataFrame, order: Callable, budget: int) -> DataFrame:
+    """Star edges (a, b) inside the groups of ``keyed`` (way, key, fp, node): ``order(way)`` says how a way's fingerprints are laid out, (bit ranges, bits shared by a group).
 
     Each task emits at most an edge a fingerprint and way: a spanning star of each class that it finds, so no link is lost in
     the components and no group's pairs are written out.
@@ -158,7 +159,7 @@ def _joined(keyed: DataFrame, order: Callable, budget: int, wide: tuple[str, ...
         """Rows come sorted by (way, key); whole groups are joined as soon as they are complete."""
         held: list[pa.Table] = []
 
-        def pairs(values: np.ndarray, own: np.ndarray, more: list[np.ndarray], shared: int) -> pa.RecordBatch | None:
+        def pairs(values: np.ndarray, own: np.ndarray, shared: int) -> pa.RecordBatch | None:
             label, rank = np.arange(len(own)), np.argsort(np.argsort(own))
             by_rank = np.sort(own)
             turns = None  # where the class changes from one value to the next, summed up
@@ -171,9 +172,6 @@ def _joined(keyed: DataFrame, order: Callable, budget: int, wide: tuple[str, ...
                 return (turns[ahi - 1] == turns[alo]) & (turns[bhi - 1] == turns[blo]) & (of[alo] == of[blo])
 
             for a, b in trie_pairs(values, budget, shared, done):
-                if more:
-                    apart = sum(np.bitwise_count(x[a] ^ x[b]).astype(np.int64) for x in more)
-                    a, b = a[apart <= wide_budget], b[apart <= wide_budget]
                 label, turns = hook(label, rank[a], rank[b]), None
             star = np.flatnonzero(label != np.arange(len(own)))
             if len(star):
@@ -185,14 +183,14 @@ def _joined(keyed: DataFrame, order: Callable, budget: int, wide: tuple[str, ...
             met = np.zeros(len(way), bool)
             met[1:] |= same
             met[:-1] |= same
-            fps, nodes, more = t["fp"].to_numpy().view(np.uint64), t["node"].to_numpy(), [t[c].to_numpy().view(np.uint64) for c in wide]
+            fps, nodes = t["fp"].to_numpy().view(np.uint64), t["node"].to_numpy()
             at = np.flatnonzero(met)
             for i in np.unique(way[at]):
                 own = at[way[at] == i]
                 ranges, shared = order(int(i))
                 values = _permuted(fps[own], ranges)
                 by = np.argsort(values, kind="stable")
-                if (out := pairs(values[by], nodes[own][by], [x[own][by] for x in more], shared)) is not None:
+                if (out := pairs(values[by], nodes[own][by], shared)) is not None:
                     yield out
 
         for batch in batches:
@@ -228,37 +226,27 @@ def links(distinct: DataFrame, budget: int = 2) -> DataFrame:
     return _joined(keyed, lambda way: plans[way], budget)
 
 
-def _bits(hashes: np.ndarray) -> np.ndarray:
-    """Fingerprint of (n, words of 64 bits): a bit is set where it is set in over half the rows."""
-    n, width = hashes.shape
-    counts = np.zeros(64 * width, np.int64)
-    for lo in range(0, n, 255 * 64):
-        part = np.unpackbits(np.ascontiguousarray(hashes[lo : lo + 255 * 64]).view(np.uint8), axis=1, bitorder="little")
-        whole = len(part) // 255 * 255
-        counts += part[:whole].reshape(-1, 255, 64 * width).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64) + part[whole:].sum(axis=0, dtype=np.uint8)
-    return np.packbits(2 * counts > n, bitorder="little").view(np.uint64)
-
-
 def _stirred(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
     return h ^ (h >> np.uint64(32))
 
 
-_WORD_SEEDS = np.random.default_rng(65).integers(0, 1 << 63, -(-BANDS * BAND // 64), dtype=np.uint64)
+_SEEDS = np.random.default_rng(64).integers(0, 1 << 63, (BANDS * BAND, 1), dtype=np.uint64)
+_FACTORS = np.random.default_rng(65).integers(0, 1 << 63, (BANDS * BAND, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def shingle_set(text: bytes, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """(64-bit hashes of the distinct shingles of ``words`` words, ascending; those of the distinct words): empty without words."""
+def shingle_set(text: bytes, words: int) -> np.ndarray:
+    """64-bit hashes of the distinct shingles of ``words`` words, ascending; empty without words."""
     own = _WORD.findall(text.translate(_UPPER))
     h = np.fromiter(map(xxhash.xxh64_intdigest, own), np.uint64, len(own))
     if not own:
-        return h, h
+        return h
     k = min(words, len(h))
     grams = h[: len(h) - k + 1].copy()
     for j in range(1, k):
         grams = grams * np.uint64(0x9E3779B97F4A7C15) + h[j : len(h) - k + 1 + j]
-    return np.unique(_stirred(grams)), np.unique(h)
+    return np.unique(_stirred(grams))
 
 
 def _set_id(grams: np.ndarray) -> tuple[int, int]:
@@ -266,12 +254,17 @@ def _set_id(grams: np.ndarray) -> tuple[int, int]:
     return tuple(np.frombuffer(xxhash.xxh3_128_digest(grams.tobytes()), np.int64).tolist())
 
 
-def keys(grams: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """BANDS keys of a text; none without words."""
-    if not len(words):
+def keys(grams: np.ndarray) -> np.ndarray:
+    """BANDS keys of a set; none of an empty one."""
+    if not len(grams):
         return np.zeros(0, np.int64)
-    bits = np.unpackbits(_bits(_stirred(words[:, None] ^ _WORD_SEEDS)).view(np.uint8), bitorder="little")
-    return bits[: BANDS * BAND].reshape(BANDS, BAND) @ (1 << np.arange(BAND))
+    least = np.full(BANDS * BAND, np.iinfo(np.uint64).max, np.uint64)
+    for lo in range(0, len(grams), 4096):
+        least = np.minimum(least, ((grams[lo : lo + 4096] ^ _SEEDS) * _FACTORS).min(axis=1))
+    out = np.zeros(BANDS, np.uint64)
+    for x in least.reshape(BANDS, BAND).T:
+        out = _stirred(out ^ x)
+    return out.view(np.int64)
 
 
 def alike(sets: list[np.ndarray], label: np.ndarray, pivot: np.ndarray) -> np.ndarray:
@@ -349,7 +342,7 @@ def _stars_of(rows: DataFrame) -> DataFrame:
 def similar_groups(docs: DataFrame, words: int = 5) -> DataFrame:
     """(doc_id, component_id): documents that share 0.8 or more of their distinct shingles, directly or through others.
 
-    Texts that share a key meet, and link if their sets of shingles do have an intersection of 0.8 of their union. Groups with
+    Texts that share a key of BAND min-hashes meet, and link if their sets of shingles do have an intersection of 0.8 of their union. Groups with
     the same members are joined once. ``component_id`` is the smallest doc_id; nulls, repeats and empty tables are as in
     :func:`near_duplicates`.
     """
@@ -359,10 +352,10 @@ def similar_groups(docs: DataFrame, words: int = 5) -> DataFrame:
         for batch in batches:
             ids, sizes, own = [], [], []
             for t in batch.column(1).cast(pa.binary()):
-                grams, distinct_words = shingle_set(t.as_py() or b"", words)
+                grams = shingle_set(t.as_py() or b"", words)
                 ids.append(_set_id(grams))
                 sizes.append(len(grams))
-                own.append(keys(grams, distinct_words))
+                own.append(keys(grams))
             bounds = np.concatenate([[0], np.cumsum([len(x) for x in own])])
             flat = np.concatenate([np.zeros(0, np.int64), *own])
             s0, s1 = (pa.array([x[i] for x in ids], pa.int64()) for i in (0, 1))
@@ -371,7 +364,7 @@ def similar_groups(docs: DataFrame, words: int = 5) -> DataFrame:
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
-                grams = [shingle_set(t.as_py() or b"", words)[0] for t in batch.column(0).slice(lo, 256).cast(pa.binary())]
+                grams = [shingle_set(t.as_py() or b"", words) for t in batch.column(0).slice(lo, 256).cast(pa.binary())]
                 ids = [_set_id(x) for x in grams]
                 yield pa.RecordBatch.from_arrays([*(pa.array([x[i] for x in ids], pa.int64()) for i in (0, 1)), pa.array([x.tobytes() for x in grams], pa.binary())], ["s0", "s1", "shingles"])
 

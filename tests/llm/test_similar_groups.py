@@ -42,3 +42,18 @@ def test_pairs_below_the_bound_do_not_link(spark):
         elif s > 0.9:
             assert of[i] == of[i + 1]
     assert below > 20
+
+
+def test_block_edits_and_short_texts_link(spark):
+    rng, texts = random.Random(2), []
+    for _ in range(40):
+        for n, more in ((200, 50), (200, 22), (12, 1), (20, 4), (30, 5), (40, 4)):  # appended; the other way round, cut off
+            own = fresh(rng, n)
+            texts += [own, own + fresh(rng, more)]
+        own = fresh(rng, 225)
+        texts += [own, own[:90] + fresh(rng, 20) + own[110:]]  # a block replaced
+    of = components_of(spark, texts)
+    assert all(alike(texts[i], texts[i + 1]) >= 0.79 for i in range(0, len(texts), 2))
+    pairs = [i for i in range(0, len(texts), 2) if alike(texts[i], texts[i + 1]) >= 0.8]
+    assert len(pairs) >= 200
+    assert all(of[i] == of[i + 1] for i in pairs)
