@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import re
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
@@ -26,6 +26,10 @@ FRONTIER = 1 << 17
 #: BANDS keys of BAND min-hashes of the shingles: two texts at a similarity of s share none with a chance of (1 - s ** BAND) ** BANDS, whatever
 #: the edits are and however short the texts: 0.00007 at 0.8, 5e-10 at 0.9. At 0.5 half of all pairs meet, at 0.3 one in 18.
 BANDS, BAND = 24, 5
+#: A group of more rows or shingles is dealt to several tasks.
+PART_ROWS, PART_SHINGLES = 1024, 1 << 20
+#: A group of more fingerprints is parted by two further blocks of bits.
+MOST_FINGERPRINTS = 1 << 16
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -209,8 +213,15 @@ def _joined(keyed: DataFrame, order: Callable, budget: int) -> DataFrame:
     return dealt.mapInArrow(join, "a long, b long")
 
 
-def links(distinct: DataFrame, budget: int = 2) -> DataFrame:
-    """Star edges (a, b) between the ``node`` of fingerprints (column ``fp``) that differ in at most ``budget`` bits."""
+def finer(ranges: list[tuple[int, int]], shared: int, budget: int) -> list[tuple[list[tuple[int, int]], int]]:
+    """The ways in which pairs that share a layout's first two ranges share two blocks of its others as well; at a budget of 2, 16 bits are left."""
+    rest = ranges[2:]
+    blocks = [x for lo, hi in rest for x in _cuts(lo, hi, -(-(budget + 2) // len(rest)))]
+    return [([*ranges[:2], x, y, *(z for z in blocks if z not in (x, y))], shared + x[1] - x[0] + y[1] - y[0]) for i, x in enumerate(blocks) for y in blocks[i + 1 :]]
+
+
+def meeting_places(distinct: DataFrame, budget: int, most: int = MOST_FINGERPRINTS) -> tuple[DataFrame, list[tuple[list[tuple[int, int]], int]]]:
+    """((way, key, fp, node), the layout of each way): groups of more than ``most`` fingerprints are parted by further shared bits, which loses no pair."""
     plans = layouts(budget)
 
     def key(ranges, shared):
@@ -221,8 +232,24 @@ def links(distinct: DataFrame, budget: int = 2) -> DataFrame:
             out, width = F.shiftleft(out, hi - lo).bitwiseOR(F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1))), width + hi - lo
         return out
 
-    ways = F.array(*[F.struct(F.lit(i).alias("way"), key(r, shared).alias("key")) for i, (r, shared) in enumerate(plans)])
-    keyed = distinct.select("fp", "node", F.explode(ways).alias("x")).select("x.way", "x.key", "fp", "node")
+    def ways(own, first):
+        return F.array(*[F.struct(F.lit(first + i).alias("way"), key(r, shared).alias("key")) for i, (r, shared) in enumerate(own)])
+
+    keyed = distinct.select("fp", "node", F.explode(ways(plans, 0)).alias("x")).select("x.way", "x.key", "fp", "node")
+    large = staged(keyed.groupBy("way", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("way", "key"), "large-groups")
+    if budget < 1 or large.isEmpty():
+        return keyed, plans
+    parted = [finer(r, shared, budget) for r, shared in plans]
+    firsts = np.cumsum([len(plans), *map(len, parted)]).tolist()
+    further = F.coalesce(*[F.when(F.col("way") == i, ways(own, firsts[i])) for i, own in enumerate(parted)])
+    # at most a row for each ``most`` rows
+    again = keyed.join(F.broadcast(large), ["way", "key"]).select("fp", "node", F.explode(further).alias("x")).select("x.way", "x.key", "fp", "node")
+    return keyed.join(F.broadcast(large), ["way", "key"], "left_anti").select("way", "key", "fp", "node").unionAll(again), [*plans, *(x for own in parted for x in own)]
+
+
+def links(distinct: DataFrame, budget: int = 2, most: int = MOST_FINGERPRINTS) -> DataFrame:
+    """Star edges (a, b) between the ``node`` of fingerprints (column ``fp``) that differ in at most ``budget`` bits."""
+    keyed, plans = meeting_places(distinct, budget, most)
     return _joined(keyed, lambda way: plans[way], budget)
 
 
@@ -339,11 +366,54 @@ def _stars_of(rows: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def similar_groups(docs: DataFrame, words: int = 5) -> DataFrame:
+def _meetings(keyed: DataFrame, part_rows: int) -> tuple[DataFrame, bool]:
+    """((way, key, parts, part, node, s0, s1, size), whether any group has several parts) of the rows of ``keyed`` that share a key with others.
+
+    One of the groups with the same members is taken.
+    """
+    groups = keyed.groupBy("way", "key").agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("total"), F.expr("bit_xor(s0)").alias("x"), F.expr("bit_xor(s1)").alias("y"))
+    groups = staged(groups.where("rows > 1").withColumn("parts", _parts("rows", "total", part_rows)), "groups")
+    one = groups.groupBy("rows", "total", "x", "y", "parts").agg(F.min(F.struct("way", "key")).alias("one")).select("one.way", "one.key", "parts")
+    large = groups.where("parts > 1")
+    several = not large.isEmpty()
+    if several:
+        # at most a row for each ``part_rows`` rows or PART_SHINGLES shingles
+        met = keyed.join(F.broadcast(large.select("way", "key")), ["way", "key"], "left_anti").join(one.where("parts = 1"), ["way", "key"])
+        met = met.unionByName(keyed.join(F.broadcast(one.where("parts > 1")), ["way", "key"]))
+    else:
+        met = keyed.join(one, ["way", "key"])
+    return staged(met.withColumn("part", F.pmod(F.xxhash64("s0", "s1"), "parts").cast("int")), "meetings"), several
+
+
+def _parts(rows: str, total: str, part_rows: int) -> Column:
+    return F.greatest(F.ceil(F.col(rows) / part_rows), F.ceil(F.col(total) / PART_SHINGLES), F.lit(1)).cast("int")
+
+
+def _across(met: DataFrame, linked: DataFrame, part_rows: int) -> DataFrame:
+    """Rows for :func:`_stars_of` that compare the parts of a group with each other, given the edges within parts.
+
+    Most of a large group is one component by then. Only what is outside its largest one goes to all parts, in blocks; so all
+    pairs of different components meet, and two of the largest never do.
+    """
+    columns = ["node", "label", "s0", "s1"]
+    wide = met.where("parts > 1").join(components(linked, "a", "b"), "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+    wide = staged(wide, "parted-meetings")
+    each = wide.groupBy("way", "key", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("t"))
+    rest = each.groupBy("way", "key").agg(F.max(F.struct("n", "label", "t")).alias("top"), F.sum("n").alias("n"), F.sum("t").alias("t"))
+    rest = rest.select("way", "key", F.col("top.label").alias("largest"), (F.col("n") - F.col("top.n")).alias("n"), (F.col("t") - F.col("top.t")).alias("t")).where("n > 0")
+    rest = rest.select("way", "key", "largest", _parts("n", "t", part_rows).alias("blocks"))
+    own = wide.join(F.broadcast(rest), ["way", "key"])
+    left = own.select("way", "key", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *columns, F.lit(False).alias("pivot"))
+    right = own.where("label <> largest").withColumn("block", F.pmod(F.xxhash64("s1", "s0"), "blocks").cast("int"))
+    right = right.select("way", "key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "block", *columns, F.lit(True).alias("pivot"))
+    return left.unionAll(right)
+
+
+def similar_groups(docs: DataFrame, words: int = 5, part_rows: int = PART_ROWS) -> DataFrame:
     """(doc_id, component_id): documents that share 0.8 or more of their distinct shingles, directly or through others.
 
     Texts that share a key of BAND min-hashes meet, and link if their sets of shingles do have an intersection of 0.8 of their union. Groups with
-    the same members are joined once. ``component_id`` is the smallest doc_id; nulls, repeats and empty tables are as in
+    the same members are joined once, those of more than ``part_rows`` texts in parts. ``component_id`` is the smallest doc_id; nulls, repeats and empty tables are as in
     :func:`near_duplicates`.
     """
     whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -372,14 +442,16 @@ def similar_groups(docs: DataFrame, words: int = 5) -> DataFrame:
     distinct = each.where("doc_id is not null").groupBy("s0", "s1").agg(F.min("doc_id").alias("node"), F.first("size").alias("size"), F.first("keys").alias("keys"))
     distinct = staged(distinct, "distinct-shingles")
     keyed = distinct.select(F.posexplode("keys").alias("way", "key"), "node", "s0", "s1", "size")
-    groups = keyed.groupBy("way", "key").agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("total"), F.expr("bit_xor(s0)").alias("x"), F.expr("bit_xor(s1)").alias("y"))
-    groups = groups.where("rows > 1").groupBy("rows", "total", "x", "y").agg(F.min(F.struct("way", "key")).alias("one")).select("one.way", "one.key", "rows", "total")
-    met = staged(keyed.join(groups, ["way", "key"]), "meetings")
+    met, several = _meetings(keyed, part_rows)
     wanted = met.select(F.col("node").alias("doc_id")).distinct()
     sets = whole.join(wanted, "doc_id", "left_semi").select("text").mapInArrow(load, "s0 long, s1 long, shingles binary")
     sets = sets.groupBy("s0", "s1").agg(F.first("shingles").alias("shingles"))
-    rows = met.join(sets, ["s0", "s1"]).select("way", "key", F.lit(0).alias("part"), F.lit(0).alias("block"), "node", F.col("node").alias("label"), F.lit(True).alias("pivot"), "shingles")
-    found = components(_stars_of(rows), "a", "b")
+    sets = staged(sets, "sets") if several else sets
+    rows = met.select("way", "key", "part", F.lit(0).alias("block"), "node", F.col("node").alias("label"), "s0", "s1", F.lit(True).alias("pivot"))
+    linked = staged(_stars_of(rows.join(sets, ["s0", "s1"])), "links")
+    if several:
+        linked = linked.unionAll(_stars_of(_across(met, linked, part_rows).join(sets, ["s0", "s1"])))
+    found = components(linked, "a", "b")
     of = distinct.join(found, "node", "left").select("s0", "s1", F.coalesce("component", "node").alias("component_id"))
     return each.join(of, ["s0", "s1"], "left").select("doc_id", "component_id")
 
