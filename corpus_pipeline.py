@@ -19,7 +19,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: A document whose likeliest language is less likely than this is rejected, as are those without letters.
 MIN_SCORE = 0.3
-#: Bytes of a repeated passage: passages of over 50 words have more.
+#: Bytes of a repeated passage: prose of over 50 words has more, runs of short words may have fewer and stay.
 REPEAT_BYTES = 240
 
 
