@@ -1,9 +1,10 @@
 """A run-length index over short texts: run-compressed Burrows-Wheeler transform with sampled run ends.
 
-Only what streaming needs is kept of the transform: its runs, and for each run's first and last suffix the text position with
-its neighbour in suffix order. Inside a run, a suffix's neighbour is the neighbour of the suffix one to the left, moved one
-to the right, and the match is one shorter (Gagie, Navarro and Prezza, 2018). So one pass over the text, from sample to
-sample, gives for every position how long it matches any other position of the texts.
+Only what streaming needs is kept of the transform: for each run's first and last suffix, the text position and how many bytes
+it shares with its neighbour in suffix order. Inside a run, a suffix's neighbour is the neighbour of the suffix one to the left,
+moved one to the right, and the match is one shorter (Gagie, Navarro and Prezza, 2018). So one pass over the text, from sample
+to sample, gives for every position how long it matches any other position of the texts. Matches are compared byte by byte;
+over all run ends they add up to at most 2 n log n bytes (Kärkkäinen, Kempa and Piątkowski, 2016).
 """
 
 from __future__ import annotations
@@ -12,41 +13,17 @@ from dataclasses import dataclass
 
 import numpy as np
 
-#: The base of the polynomial hashes (odd, so that it has an inverse mod 2**64), and a random word for each byte.
-BASE = np.uint64(0x9E3779B97F4A7C15)
-UNBASE = np.uint64(pow(int(BASE), -1, 1 << 64))
-BYTE = np.random.default_rng(42).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i for i < n."""
-    if len(_powers[0]) < n:
-        _powers[:] = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, b, np.uint64)])) for b in (BASE, UNBASE)]
-    return _powers[0][:n], _powers[1][:n]
-
-
-def prefix_hashes(data: np.ndarray) -> np.ndarray:
-    """h with (h[b] - h[a]) * BASE**-a a hash of data[a:b]."""
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(BYTE[data] * powers(len(data))[0], out=out[1:])
-    return out
-
-
-def mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return h ^ (h >> np.uint64(29))
+#: Bytes that are compared at once after the first few words.
+WIDE = 512
 
 
 @dataclass
 class RunIndex:
-    data: np.ndarray  # the texts' bytes, each text with one byte after it that ends it
-    end: np.ndarray  # of each position: where its text ends
+    n: int  # bytes of the texts, each with one byte after it that ends it
     heads: np.ndarray  # text positions of the runs' first suffixes, in text order
-    above: np.ndarray  # their predecessors in suffix order
+    above: np.ndarray  # how many bytes each shares with its predecessor in suffix order
     tails: np.ndarray  # text positions of the runs' last suffixes, in text order
-    below: np.ndarray  # their successors
-    hashes: np.ndarray
+    below: np.ndarray  # how many bytes each shares with its successor
 
     @classmethod
     def build(cls, texts: list[bytes]) -> RunIndex:
@@ -58,36 +35,45 @@ class RunIndex:
         order = suffix_order(data, end, text)
         left = data[order - 1].astype(np.int16)
         left[np.isin(order, np.concatenate([[0], ends[:-1] + 1]))] = -1  # what precedes a text's start equals nothing
-        part = (left[1:] != left[:-1]) | (left[1:] < 0)
-        heads, tails = np.flatnonzero(part) + 1, np.flatnonzero(part)
-        by_head, by_tail = np.argsort(order[heads]), np.argsort(order[tails])
-        return cls(data, end, order[heads][by_head], order[heads - 1][by_head], order[tails][by_tail], order[tails + 1][by_tail], prefix_hashes(data))
-
-    def common(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Length of the longest common prefix of the suffixes at i and j, inside their texts."""
-        inverse = powers(len(self.data) + 1)[1]
-        lo, hi = np.zeros(len(i), np.int64), np.minimum(self.end[i] - i, self.end[j] - j)
-        h = self.hashes
-        while (lo < hi).any():
-            mid = (lo + hi + 1) // 2
-            same = (h[i + mid] - h[i]) * inverse[i] == (h[j + mid] - h[j]) * inverse[j]
-            lo, hi = np.where(same, mid, lo), np.where(same, hi, mid - 1)
-        return lo
+        turn = np.flatnonzero((left[1:] != left[:-1]) | (left[1:] < 0))
+        upper, lower = order[turn], order[turn + 1]
+        shared = common(data, end, upper, lower)
+        by_head, by_tail = np.argsort(lower), np.argsort(upper)
+        return cls(len(data), lower[by_head], shared[by_head], upper[by_tail], shared[by_tail])
 
     def matching_statistics(self) -> np.ndarray:
         """For each position, how many bytes from there on occur at another position too (matches stay inside texts)."""
-        at = np.arange(len(self.data))
-        out = np.zeros(len(self.data), np.int64)
-        for samples, others in ((self.heads, self.above), (self.tails, self.below)):
+        at = np.arange(self.n)
+        out = np.zeros(self.n, np.int64)
+        for samples, shared in ((self.heads, self.above), (self.tails, self.below)):
             if not len(samples):
                 continue
-            length = self.common(samples, others)
             last = np.searchsorted(samples, at, side="right") - 1
             seen = last >= 0
-            out[seen] = np.maximum(out[seen], length[last[seen]] - (at[seen] - samples[last[seen]]))
+            out[seen] = np.maximum(out[seen], shared[last[seen]] - (at[seen] - samples[last[seen]]))
         return out
 
 
+def common(data: np.ndarray, end: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Bytes that the suffixes at i and j share, inside their texts."""
+    most = np.minimum(end[i] - i, end[j] - j)
+    out = np.zeros(len(i), np.int64)
+    padded = np.concatenate([data, np.zeros(WIDE, np.uint8)])
+    open_ = np.arange(len(i))
+    for width in (8, 8, 8, 32, *[WIDE] * (len(data) // WIDE + 1)):
+        if not len(open_):
+            break
+        step, still = np.arange(width), []
+        for part in np.array_split(open_, -(-len(open_) * width // (1 << 22))):
+            a, b = padded[(i[part] + out[part])[:, None] + step], padded[(j[part] + out[part])[:, None] + step]
+            same = a == b
+            whole = same.all(axis=1)
+            out[part] += np.where(whole, width, same.argmin(axis=1))
+            still.append(part[whole & (out[part] < most[part])])
+        open_ = np.concatenate(still)
+    return np.minimum(out, most)
+
+
 def suffix_order(data: np.ndarray, end: np.ndarray, text: np.ndarray) -> np.ndarray:
     """Suffixes sorted by their bytes up to their text's end, equal ones by text: prefix doubling over the groups still tied."""
     n = len(data)

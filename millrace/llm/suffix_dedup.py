@@ -3,11 +3,12 @@
 Which ``length``-byte strings can be equal is decided first, so that no index has to hold the corpus: every window of that
 length has an anchor, the leftmost of its ``anchor``-byte strings with the least hash, which depends on the window's bytes
 alone. The windows of a document that follow one another with the same anchor form a segment, and equal windows lie in
-segments with equal anchor strings. Segments whose anchor occurs once are done; equal segments are collapsed into one with
-its count, before and after the shuffle. The different segments that share an anchor are gathered into blocks of bounded
-size, each block gets a run-length index, and one stream over it gives the matching statistics: windows that match
-``length`` bytes elsewhere are marked. Anchors with more than ``most`` different segments have no bounded block; their
-windows are counted by hash instead, dealt by hash into parts of bounded size, which is exact and splits by content.
+segments with equal anchor strings. Segments whose anchor occurs once are done. Equal segments are represented by two of
+them; the representatives that share an anchor are gathered into blocks of bounded size, each block gets a run-length
+index, and one stream over it gives the matching statistics: windows that match ``length`` bytes elsewhere are marked.
+An anchor with more than ``most`` different segments is replaced by longer ones: its windows are parted by where the anchor
+lies in them, all windows of a part share more bytes around it, and those are the anchors of the next level, down to the
+whole window. So every verdict comes from an index, whatever the size of a group.
 """
 
 from __future__ import annotations
@@ -17,20 +18,48 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .run_index import RunIndex, mixed, powers, prefix_hashes
+from .run_index import RunIndex
 from .shared import partitions, staged, table
 
 LENGTH = 400
 ANCHOR = 128
 #: The most different segments of an anchor that are indexed together.
 MOST = 512
-#: Segments with more companions deal their windows to PARTS parts for every PART of them.
-PARTS, PART = 16, 1 << 16
+#: Into how many parts the windows of a crowded anchor go at a level.
+PARTS = 4
 #: Bytes that are hashed, or indexed, at once.
 CHUNK = 1 << 20
+SEGMENTS = "d1 long, d2 long, first long, more long, off long, key long, sig long, copies long"
+
+
+#: The base of the polynomial hashes (odd, so that it has an inverse mod 2**64), and a random word for each byte.
+BASE = np.uint64(0x9E3779B97F4A7C15)
+UNBASE = np.uint64(pow(int(BASE), -1, 1 << 64))
+BYTE = np.random.default_rng(42).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE**i and BASE**-i for i < n."""
+    if len(_powers[0]) < n:
+        _powers[:] = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, b, np.uint64)])) for b in (BASE, UNBASE)]
+    return _powers[0][:n], _powers[1][:n]
+
+
+def prefix_hashes(data: np.ndarray) -> np.ndarray:
+    """h with (h[b] - h[a]) * BASE**-a a hash of data[a:b]; it only chooses anchors, so two strings with one hash do no harm."""
+    out = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(BYTE[data] * powers(len(data))[0], out=out[1:])
+    return out
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(29))
 
 
 def _least(values: np.ndarray, width: int) -> np.ndarray:
@@ -45,13 +74,13 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def segments(data: np.ndarray, spans: list[tuple[int, int]], length: int, anchor: int) -> tuple[np.ndarray, ...]:
-    """(first window, windows - 1, anchor's hash, segment's hash) of the segments of the texts data[a:b]."""
+    """(first window, windows - 1, bytes from the first window to the anchor, anchor's hash) of the segments of the texts data[a:b]."""
     n = len(data)
     if n < length:
-        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),) * 2
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
     h, inverse = prefix_hashes(data), powers(n + 1)[1]
     keys = mixed((h[anchor:] - h[:-anchor]) * inverse[: n - anchor + 1])
-    low = np.uint64((1 << int(n).bit_length()) - 1)
+    low = np.uint64((1 << (CHUNK + length).bit_length()) - 1)  # the same for all texts
     least = (_least((keys & ~low) | np.arange(len(keys), dtype=np.uint64), length - anchor + 1) & low).astype(np.int64)
     valid = np.zeros(len(least), bool)
     for a, b in spans:
@@ -63,7 +92,13 @@ def segments(data: np.ndarray, spans: list[tuple[int, int]], length: int, anchor
     past = np.append(edge[1:], len(least))
     own = valid[edge]
     first, last = edge[own], past[own] - 1
-    return first, last - first, keys[least[first]], mixed((h[last + length] - h[first]) * inverse[first])
+    return first, last - first, least[first] - first, keys[least[first]]
+
+
+def signatures(data: bytes, first: np.ndarray, past: np.ndarray) -> np.ndarray:
+    """Hashes of data[first:past], as signed numbers. Inside an anchor's group they tell segments apart."""
+    view = memoryview(data)
+    return np.fromiter((xxhash.xxh3_64_intdigest(view[a:b]) for a, b in zip(first.tolist(), past.tolist(), strict=True)), np.uint64, len(first)).view(np.int64)
 
 
 def _pieces(offsets: np.ndarray, length: int) -> Iterator[tuple[int, int, int, int]]:
@@ -95,29 +130,52 @@ def _find(length: int, anchor: int) -> Callable:
             ids = [batch.column(k).to_numpy() for k in (0, 1)]
             for i, j, a, b in _pieces(offsets, length):
                 spans = [(int(max(x, a)) - a, int(min(y, b)) - a) for x, y in zip(offsets[i:j], offsets[i + 1 : j + 1])]
-                first, more, key, sig = segments(data[a:b], spans, length, anchor)
+                first, more, off, key = segments(data[a:b], spans, length, anchor)
                 if len(first):
                     doc = np.searchsorted(offsets[i : j + 1], first + a, side="right") - 1 + i
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[0][doc], ids[1][doc], first + a - offsets[doc], more, key.view(np.int64), sig.view(np.int64))], ["d1", "d2", "first", "more", "key", "sig"])
+                    sig = signatures(data[a:b], first, first + more + length)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[0][doc], ids[1][doc], first + a - offsets[doc], more, off, key.view(np.int64), sig, np.ones(len(first), np.int64))], ["d1", "d2", "first", "more", "off", "key", "sig", "copies"])
+
+    return run
+
+
+def _part(length: int, slack: int) -> Callable:
+    """The segments of a crowded anchor, parted by how far the anchor is from a window's start, 0 to ``slack``."""
+    step = slack // PARTS + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for key, sig, copies, off, more, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for lo in range(0, slack + 1, step):
+                    hi = min(lo + step - 1, slack)
+                    first, last = max(0, off - hi), min(more, off - lo)
+                    if first <= last:
+                        # what all windows share whose start is lo to hi bytes before the anchor
+                        shared = text[off - lo : off - hi + length]
+                        own = xxhash.xxh3_64_intdigest(shared, (key + lo) & ((1 << 64) - 1))
+                        rows.append((key, sig, first, last - first, off - lo - first, own, xxhash.xxh3_64_intdigest(text[first : last + length]), copies))
+            if rows:
+                columns = [pa.array(np.array(x, np.uint64).view(np.int64) if k in (5, 6) else np.array(x, np.int64)) for k, x in enumerate(zip(*rows, strict=True))]
+                yield pa.RecordBatch.from_arrays(columns, ["d1", "d2", "first", "more", "off", "key", "sig", "copies"])
 
     return run
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of each document's wanted segments."""
+    """The bytes of each text's wanted segments."""
+    kinds = {"key": pa.int64(), "sig": pa.int64(), "which": pa.int32(), "copies": pa.int64(), "crowded": pa.bool_(), "off": pa.int64(), "more": pa.int64()}
     for batch in batches:
         text, wanted = batch.column(0), batch.column(1)
-        rows: dict[str, list] = {"key": [], "sig": [], "copies": [], "many": [], "bytes": []}
+        rows: dict[str, list] = {k: [] for k in (*kinds, "bytes")}
         for i in range(batch.num_rows):
             whole = text[i].as_py()
             for w in wanted[i].as_py():
-                rows["key"].append(w["key"])
-                rows["sig"].append(w["sig"])
-                rows["copies"].append(w["copies"])
-                rows["many"].append(w["many"])
+                for k in kinds:
+                    rows[k].append(w[k])
                 rows["bytes"].append(whole[w["first"] : w["past"]])
         if rows["key"]:
-            yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([("key", pa.int64()), ("sig", pa.int64()), ("copies", pa.int64()), ("many", pa.int64()), ("bytes", pa.binary())]))
+            yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([*kinds.items(), ("bytes", pa.binary())]))
 
 
 def runs_of(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -126,14 +184,12 @@ def runs_of(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(step == 1), np.flatnonzero(step == -1) - 1
 
 
-def marked(texts: list[bytes], copies: list[int], length: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Per text, the runs of positions whose ``length`` bytes occur elsewhere in the texts; all of them in a text with copies."""
-    index = RunIndex.build(texts)
-    repeated = index.matching_statistics() >= length
+def marked(texts: list[bytes], length: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per text, the runs of positions whose ``length`` bytes occur elsewhere in the texts."""
+    repeated = RunIndex.build(texts).matching_statistics() >= length
     out, at = [], 0
-    for t, n in zip(texts, copies, strict=True):
-        windows = repeated[at : at + len(t) - length + 1]
-        out.append(runs_of(np.ones_like(windows) if n > 1 else windows))
+    for t in texts:
+        out.append(runs_of(repeated[at : at + len(t) - length + 1]))
         at += len(t) + 1
     return out
 
@@ -145,112 +201,65 @@ def _index(length: int) -> Callable:
         rest: list[tuple] = []
         size = 0
 
-        def flush(n: int) -> pa.RecordBatch:
-            found = marked([r[2] for r in rest[:n]], [r[1] for r in rest[:n]], length)
-            m = [len(f[0]) for f in found]
-            out = [np.repeat(np.array(keys[:n], np.int64), m), np.repeat(np.array([r[0] for r in rest[:n]], np.int64), m), *(np.concatenate([f[k] for f in found]) for k in (0, 1))]
+        def flush() -> pa.RecordBatch:
+            found = marked([r[2] for r in rest], length)
+            # of equal segments one tells
+            own = [i for i, r in enumerate(rest) if not r[1]]
+            m = [len(found[i][0]) for i in own]
+            out = [np.repeat(np.array([keys[i] for i in own], np.int64), m), np.repeat(np.array([rest[i][0] for i in own], np.int64), m), *(np.concatenate([np.zeros(0, np.int64), *(found[i][k] for i in own)]) for k in (0, 1))]
             return pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["key", "sig", "lo", "hi"])
 
         for batch in batches:
             for key, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if size >= CHUNK and key != keys[-1]:
-                    yield flush(len(keys))
+                    yield flush()
                     keys, rest, size = [], [], 0
                 keys.append(key)
                 rest.append(tuple(row))
                 size += len(row[2])
         if keys:
-            yield flush(len(keys))
+            yield flush()
 
     return run
 
 
-def _windows(length: int) -> Callable:
-    """For each segment, its windows' hashes and places in ``parts`` rows, dealt by hash, so equal windows meet in a part."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows: list[tuple] = []
-            for key, sig, copies, parts, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                data = np.frombuffer(text, np.uint8)
-                h, n = prefix_hashes(data), len(data) - length + 1
-                w = mixed((h[length:] - h[:-length]) * powers(n)[1])
-                part = (w % np.uint64(parts)).astype(np.int64)
-                order = np.argsort(part, kind="stable")
-                first = np.flatnonzero(np.diff(part[order], prepend=-1))
-                for lo, hi in zip(first.tolist(), [*first[1:].tolist(), n], strict=True):
-                    own = order[lo:hi]
-                    rows.append((key, int(part[own[0]]), sig, copies, w[own].tobytes(), own.astype("<i4").tobytes()))
-            if rows:
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["key", "part", "sig", "copies", "windows", "places"])
-
-    return run
-
-
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by (key, part), about PART segments to one; the places of windows that occur more than once."""
-    rows: list[tuple] = []
-
-    def flush() -> pa.RecordBatch:
-        windows = [np.frombuffer(r[4], np.uint64) for r in rows]
-        flat, of = np.concatenate(windows), np.repeat(np.arange(len(rows)), [len(w) for w in windows])
-        _, back = np.unique(flat, return_inverse=True)
-        often = np.bincount(back, weights=np.array([r[3] for r in rows])[of])[back] > 1
-        places = np.concatenate([np.frombuffer(r[5], "<i4") for r in rows])[often]
-        of = of[often]
-        row, n = np.unique(of, return_counts=True)
-        ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
-        return pa.RecordBatch.from_arrays([pa.array([rows[i][0] for i in row], pa.int64()), pa.array([rows[i][2] for i in row], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(places.astype(np.int64)))], ["key", "sig", "xs"])
-
-    for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if rows and row[:2] != rows[-1][:2]:
-                yield flush()
-                rows.clear()
-            rows.append(row)
-    if rows:
-        yield flush()
-
-
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for key, sig, xs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            flags = np.zeros(max(xs) + 1, bool)
-            flags[xs] = True
-            lo, hi = runs_of(flags)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(lo), key)), pa.array(np.full(len(lo), sig)), pa.array(lo), pa.array(hi)], ["key", "sig", "lo", "hi"])
-
-
-def repeated_spans(keyed: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, most: int = MOST) -> DataFrame:
-    """(d1, d2, spans array<struct<lo, hi>>): byte spans [lo, hi) to remove, by document; ``keyed`` has (d1, d2, text), text without nulls."""
+def _repeated(keyed: DataFrame, found: DataFrame, length: int, slack: int, most: int) -> DataFrame:
+    """(d1, d2, lo, hi): runs of windows, lo to hi, that occur more than once; ``keyed`` (d1, d2, text binary) holds the texts of ``found`` (SEGMENTS)."""
     n = partitions(keyed.sparkSession)
-    found = staged(keyed.select("d1", "d2", "text").mapInArrow(_find(length, anchor), "d1 long, d2 long, first long, more long, key long, sig long"), "segments")
-    again = found.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("sig").alias("a"), F.max("sig").alias("b")).where("n > 1").select("key", (F.col("a") != F.col("b")).alias("differ"))
+    again = found.groupBy("key").agg(F.sum("copies").alias("n")).where("n > 1").select("key")
     again = staged(again, "met-anchors")  # a plain table: a skewed join with it can be split
     met = staged(found.join(again, "key"), "met-segments")
 
-    differ = met.where("differ").groupBy("key", "sig").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("d1", "d2", "first", "more")).alias("one"))
-    differ = staged(differ, "differing-segments")
-    many = differ.groupBy("key").agg(F.when(F.count(F.lit(1)) > most, PARTS * F.ceil(F.count(F.lit(1)) / PART)).otherwise(0).alias("many"))
-    many = staged(many, "crowded-anchors")
-    wanted = differ.join(many, "key").select("one.d1", "one.d2", F.struct("key", "sig", "copies", "many", F.col("one.first").alias("first"), (F.col("one.first") + F.col("one.more") + length).alias("past")).alias("w"))
+    place = F.struct("d1", "d2", "first", "more", "off")
+    distinct = met.groupBy("key", "sig").agg(F.sum("copies").alias("copies"), F.min(place).alias("a"), F.max(place).alias("b"))
+    distinct = staged(distinct, "distinct-segments")
+    crowds = staged(distinct.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("key", F.lit(True).alias("crowded")), "crowded-anchors")
+    several = not crowds.isEmpty()
+    rated = distinct.join(crowds, "key", "left") if several else distinct.withColumn("crowded", F.lit(None).cast("boolean"))
+    rated = rated.withColumn("crowded", F.coalesce("crowded", F.lit(False)))
+    two = F.when((F.col("copies") > 1) & ~F.col("crowded"), F.array("a", "b")).otherwise(F.array("a"))
+    wanted = rated.select("key", "sig", "copies", "crowded", F.posexplode(two).alias("which", "at"))
+    wanted = wanted.select("at.d1", "at.d2", F.struct("key", "sig", "which", "copies", "crowded", "at.off", "at.more", "at.first", (F.col("at.first") + F.col("at.more") + length).alias("past")).alias("w"))
     wanted = wanted.groupBy("d1", "d2").agg(F.collect_list("w").alias("wanted"))
-    # of equal rows one is enough
-    cut = keyed.join(wanted, ["d1", "d2"]).select(F.col("text").cast("binary").alias("text"), "wanted").mapInArrow(_cut, "key long, sig long, copies long, many long, bytes binary")
-    cut = staged(cut, "segment-bytes").dropDuplicates(["key", "sig"])
-    dealt = cut.where("many = 0").select("key", "sig", "copies", "bytes").repartition(n, "key").sortWithinPartitions("key")
-    indexed = dealt.mapInArrow(_index(length), "key long, sig long, lo long, hi long")
+    cut = keyed.join(wanted, ["d1", "d2"]).select("text", "wanted").mapInArrow(_cut, "key long, sig long, which int, copies long, crowded boolean, off long, more long, bytes binary")
+    cut = staged(cut, "segment-bytes")
+    one = cut.dropDuplicates(["key", "sig", "which"])  # of equal rows one is enough
+    dealt = one.where("not crowded").select("key", "sig", "which", "bytes").repartition(n, "key").sortWithinPartitions("key", "sig")
+    verdict = dealt.mapInArrow(_index(length), "key long, sig long, lo long, hi long")
+    if several:
+        parents = staged(one.where("crowded"), "crowded-segments")
+        finer = staged(parents.select("key", "sig", "copies", "off", "more", "bytes").mapInArrow(_part(length, slack), SEGMENTS), "parted-segments")
+        finer = _repeated(parents.select(F.col("key").alias("d1"), F.col("sig").alias("d2"), F.col("bytes").alias("text")), finer, length, slack // PARTS, most)
+        verdict = verdict.unionAll(finer.select(F.col("d1").alias("key"), F.col("d2").alias("sig"), "lo", "hi"))
+    verdict = staged(verdict, "verdicts")
+    return met.join(verdict, ["key", "sig"]).select("d1", "d2", (F.col("first") + F.col("lo")).alias("lo"), (F.col("first") + F.col("hi")).alias("hi"))
 
-    windows = cut.where("many > 0").select("key", "sig", "copies", "many", "bytes").mapInArrow(_windows(length), "key long, part long, sig long, copies long, windows binary, places binary")
-    dealt = windows.repartition(n, "key", "part").sortWithinPartitions("key", "part")
-    common = dealt.mapInArrow(_counted, "key long, sig long, xs array<long>")
-    counted = common.groupBy("key", "sig").agg(F.flatten(F.collect_list("xs")).alias("xs")).mapInArrow(_runs, "key long, sig long, lo long, hi long")
 
-    verdict = staged(indexed.unionAll(counted), "verdicts")
-    parts = met.where("differ").join(verdict, ["key", "sig"]).select("d1", "d2", (F.col("first") + F.col("lo")).alias("lo"), (F.col("first") + F.col("hi") + length).alias("hi"))
-    whole = met.where("not differ").select("d1", "d2", F.col("first").alias("lo"), (F.col("first") + F.col("more") + length).alias("hi"))
-    return parts.unionAll(whole).groupBy("d1", "d2").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+def repeated_spans(keyed: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, most: int = MOST) -> DataFrame:
+    """(d1, d2, spans array<struct<lo, hi>>): byte spans [lo, hi) to remove, by document; ``keyed`` has (d1, d2, text), text without nulls."""
+    found = staged(keyed.select("d1", "d2", "text").mapInArrow(_find(length, anchor), SEGMENTS), "segments")
+    runs = _repeated(keyed.select("d1", "d2", F.col("text").cast("binary").alias("text")), found, length, length - anchor, most)
+    return runs.groupBy("d1", "d2").agg(F.collect_set(F.struct("lo", (F.col("hi") + length).alias("hi"))).alias("spans"))
 
 
 def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
@@ -285,14 +294,24 @@ def mark_repeats(docs: DataFrame, columns: list[str], length: int = LENGTH, anch
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows: list[list] = [[], [], [], []]
+        rows: list[list] = [[], [], [], [], []]
         for text, spans in zip(batch.column(1), batch.column(2), strict=True):
             text, runs = text.as_py(), merged(spans.as_py())
-            for own, x in zip(rows, (len(text), sum(b - a for a, b in runs), len(runs), hashlib.sha256(kept(text, runs)).hexdigest()), strict=True):
+            left = kept(text, runs)
+            for own, x in zip(rows, (len(text), sum(b - a for a, b in runs), len(runs), hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore")), strict=True):
                 own.append(x)
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(r, pa.int64()) for r in rows[:3]), pa.array(rows[3], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(r, pa.int64()) for r in rows[:3]), *(pa.array(r, pa.string()) for r in rows[3:])], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"])
+
+
+DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string"
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's bytes that are left: (doc_id, n_bytes, n_removed, n_spans, kept_sha256, text).
+
+    ``text`` is what is left, without the bytes of a character that was cut through; the digest is of all bytes left. A null
+    text is empty (0 bytes, the digest of nothing); texts under 400 bytes lose nothing. Repeated rows are each other's repeats
+    and come back as often; rows without a doc_id are judged like others. No rows give no rows; other columns are ignored.
+    """
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return mark_repeats(docs, ["doc_id"]).mapInArrow(_digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return mark_repeats(docs, ["doc_id"]).mapInArrow(_digest, DIGEST)

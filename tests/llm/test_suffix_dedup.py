@@ -1,11 +1,12 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from millrace.llm import suffix_dedup
-from millrace.llm.run_index import RunIndex
+from millrace.llm.run_index import RunIndex, common
 
 
 def brute(texts: dict[int, str | None], length: int) -> dict[int, list[bool]]:
@@ -38,11 +39,12 @@ def corpus(seed: int) -> dict[int, str | None]:
     return texts
 
 
-@pytest.mark.parametrize("most", [512, 2])
+@pytest.mark.parametrize("most", [512, 4, 1])
 def test_against_brute_force(spark, most):
+    """A small ``most`` parts crowded anchors down to whole windows."""
     texts = corpus(1)
     df = spark.createDataFrame([(k, v, "x") for k, v in texts.items()], "doc_id long, text string, spans string")
-    got = suffix_dedup.mark_repeats(df, ["doc_id"], length=40, anchor=12, most=most).mapInArrow(suffix_dedup._digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    got = suffix_dedup.mark_repeats(df, ["doc_id"], length=40, anchor=12, most=most).mapInArrow(suffix_dedup._digest, suffix_dedup.DIGEST)
     got = {r["doc_id"]: r for r in got.collect()}
     assert set(got) == set(texts)
     removed = 0
@@ -54,6 +56,7 @@ def test_against_brute_force(spark, most):
         assert (r["n_bytes"], r["n_removed"]) == (len(data), sum(flags)), k
         assert r["n_spans"] == sum(f and not (i and flags[i - 1]) for i, f in enumerate(flags)), k
         assert r["kept_sha256"] == hashlib.sha256(keep).hexdigest(), k
+        assert r["text"] == keep.decode("utf-8", "ignore"), k
     assert removed > 1000
 
 
@@ -84,6 +87,54 @@ def test_matching_statistics():
         at += len(text) + 1
 
 
+def thue_morse(n: int, a: str = "ab") -> str:
+    return "".join(a[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_matches_are_compared_by_bytes():
+    """These two strings have equal polynomial hashes modulo 2**64."""
+    one, other = thue_morse(2048).encode(), thue_morse(2048, "ba").encode()
+    h = [suffix_dedup.prefix_hashes(np.frombuffer(t, np.uint8))[-1] for t in (one, other)]
+    assert h[0] == h[1]
+    where = np.array([0]), np.array([2049])
+    data = np.frombuffer(one + b"\0" + other + b"\0", np.uint8)
+    assert common(data, np.repeat([2048, 4097], 2049), *where)[0] == 0
+
+
+def test_strings_with_equal_hashes_stay(spark):
+    df = spark.createDataFrame([(1, thue_morse(2048)), (2, thue_morse(2048, "ba")), (3, "c" * 30)], "doc_id long, text string")
+    got = {r["doc_id"]: r["spans_"] for r in suffix_dedup.mark_repeats(df, ["doc_id"], length=1500, anchor=1200).collect()}
+    for k, flags in brute({1: thue_morse(2048), 2: thue_morse(2048, "ba")}, 1500).items():
+        assert sum(hi - lo for lo, hi in suffix_dedup.merged(got[k])) == sum(flags)
+
+
+def test_every_verdict_comes_from_an_index(spark, tmp_path, monkeypatch):
+    """Without the index nothing is found, not even among exact copies or in crowds."""
+    rng = random.Random(5)
+    shared = "".join(rng.choice("abc ") for _ in range(90))
+    texts = [shared] * 3 + ["".join(rng.choice("abc ") for _ in range(50)) + shared for _ in range(12)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = suffix_dedup.mark_repeats(df, ["doc_id"], length=40, anchor=12, most=4).where("size(spans_) > 0").count()
+    assert found == len(texts)
+    monkeypatch.setattr(suffix_dedup, "_index", lambda length: lambda batches: iter(()))
+    assert suffix_dedup.mark_repeats(df, ["doc_id"], length=40, anchor=12, most=4).where("size(spans_) > 0").count() == 0
+
+
+def test_one_passage_in_many_texts(spark):
+    """A crowd whose members all differ outside the passage, some of which share more."""
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage, left = word(70), [word(30) for _ in range(3)]
+    texts = {i: word(rng.randint(0, 40)) + rng.choice(left)[rng.randint(0, 25) :] + passage[: rng.randint(35, 70)] + word(20) for i in range(80)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["spans_"] for r in suffix_dedup.mark_repeats(df, ["doc_id"], length=48, anchor=16, most=3).collect()}
+    for k, flags in brute(texts, 48).items():
+        cover = np.zeros(len(flags), bool)
+        for lo, hi in suffix_dedup.merged(got[k]):
+            cover[lo:hi] = True
+        assert cover.tolist() == flags, k
+
+
 def test_anchor_must_fit(spark):
     with pytest.raises(ValueError):
         suffix_dedup.mark_repeats(spark.range(1).select(F.col("id").alias("doc_id"), F.lit("x").alias("text")), ["doc_id"], length=10, anchor=11)
