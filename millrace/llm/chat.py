@@ -10,17 +10,17 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import partitions, table
+from .shared import partitions, staged, table
 
 #: Turns that are rendered and encoded together; a longer conversation goes on in further parts.
 PART_TURNS = 4096
@@ -88,21 +88,24 @@ def mask(offsets: np.ndarray, spans: np.ndarray) -> np.ndarray:
     return (at >= 0) & (offsets[:, 1] <= spans[at, 1]) & (offsets[:, 0] < offsets[:, 1])
 
 
+def part_of(turn: Column, part_turns: int = PART_TURNS) -> Column:
+    return F.coalesce(F.floor(turn.cast("long") / part_turns), F.lit(-(1 << 62))).cast("long")
+
+
 FORMATTED = "conv_id long, part long, n_turns long, text string, input_ids array<int>, token_starts array<int>, token_ends array<int>, loss_mask array<boolean>"
 
 
-def format_conversations(turns: DataFrame, tokenizer: str | None = None, template: Template = Template(), learn: tuple[str, ...] = ("assistant",), part_turns: int = PART_TURNS) -> DataFrame:
+def format_conversations(turns: DataFrame, tokenizer: str | None = None, template: Template = Template(), learn: tuple[str, ...] = ("assistant",), part_turns: int = PART_TURNS, then: Callable | None = None, schema: str = FORMATTED) -> DataFrame:
     """(conv_id, part, n_turns, text, input_ids, token_starts, token_ends, loss_mask) of conversations given as rows (conv_id, turn, role, text).
 
     Turns go by ``turn`` (null first), ties by role and text; null roles and texts are empty; repeated rows are turns of
     their own; rows with a null conv_id are one conversation. ``part`` counts from turn 0 in steps of ``part_turns`` turn
     numbers (null turns come before all parts): a conversation has one part unless it has more turns than that, and its
     parts, in order, are its text. An empty text has no token under the mask. An empty table gives an empty result; other
-    columns are ignored.
+    columns are ignored. ``then`` reads the formatted batches, sorted by (conv_id, part), where they are made, and gives rows of ``schema``.
     """
     path = tokenizer or public_tokenizers.path(TOKENIZER)
-    part = F.coalesce(F.floor(F.col("turn").cast("long") / part_turns), F.lit(-(1 << 62)))
-    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), part.cast("long").alias("part"), F.col("turn").cast("long").alias("turn"), *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("role", "text")])
+    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), part_of(F.col("turn"), part_turns).alias("part"), F.col("turn").cast("long").alias("turn"), *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("role", "text")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = load_tokenizer(path, template)
@@ -134,7 +137,7 @@ def format_conversations(turns: DataFrame, tokenizer: str | None = None, templat
             yield made(groups)
 
     dealt = rows.repartition(partitions(turns.sparkSession), "conv_id", "part").sortWithinPartitions("conv_id", "part", "turn", "role", "text")
-    return dealt.mapInArrow(run, FORMATTED)
+    return dealt.mapInArrow((lambda batches: then(run(batches))) if then else run, schema)
 
 
 def masked_text(text: str, starts: np.ndarray, ends: np.ndarray, under: np.ndarray, template: Template = Template()) -> str:
@@ -156,7 +159,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     turns = learnt = hashlib.sha256()
     done: list[tuple] = []
     for batch in batches:
-        for conv, text, starts, ends, under in zip(*batch.columns, strict=True):
+        for conv, text, starts, ends, under in zip(*(batch.column(c) for c in ("conv_id", "text", "token_starts", "token_ends", "loss_mask")), strict=True):
             if not begun or conv.as_py() != now:
                 if begun:
                     done.append((now, n, turns.hexdigest(), loss, learnt.hexdigest(), chars))
@@ -175,13 +178,39 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((now, n, turns.hexdigest(), loss, learnt.hexdigest(), chars), kinds, strict=True)], fields)
 
 
+DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+#: More conversations of several parts than this are told apart by a shuffle instead of a broadcast.
+MOST_LONG = 100_000
+
+
+def digested(turns: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
+    """Digests of formatted conversations, read back from the formatted rows, one row a conversation.
+
+    Those of one part are digested where they are formatted. The parts of longer ones are formatted apart, wherever they are,
+    and then meet: a digest is made in order.
+    """
+    ends = turns.select(F.col("conv_id").cast("long").alias("long_id"), part_of(F.col("turn"), part_turns).alias("part")).groupBy("long_id").agg(F.min("part").alias("a"), F.max("part").alias("b"))
+    several = staged(ends.where("a <> b").select("long_id"), "long-conversations")
+    n = several.count()
+    if not n:
+        return format_conversations(turns, part_turns=part_turns, then=_digest, schema=DIGEST)
+    several = F.broadcast(several) if n <= MOST_LONG else several
+    same = F.col("conv_id").cast("long").eqNullSafe(F.col("long_id"))
+    short = format_conversations(turns.join(several, same, "left_anti"), part_turns=part_turns, then=_digest, schema=DIGEST)
+    parts = format_conversations(turns.join(several, same, "left_semi"), part_turns=part_turns).drop("n_turns", "input_ids")
+    parts = parts.repartition(partitions(turns.sparkSession), "conv_id").sortWithinPartitions("conv_id", "part")
+    return short.unionAll(parts.mapInArrow(_digest, DIGEST))
+
+
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every conversation, and conversation -1 whose texts are control strings; digests are read back from the formatted rows."""
+    """Every conversation, and conversation -1 whose texts are control strings: (conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars).
+
+    Null roles and texts are empty, null turns come first, ties go by role and text, repeated rows are turns of their own, rows with a
+    null conv_id are one conversation, no rows leave conversation -1; other columns are ignored.
+    """
     say = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-1, 0, "user", say), (-1, 1, "assistant", say)], "conv_id long, turn long, role string, text string")
-    formatted = format_conversations(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionAll(more))
-    parts = formatted.select("conv_id", "part", "text", "token_starts", "token_ends", "loss_mask").repartition(partitions(spark), "conv_id").sortWithinPartitions("conv_id", "part")
-    return parts.drop("part").mapInArrow(_digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return digested(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionAll(more))
 
 
 #: The digests of the turns are plain SQL; formatted_chars counts a character more for each control string, and each that is escaped already.
