@@ -4,11 +4,14 @@ A rule is a host and a path prefix, written ``example.com/en/7``. A url's candid
 path's prefixes, for the (labels, path length) shapes that occur in the rules. Level 0 of a cascade encodes the listed
 keys, level 1 those candidate keys of the corpus that pass level 0 falsely, level 2 the listed keys that pass level 1, and
 so on until a level lets nothing through; over the corpus's own keys membership is then exact, and urls are judged without
-a join. Hashes are drawn anew for each level, so keys that meet in one level part in a later one.
+a join. Level 0 is so fine that about as many other keys pass it as are listed, so the levels grow with the list, and only by a
+logarithm with the corpus. Hashes are drawn anew for each level, so keys that meet in one level part in a later one. A long list
+has a cascade for each part of its keys, and the urls are judged by one part after the other.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,10 +21,8 @@ from pyspark.sql import functions as F
 
 from .shared import ascii_lower, staged, table
 
-HASHES = 4
-BITS_A_KEY = 10
-#: The largest filter that is broadcast, in bits (128 MB).
-MAX_BITS = 1 << 30
+#: Listed keys of one cascade; more are dealt to several cascades by hash. With 40 bits a key a filter has at most 10 MB.
+PART_KEYS = 1 << 21
 
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 
@@ -35,79 +36,105 @@ def url_parts(url: Column) -> tuple[Column, Column]:
     return F.coalesce(host, F.lit("")), F.coalesce(path, F.lit(""))
 
 
-def _slots(key: Column, level: int, bits: int) -> list[Column]:
-    return [F.pmod(F.xxhash64(key, F.lit(level), F.lit(i)), F.lit(bits)) for i in range(HASHES)]
+def _hash(key: Column, level: int) -> Column:
+    return F.xxhash64(key, F.lit(level))
 
 
 @dataclass
 class Level:
     bits: int
+    hashes: int
     words: np.ndarray  # of 64 bits each
 
-    def holds(self, slots: np.ndarray) -> np.ndarray:
-        """slots: (..., HASHES) positions; which keys have all their bits set."""
-        return ((self.words[slots >> 6] >> (slots & 63).astype(np.uint64)) & np.uint64(1)).astype(bool).all(axis=-1)
-
-
-def _level(keys: DataFrame, level: int, n: int) -> Level:
-    """Set the bits of ``n`` keys: OR-ed by words before and after the shuffle, then gathered (at most MAX_BITS / 64 rows)."""
-    bits = max(64, -(-n * BITS_A_KEY // 64) * 64)
-    if bits > MAX_BITS:
-        raise ValueError(f"{n} keys need {bits} bits; a filter holds {MAX_BITS}: split the list by key and build one cascade a part")
-    at = keys.select(F.explode(F.array(*_slots(F.col("key"), level, bits))).alias("at"))
-    rows = at.groupBy((F.col("at") / 64).cast("long").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("set")).toPandas()
+    def holds(self, h: np.ndarray) -> np.ndarray:
+        """Which keys have all their bits set, of the level's hashes ``h``: bit i of a key is at (upper half + i * lower half) % bits."""
+        h = h.astype(np.int64).view(np.uint64)
+        upper, lower = h >> np.uint64(32), (h & np.uint64(0xFFFFFFFF)) | np.uint64(1)
+        out = np.ones(len(h), bool)
+        for i in range(self.hashes):
+            at = (upper + np.uint64(i) * lower) % np.uint64(self.bits)
+            out &= ((self.words[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)).astype(bool)
+        return out
+
+
+def _level(keys: DataFrame, level: int, n: int, share: float) -> Level:
+    """A filter of ``n`` keys that others pass with a chance of ``share``: bits are OR-ed by words before and after the shuffle, then gathered (n is about PART_KEYS at most)."""
+    hashes = min(40, max(1, round(math.log2(1 / share))))
+    bits = max(64, math.ceil(n * hashes / math.log(2) / 64) * 64)
+    h = _hash(F.col("key"), level)
+    upper, lower = F.shiftrightunsigned(h, 32), h.bitwiseAND(F.lit(0xFFFFFFFF)).bitwiseOR(F.lit(1))
+    at = keys.select(F.explode(F.array(*[(upper + i * lower) % bits for i in range(hashes)])).alias("at"))
+    rows = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("set")).toPandas()
     words = np.zeros(bits // 64, np.uint64)
     words[rows["word"].to_numpy(np.int64)] = rows["set"].to_numpy(np.int64).view(np.uint64)
-    return Level(bits, words)
+    return Level(bits, hashes, words)
 
 
 def build_cascade(listed: DataFrame, universe: DataFrame) -> list[Level]:
     """Levels for the column ``key`` of ``listed``, exact for every key of ``universe`` (distinct keys).
 
-    An empty list gives one empty level, which holds nothing.
+    An empty list gives one empty level, which holds nothing. Null keys are left out.
     """
-    inside = listed.select("key").distinct()
-    outside = universe.select("key").join(inside, "key", "left_anti")
+    inside = listed.select("key").where("key is not null").distinct()
+    outside = universe.select("key").where("key is not null").join(inside, "key", "left_anti")
     levels: list[Level] = []
-    encode, other = inside, outside
+    encode, other, n, rest = inside, outside, inside.count(), outside.count()
     while True:
-        n = encode.count()
         if not n and levels:
             return levels
-        levels.append(level := _level(encode, len(levels), n))
+        share = min(0.5, max(n, 1) / max(rest, 1)) if not levels else 0.5
+        levels.append(level := _level(encode, len(levels), n, share))
         if not n:
             return levels
         # of the other side, what passes this level falsely is what the next one encodes
-        passed = staged(other.where(_test(other.sparkSession, [level], len(levels) - 1)(F.array(*_slots(F.col("key"), len(levels) - 1, level.bits)))), "false-positives")
-        encode, other = passed, encode
+        passed = staged(other.where(_test(other.sparkSession, [level])(F.array(_hash(F.col("key"), len(levels) - 1)))), "false-positives")
+        encode, other, n, rest = passed, encode, passed.count(), n
 
 
-def _test(spark: SparkSession, levels: list[Level], first: int = 0):
-    """A UDF over the positions of one key in ``levels``: is it held by the cascade that starts there?"""
+def _test(spark: SparkSession, levels: list[Level]):
+    """A UDF over a key's hashes for ``levels``: is it held by the cascade that starts there?"""
     shared = spark.sparkContext.broadcast(levels)
 
     @F.pandas_udf("boolean")
-    def held(slots: pd.Series) -> pd.Series:
-        if not len(slots):
+    def held(hashes: pd.Series) -> pd.Series:
+        if not len(hashes):
             return pd.Series([], dtype=bool)
-        return pd.Series(_held(shared.value, np.stack(slots.to_numpy())))
+        return pd.Series(_held(shared.value, np.stack(hashes.to_numpy())))
 
     return held
 
 
-def _held(levels: list[Level], slots: np.ndarray) -> np.ndarray:
-    """Membership by the parity of the first level that does not hold the key. slots: (keys, levels * HASHES)."""
-    first = np.full(len(slots), len(levels))
+def _held(levels: list[Level], hashes: np.ndarray) -> np.ndarray:
+    """Membership by the parity of the first level that does not hold the key. hashes: (keys, levels or more)."""
+    first = np.full(len(hashes), len(levels))
     for i in range(len(levels) - 1, -1, -1):
-        first[~levels[i].holds(slots[:, i * HASHES : (i + 1) * HASHES])] = i
+        first[~levels[i].holds(hashes[:, i])] = i
     return first % 2 == 1
 
 
-def filter_urls(pages: DataFrame, rules=RULES, default: str = "allow", id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def _judge(spark: SparkSession, cascades: dict[str, list[Level]], n_keys: int, depth: int):
+    """A UDF over the hashes of a url's keys, end to end: the verdict of each key, null where no cascade holds it."""
+    shared = spark.sparkContext.broadcast(cascades)
+
+    @F.pandas_udf("array<string>")
+    def judge(hashes: pd.Series) -> pd.Series:
+        n = len(hashes)
+        if not n:
+            return pd.Series([], dtype=object)
+        flat = np.concatenate(hashes.to_numpy()).reshape(n * n_keys, depth)
+        out = np.full(len(flat), None, dtype=object)
+        for v, levels in shared.value.items():
+            out[_held(levels, flat)] = v
+        return pd.Series(list(out.reshape(n, n_keys)))
+
+    return judge
+
+
+def filter_urls(pages: DataFrame, rules=RULES, default: str = "allow", id_col: str = "page_id", url_col: str = "url", part_keys: int = PART_KEYS) -> DataFrame:
     """Judge every url: (id, host, path, rule, verdict).
 
     Of the rules that fit, the longest string wins (of equally long ones that with more host labels); ``rule`` is null and the
-    verdict ``default`` where none fits. A rule listed twice counts as it is listed first. Null urls, and urls without
+    verdict ``default`` where none fits. A rule listed twice counts as it is listed first; no rules give ``default``. Null urls, and urls without
     ``://``, have empty host and path. Rows repeat as they come; an empty table gives an empty result; other columns of
     ``pages`` are ignored, whatever their names.
     """
@@ -115,42 +142,35 @@ def filter_urls(pages: DataFrame, rules=RULES, default: str = "allow", id_col: s
     action: dict[str, str] = {}
     for verdict, key in rules:
         action.setdefault(key, verdict)
-    shapes = sorted({(k.partition("/")[0].count(".") + 1, len(k) - len(k.partition("/")[0])) for k in action})
+    shapes = sorted({(k.partition("/")[0].count(".") + 1, len(k) - len(k.partition("/")[0])) for k in action}) or [(1, 0)]
     host, path = url_parts(F.col("url"))
-    parts = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url")).select("page_id", host.alias("host"), path.alias("path"))
+    urls = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url")).select("page_id", host.alias("host"), path.alias("path"))
     keys = F.array(*[F.concat(F.substring_index("host", ".", -labels), F.substring("path", 1, n)) for labels, n in shapes])
-    universe = staged(parts.select(F.explode(keys).alias("key")).distinct(), "url-keys")
-    cascades = {}
-    for verdict in sorted(set(action.values())):
-        listed = spark.createDataFrame([(k,) for k, v in action.items() if v == verdict], "key string")
-        cascades[verdict] = build_cascade(listed, universe)
-    shared = spark.sparkContext.broadcast(cascades)
-    verdicts = list(cascades)
-
-    def slots(key: Column) -> Column:
-        return F.array(*[s for v in verdicts for i, x in enumerate(cascades[v]) for s in _slots(key, i, x.bits)])
-
-    @F.pandas_udf("array<string>")
-    def judge(positions: pd.Series) -> pd.Series:
-        """The verdict of each candidate key, null where no cascade holds it. positions: all keys' positions, end to end."""
-        n = len(positions)
-        if not n:
-            return pd.Series([], dtype=object)
-        flat = np.concatenate(positions.to_numpy()).reshape(n * len(shapes), -1)
-        out, at = np.full(len(flat), None, dtype=object), 0
-        for v, levels in shared.value.items():
-            width = len(levels) * HASHES
-            out[_held(levels, flat[:, at : at + width])] = v
-            at += width
-        return pd.Series(list(out.reshape(n, len(shapes))))
-
-    judged = parts.select("page_id", "host", "path", keys.alias("keys")).withColumn("verdicts", judge(F.flatten(F.transform("keys", slots))))
+    parts = max(1, -(-len(action) // part_keys))
+    part = F.pmod(F.xxhash64("key"), F.lit(parts))
+    universe = staged(urls.select(F.explode(keys).alias("key")).distinct(), "url-keys")
+    listed = spark.createDataFrame(list(action.items()), "key string, verdict string")
+    judged = urls.select("*", keys.alias("keys"), F.transform(keys, lambda k: F.lit(None).cast("string")).alias("verdicts"))
+    for p in range(parts):
+        own = universe.where(part == p) if parts > 1 else universe
+        cascades = {v: build_cascade(listed.where((F.col("verdict") == v) & (part == p)), own) for v in sorted(set(action.values()))}
+        depth = max(map(len, cascades.values()), default=1)
+        verdicts = _judge(spark, cascades, len(shapes), depth)(F.flatten(F.transform("keys", lambda k: F.array(*[_hash(k, i) for i in range(depth)]))))
+        if parts > 1:  # a cascade tells nothing of other parts' keys
+            mine = lambda k, new: F.when(F.pmod(F.xxhash64(k), F.lit(parts)) == p, new)  # noqa: B023, E731
+            verdicts = F.zip_with(F.zip_with("keys", verdicts, mine), "verdicts", lambda new, old: F.coalesce(new, old))
+        judged = judged.withColumn("verdicts", verdicts)
+        judged = staged(judged, "judged-urls") if p < parts - 1 else judged
     hits = F.filter(F.arrays_zip("keys", "verdicts"), lambda x: x["verdicts"].isNotNull())
     best = F.array_max(F.transform(hits, lambda x: F.struct(F.length(x["keys"]).alias("n"), F.size(F.split(F.substring_index(x["keys"], "/", 1), r"\.")).alias("labels"), x["keys"].alias("key"), x["verdicts"].alias("verdict"))))
     return judged.withColumn("best", best).select("page_id", "host", "path", F.col("best.key").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's url judged by the five rules of RULES: (page_id, host, path, rule, verdict).
+
+    Null urls, urls without ``://``, repeated rows, ties and empty tables are as in :func:`filter_urls`; other columns are ignored.
+    """
     return filter_urls(table(spark, sf_dir, "pages"))
 
 
