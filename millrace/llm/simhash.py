@@ -5,15 +5,19 @@ agree in two of ``budget + 2`` blocks of bits, so every pair meets in a group of
 fingerprints, their shared bits first, are one binary trie (a sorted array whose nodes are index ranges). Its self-join
 walks pairs of nodes together from the root, adds up the bits in which they part and drops a pair of nodes once the budget
 is spent. Linked fingerprints become stars, and stars components.
+
+:func:`similar_groups` links texts by the similarity of their shingle sets. The same self-join finds its pairs, with a budget wide
+enough for a similarity of 0.8, among texts that share a key of min-hashes; an exact comparison follows.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import re
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +30,11 @@ FRONTIER = 1 << 17
 #: BANDS keys of BAND min-hashes of the shingles: two texts at a similarity of s share none with a chance of (1 - s ** BAND) ** BANDS, whatever
 #: the edits are and however short the texts: 0.00007 at 0.8, 5e-10 at 0.9. At 0.5 half of all pairs meet, at 0.3 one in 18.
 BANDS, BAND = 24, 5
+#: The bits of a set's fingerprint, and in how many of them sets may differ that are compared. Sets at a similarity of 0.8 differ in 15 % of the bits
+#: (the angle between them over pi), so in more than this many of 48 about once in 100,000 pairs; unrelated ones in half.
+SET_BITS, SET_BUDGET = 48, 20
+#: Groups are joined together until they have this many rows or shingles.
+SET_ROWS, SET_SHINGLES = 4096, 1 << 20
 #: A group of more rows or shingles is dealt to several tasks.
 PART_ROWS, PART_SHINGLES = 1024, 1 << 20
 #: A group of more fingerprints is parted by two further blocks of bits.
@@ -43,7 +52,11 @@ def fingerprint(text: bytes, words: int) -> int:
     ends = np.cumsum(np.fromiter(map(len, own), np.int64, len(own)) + 1) - 1
     k = min(words, len(own))
     starts, ends = np.concatenate([[0], ends[:-1] + 1])[: len(own) - k + 1].tolist(), ends[k - 1 :].tolist()
-    h = np.array([xxhash.xxh64_intdigest(line[a:b], 42) for a, b in zip(starts, ends, strict=True)], np.uint64)
+    return majority(np.array([xxhash.xxh64_intdigest(line[a:b], 42) for a, b in zip(starts, ends, strict=True)], np.uint64))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half the hashes."""
     counts = np.zeros(64, np.int64)
     for lo in range(0, len(h), 1 << 16):
         counts += np.unpackbits(h[lo : lo + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -152,6 +165,22 @@ def hook(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
+def walked(values: np.ndarray, label: np.ndarray, rank: np.ndarray, budget: int, shared: int, join: Callable = hook) -> np.ndarray:
+    """``label`` after all pairs of the self-join of ``values`` are joined; value i is in the class label[rank[i]]."""
+    label, turns = label.copy(), None  # turns: where the class changes from one value to the next, summed up
+
+    def done(alo, ahi, blo, bhi):
+        nonlocal turns
+        of = label[rank]
+        if turns is None:
+            turns = np.concatenate([[0], np.cumsum(of[1:] != of[:-1])])
+        return (turns[ahi - 1] == turns[alo]) & (turns[bhi - 1] == turns[blo]) & (of[alo] == of[blo])
+
+    for a, b in trie_pairs(values, budget, shared, done):
+        label, turns = join(label, rank[a], rank[b]), None
+    return label
+
+
 def _joined(keyed: DataFrame, order: Callable, budget: int) -> DataFrame:
     """Star edges (a, b) inside the groups of ``keyed`` (way, key, fp, node): ``order(way)`` says how a way's fingerprints are laid out, (bit ranges, bits shared by a group).
 
@@ -163,24 +192,6 @@ def _joined(keyed: DataFrame, order: Callable, budget: int) -> DataFrame:
         """Rows come sorted by (way, key); whole groups are joined as soon as they are complete."""
         held: list[pa.Table] = []
 
-        def pairs(values: np.ndarray, own: np.ndarray, shared: int) -> pa.RecordBatch | None:
-            label, rank = np.arange(len(own)), np.argsort(np.argsort(own))
-            by_rank = np.sort(own)
-            turns = None  # where the class changes from one value to the next, summed up
-
-            def done(alo, ahi, blo, bhi):
-                nonlocal turns
-                of = label[rank]
-                if turns is None:
-                    turns = np.concatenate([[0], np.cumsum(of[1:] != of[:-1])])
-                return (turns[ahi - 1] == turns[alo]) & (turns[bhi - 1] == turns[blo]) & (of[alo] == of[blo])
-
-            for a, b in trie_pairs(values, budget, shared, done):
-                label, turns = hook(label, rank[a], rank[b]), None
-            star = np.flatnonzero(label != np.arange(len(own)))
-            if len(star):
-                return pa.RecordBatch.from_arrays([pa.array(by_rank[star]), pa.array(by_rank[label[star]])], ["a", "b"])
-
         def flush(t: pa.Table) -> Iterator[pa.RecordBatch]:
             way, keys = t["way"].to_numpy(), t["key"].to_numpy()
             same = (way[1:] == way[:-1]) & (keys[1:] == keys[:-1])
@@ -194,8 +205,11 @@ def _joined(keyed: DataFrame, order: Callable, budget: int) -> DataFrame:
                 ranges, shared = order(int(i))
                 values = _permuted(fps[own], ranges)
                 by = np.argsort(values, kind="stable")
-                if (out := pairs(values[by], nodes[own][by], shared)) is not None:
-                    yield out
+                ids = nodes[own][by]
+                label, by_rank = walked(values[by], np.arange(len(own)), np.argsort(np.argsort(ids)), budget, shared), np.sort(ids)
+                star = np.flatnonzero(label != np.arange(len(own)))
+                if len(star):
+                    yield pa.RecordBatch.from_arrays([pa.array(by_rank[star]), pa.array(by_rank[label[star]])], ["a", "b"])
 
         for batch in batches:
             t = pa.Table.from_batches([*[b for h in held for b in h.to_batches()], batch])
@@ -294,75 +308,99 @@ def keys(grams: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def alike(sets: list[np.ndarray], label: np.ndarray, pivot: np.ndarray) -> np.ndarray:
+def overlaps(codes: np.ndarray, first: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many codes the sets a[i] and b[i] share; set j is codes[first[j] : first[j] + size[j]], ascending."""
+    out, most = np.zeros(len(a), np.int64), int(codes.max(initial=0)) + 1
+    ends = np.cumsum(size[a] + size[b])
+    lo = 0
+    while lo < len(a):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + (1 << 20), side="right")))
+        sides = []
+        for own in (a[lo:hi], b[lo:hi]):
+            n = size[own]
+            of = np.repeat(np.arange(len(own)), n)
+            sides.append(of * most + codes[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + first[own][of]])
+        x, y = sides
+        if len(y):
+            met = y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x
+            out[lo:hi] = np.bincount(x[met] // most, minlength=hi - lo)
+        lo = hi
+    return out
+
+
+def alike(values: np.ndarray, sets: list[np.ndarray], label: np.ndarray, pivot: np.ndarray, shared: int) -> np.ndarray:
     """``label`` (least rows of classes), joined where a pivot's set and any other have an intersection of 0.8 or more of their union.
 
-    Sets of one class are not compared, so near copies of one another cost one comparison each.
+    ``values`` are the sets' sorted fingerprints, a group's number in the ``shared`` highest bits. Their self-join finds the pairs; of those between
+    the same two classes as few as possible are compared.
     """
     size = np.fromiter(map(len, sets), np.int64, len(sets))
     _, codes = np.unique(np.concatenate(sets), return_inverse=True)
     first = np.cumsum(size) - size
-    mark = np.zeros(len(codes) + 1, bool)
-    label, waiting = label.copy(), pivot.copy()
-    while waiting.any():
-        c = label[np.argmax(waiting)]
-        # a pivot that had its turn met all other sets already
-        out = np.flatnonzero((label != c) & (waiting | ~pivot))
-        inside = np.zeros(len(sets), bool)
-        inside[out] = True
-        near, ends = codes[np.repeat(inside, size)], np.cumsum(size[out])
-        while len(own := np.flatnonzero(waiting & (label == c))):
-            if not len(out):
-                waiting[own] = False
-                break
-            q = own[0]
-            waiting[q] = False
-            mine = codes[first[q] : first[q] + size[q]]
-            mark[mine] = True
-            total = np.concatenate([[0], np.cumsum(mark[near])])
-            mark[mine] = False
-            hit = out[9 * (total[ends] - total[ends - size[out]]) >= 4 * (size[q] + size[out])]
-            if len(hit):
-                label[np.isin(label, label[hit])] = c
-                break
-    return label
+
+    def join(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        may = (pivot[a] | pivot[b]) & (5 * np.minimum(size[a], size[b]) >= 4 * np.maximum(size[a], size[b]))
+        a, b = a[may], b[may]
+        while len(a):
+            apart = label[a] != label[b]
+            a, b = a[apart], b[apart]
+            # one pair a class at a time: what it joins need not be compared
+            turn = np.zeros(len(a), bool)
+            turn[np.unique(label[a], return_index=True)[1]] = True
+            x, y = a[turn], b[turn]
+            near = 9 * overlaps(codes, first, size, x, y) >= 4 * (size[x] + size[y])
+            label = hook(label, x[near], y[near])
+            a, b = a[~turn], b[~turn]
+        return label
+
+    return walked(values, label, np.arange(len(values)), SET_BUDGET, shared, join)
 
 
 def _stars_of(rows: DataFrame) -> DataFrame:
-    """Star edges (a, b) between nodes whose sets are alike, inside the groups of ``rows`` (way, key, part, block, node, label, pivot, shingles).
+    """Star edges (a, b) between nodes whose sets are alike, inside the groups of ``rows`` (way, key, part, block, node, label, pivot, fp, shingles).
 
     Nodes of one label are linked already; an edge joins two labels.
     """
     place = ["way", "key", "part", "block"]
 
-    def edges(t: pa.Table) -> pa.RecordBatch | None:
-        nodes = t["node"].to_numpy()
-        _, rep, of = np.unique(t["label"].to_numpy(), return_index=True, return_inverse=True)
-        if len(rep) < 2:
-            return None
-        got = alike([np.frombuffer(x.as_buffer(), np.uint64) for x in t["shingles"]], rep[of], np.asarray(t["pivot"].to_pylist(), bool))
-        moved = rep[got[rep] != rep]
+    def edges(t: pa.Table, group: np.ndarray) -> pa.RecordBatch | None:
+        values = (group.astype(np.uint64) << np.uint64(SET_BITS)) | (t["fp"].to_numpy().view(np.uint64) >> np.uint64(64 - SET_BITS))
+        by = np.argsort(values, kind="stable")
+        values, nodes, group = values[by], t["node"].to_numpy()[by], group[by]
+        _, known = np.unique(t["label"].to_numpy()[by], return_inverse=True)
+        _, first, of = np.unique(group * len(known) + known, return_index=True, return_inverse=True)
+        label = first[of]
+        shingles = t["shingles"].combine_chunks()
+        sets = [np.frombuffer(shingles[i].as_buffer(), np.uint64) for i in by.tolist()]
+        pivot = t["pivot"].to_numpy(zero_copy_only=False)[by].astype(bool)
+        got = alike(values, sets, label, pivot, 64 - SET_BITS)
+        moved = np.flatnonzero((got != label) & (label == np.arange(len(label))))  # one row a class that joined another
         return pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[got[moved]])], ["a", "b"]) if len(moved) else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by group; one group is held at a time."""
-        held, at = [], None
+        """Rows come sorted by group; whole groups are joined as soon as they are enough."""
+        held, groups, group, size, at = [], [], 0, 0, None
         for batch in batches:
             if not batch.num_rows:
                 continue
             where = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in place])
             cuts = [0, *(np.flatnonzero((where[:, 1:] != where[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+            weight = pc.binary_length(batch.column("shingles")).to_numpy() // 8
+            total = np.concatenate([[0], np.cumsum(weight)])
             for lo, hi in zip(cuts, cuts[1:]):
-                if held and at != (now := tuple(where[:, lo])):
-                    if (out := edges(pa.Table.from_batches(held))) is not None:
-                        yield out
-                    held = []
+                if at != (now := tuple(where[:, lo])):
+                    if sum(map(len, groups)) >= SET_ROWS or size >= SET_SHINGLES:
+                        if (out := edges(pa.Table.from_batches(held), np.concatenate(groups))) is not None:
+                            yield out
+                        held, groups, group, size = [], [], -1, 0
+                    group, at = group + (at is not None), now
                 held.append(batch.slice(lo, hi - lo))
-                at = tuple(where[:, lo])
-        if held and (out := edges(pa.Table.from_batches(held))) is not None:
+                groups.append(np.full(hi - lo, group))
+                size += int(total[hi] - total[lo])
+        if held and (out := edges(pa.Table.from_batches(held), np.concatenate(groups))) is not None:
             yield out
 
-    dealt = rows.select(*place, "node", "label", "pivot", "shingles").repartition(partitions(rows.sparkSession), *place).sortWithinPartitions(*place)
+    dealt = rows.select(*place, "node", "label", "pivot", "fp", "shingles").repartition(partitions(rows.sparkSession), *place).sortWithinPartitions(*place)
     return dealt.mapInArrow(run, "a long, b long")
 
 
@@ -412,7 +450,8 @@ def _across(met: DataFrame, linked: DataFrame, part_rows: int) -> DataFrame:
 def similar_groups(docs: DataFrame, words: int = 5, part_rows: int = PART_ROWS) -> DataFrame:
     """(doc_id, component_id): documents that share 0.8 or more of their distinct shingles, directly or through others.
 
-    Texts that share a key of BAND min-hashes meet, and link if their sets of shingles do have an intersection of 0.8 of their union. Groups with
+    Texts that share a key of BAND min-hashes meet; the self-join of their fingerprints, one of the shingle set each, finds pairs that differ in at
+    most SET_BUDGET of SET_BITS bits, and these link if their sets do have an intersection of 0.8 of their union. Groups with
     the same members are joined once, those of more than ``part_rows`` texts in parts. ``component_id`` is the smallest doc_id; nulls, repeats and empty tables are as in
     :func:`near_duplicates`.
     """
@@ -436,7 +475,8 @@ def similar_groups(docs: DataFrame, words: int = 5, part_rows: int = PART_ROWS)
             for lo in range(0, batch.num_rows, 256):
                 grams = [shingle_set(t.as_py() or b"", words) for t in batch.column(0).slice(lo, 256).cast(pa.binary())]
                 ids = [_set_id(x) for x in grams]
-                yield pa.RecordBatch.from_arrays([*(pa.array([x[i] for x in ids], pa.int64()) for i in (0, 1)), pa.array([x.tobytes() for x in grams], pa.binary())], ["s0", "s1", "shingles"])
+                fps = np.array([majority(x) if len(x) else 0 for x in grams], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([*(pa.array([x[i] for x in ids], pa.int64()) for i in (0, 1)), pa.array(fps), pa.array([x.tobytes() for x in grams], pa.binary())], ["s0", "s1", "fp", "shingles"])
 
     each = staged(whole.mapInArrow(run, "doc_id long, s0 long, s1 long, size long, keys array<long>"), "shingle-keys")
     distinct = each.where("doc_id is not null").groupBy("s0", "s1").agg(F.min("doc_id").alias("node"), F.first("size").alias("size"), F.first("keys").alias("keys"))
@@ -444,8 +484,8 @@ def similar_groups(docs: DataFrame, words: int = 5, part_rows: int = PART_ROWS)
     keyed = distinct.select(F.posexplode("keys").alias("way", "key"), "node", "s0", "s1", "size")
     met, several = _meetings(keyed, part_rows)
     wanted = met.select(F.col("node").alias("doc_id")).distinct()
-    sets = whole.join(wanted, "doc_id", "left_semi").select("text").mapInArrow(load, "s0 long, s1 long, shingles binary")
-    sets = sets.groupBy("s0", "s1").agg(F.first("shingles").alias("shingles"))
+    sets = whole.join(wanted, "doc_id", "left_semi").select("text").mapInArrow(load, "s0 long, s1 long, fp long, shingles binary")
+    sets = sets.groupBy("s0", "s1").agg(F.first("fp").alias("fp"), F.first("shingles").alias("shingles"))
     sets = staged(sets, "sets") if several else sets
     rows = met.select("way", "key", "part", F.lit(0).alias("block"), "node", F.col("node").alias("label"), "s0", "s1", F.lit(True).alias("pivot"))
     linked = staged(_stars_of(rows.join(sets, ["s0", "s1"])), "links")
@@ -472,4 +512,9 @@ def near_duplicates(docs: DataFrame, words: int = 3, budget: int = 2) -> DataFra
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and component: (doc_id, fingerprint, component_id).
+
+    Null, empty and white texts have fingerprint zero, which links like any other; nulls, repeated rows, ties and empty tables are
+    as in :func:`near_duplicates`; other columns are ignored.
+    """
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
