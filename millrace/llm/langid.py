@@ -305,6 +305,11 @@ def identify(docs: DataFrame, model: Model, vocabulary: str | None = None, keep:
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language: (doc_id, held_out, lang_pred, score).
+
+    ``und`` with score 0 where the text is null or has no letter, or nothing could be learnt; ties go to the first language by name. A null doc_id
+    is held out; a null lang teaches nothing. Repeated rows are judged alike; no rows give no rows; other columns are ignored.
+    """
     docs = table(spark, sf_dir, "documents")
     judged = identify(docs.select("doc_id", "text"), learn(docs), keep=["doc_id"])
     return judged.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "lang_pred", "score")

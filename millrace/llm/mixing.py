@@ -136,6 +136,11 @@ def mixed_documents(docs: DataFrame, mix: Mix) -> DataFrame:
 
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of every document the mix takes: (doc_id, size, source_size, target, taken), a row a document.
+
+    Null and empty texts have size 0 and nothing taken; a null source is a source, the last; repeated rows are documents of their
+    own; no rows give no rows. Other columns are ignored.
+    """
     pieces = mix_sources(table(spark, sf_dir, "documents")).pieces
     # position tells documents apart, but for empty ones, of which every row has one piece
     alone = F.when(F.col("size") == 0, F.monotonically_increasing_id())

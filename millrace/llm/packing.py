@@ -271,11 +271,14 @@ def plan(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> Plan:
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``pieces`` (doc_id, start, length and any others) with (sequence_id, offset): sequences of at most ``capacity`` tokens.
 
+    Columns of ``pieces`` named sequence_id or offset are replaced.
+
     Pieces of length 1 to ``capacity``; each gets one place, and the places of a sequence follow one another from 0. Equal
     rows are pieces of their own. An empty table gives an empty result. A rerun gives the same result. To the driver go the
     counts of the length classes, fewer than 200.
     """
     spark = pieces.sparkSession
+    pieces = pieces.drop("sequence_id", "offset")
     size = class_of(F.col("length"), capacity)
     counts = {r["size_"]: r["n"] for r in pieces.groupBy(size.alias("size_")).agg(F.count(F.lit(1)).alias("n")).collect()}
     if any(not 1 <= s <= capacity for s in counts):
@@ -285,7 +288,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     # ranks: groups of a class by hash, ranked inside and one after the other
     groups = max(16, sum(counts.values()) // GROUP)
-    dealt = pieces.withColumn("size_", size).withColumn("group_", F.pmod(F.xxhash64("doc_id", "start", "length"), F.lit(groups)))
+    rows = pieces.select("doc_id", "start", "length", F.struct(*[F.col(f"`{c}`") for c in pieces.columns]).alias("row_"))  # whatever its other columns are called
+    dealt = rows.withColumn("size_", size).withColumn("group_", F.pmod(F.xxhash64("doc_id", "start", "length"), F.lit(groups)))
     own = Window.partitionBy("size_", "group_").orderBy("doc_id", "start")
     before = Window.partitionBy("size_").orderBy("group_").rowsBetween(Window.unboundedPreceding, -1)
     base = dealt.groupBy("size_", "group_").agg(F.count(F.lit(1)).alias("n_")).select("size_", "group_", F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("base_"))
@@ -298,8 +302,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         return pd.Series(p.sequences(np.searchsorted(p.sizes, size.to_numpy()), rank.to_numpy()))
 
     inside = Window.partitionBy("sequence_id").orderBy(F.desc("length"), "doc_id", "start").rowsBetween(Window.unboundedPreceding, -1)
-    placed = ranked.withColumn("sequence_id", place("size_", "rank_")).drop("size_", "group_", "base_", "rank_")
-    return placed.withColumn("offset", F.coalesce(F.sum("length").over(inside), F.lit(0)))
+    placed = ranked.withColumn("sequence_id", place("size_", "rank_"))
+    return placed.withColumn("offset", F.coalesce(F.sum("length").over(inside), F.lit(0))).select("row_.*", "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, ids: bool = True) -> DataFrame:
@@ -321,4 +325,9 @@ def sequences(packed: DataFrame, pad: int = 0, capacity: int = CAPACITY) -> Data
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces in sequences of at most 2048 tokens: (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset).
+
+    A null or empty text is its end mark alone. Repeated rows, and rows without a doc_id, are documents of their own; of pieces that are alike it is
+    not said which goes where. A long text is cut at multiples of 2048. No rows give no rows; other columns are ignored.
+    """
     return pack_documents(table(spark, sf_dir, "documents"), ids=False)

@@ -205,4 +205,10 @@ def with_edits(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
 
 
 def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and its edited text: (doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next).
+
+    A null text is empty, and has the fingerprint of a text without words. Documents go by descending doc_id (null last, ties and repeated rows in
+    any order, each a document of its own); after the last comes the first, so a table of one row is edited with itself. No rows
+    give no rows; other columns are ignored.
+    """
     return with_edits(table(spark, sf_dir, "documents"))

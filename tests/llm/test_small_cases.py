@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.llm import components, mixing, sharding, simhash, topk_search, url_filter
-from millrace.llm.shared import staged
+from millrace.llm.shared import shared_dir, staged
 
 
 # -- url filters
@@ -31,14 +31,22 @@ def test_url_cases(spark):
 
 def test_cascade_is_exact_over_its_universe(spark):
     keys = spark.range(40_000).select(F.concat(F.lit("k"), "id").alias("key"))
-    listed = keys.where(F.xxhash64("key") % 7 == 0)
-    levels = url_filter.build_cascade(listed, keys)
-    assert len(levels) > 1
-    slots = F.array(*[s for i, x in enumerate(levels) for s in url_filter._slots(F.col("key"), i, x.bits)])
-    wrong = keys.where(url_filter._test(spark, levels)(slots) != (F.xxhash64("key") % 7 == 0)) if len(levels) == 1 else None
-    positions = np.array([r["s"] for r in keys.select(slots.alias("s")).collect()])
-    want = np.array([r["w"] for r in keys.select((F.xxhash64("key") % 7 == 0).alias("w")).collect()])
-    assert wrong is None and (url_filter._held(levels, positions) == want).all()
+    for modulus in (7, 5000):
+        rule = F.xxhash64("key") % modulus == 0
+        levels = url_filter.build_cascade(keys.where(rule), keys)
+        assert len(levels) > 1
+        rows = keys.select(F.array(*[url_filter._hash(F.col("key"), i) for i in range(len(levels))]).alias("h"), rule.alias("w")).collect()
+        assert (url_filter._held(levels, np.array([r["h"] for r in rows])) == np.array([r["w"] for r in rows])).all()
+    # few listed keys among many others: the levels stay as small as the list
+    assert sum(x.bits for x in levels) < 40_000
+
+
+def test_cascades_by_parts_judge_alike(spark):
+    rng = random.Random(2)
+    rules = [(rng.choice(["allow", "block"]), f"{rng.choice(['a.com', 'com', 'b.a.com', 'org'])}/{rng.choice('xyz')}{rng.choice('xyz')}") for _ in range(30)]
+    urls = [f"http://{rng.choice(['a.com', 'b.a.com', 'c.b.a.com', 'z.org', 'org'])}/{''.join(rng.choice('xyz') for _ in range(3))}" for _ in range(200)]
+    assert judged(spark, urls, rules=rules, part_keys=5) == judged(spark, urls, rules=rules)
+    assert {r["verdict"] for r in judged(spark, urls[:3], rules=[]).values()} == {"allow"}
 
 
 # -- exact top-k
@@ -50,16 +58,19 @@ def test_topk_cases(spark):
     got = [tuple(r) for r in topk_search.search(v, v.where("vec_id = 1"), 3).orderBy("rank").collect()]
     assert got == [(1, 1, 2, 32768), (1, 2, 3, 32768), (1, 3, 3, 32768)]
     assert topk_search.search(v, v.limit(0)).count() == 0 and topk_search.search(v.limit(0), v).count() == 0
+    own = v.unionAll(spark.createDataFrame([(1, [-256, 0])], "vec_id long, weights array<long>"))
+    twice = sorted((tuple(r)[1:] for r in topk_search.search(v, own.where("vec_id = 1"), 2).collect()), key=lambda r: (r[2], -r[0]))
+    assert twice == [(2, 8, 0), (2, 3, 32768), (1, 2, 32768), (1, 7, 65536)]  # each row of weights is a query of its own
     some = [r["vec_id"] for r in topk_search.search(v, v.where("vec_id = 1"), 50).orderBy("rank").collect()]
     assert some == [2, 3, 3, 8, 7]
 
 
-@pytest.mark.parametrize("block", [3, 100])
-def test_topk_against_brute_force(spark, block):
+@pytest.mark.parametrize(("block", "part"), [(3, 7), (4, 1000), (100, 50)])
+def test_topk_against_brute_force(spark, block, part):
     rng = np.random.default_rng(0)
     x = rng.integers(-3, 4, (300, 9)) / 4
     v = topk_search.integer_vectors(spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>"))
-    got = sorted(tuple(r) for r in topk_search.search(v, v.where("vec_id % 30 = 0"), 4, block).collect())
+    got = sorted(tuple(r) for r in topk_search.search(v, v.where("vec_id % 30 = 0"), 4, block, part).collect())
     s = np.floor(x * 256).astype(int) @ np.floor(x * 256).astype(int).T
     want = [(q, k + 1, c, int(s[q, c])) for q in range(0, 300, 30) for k, c in enumerate(sorted((c for c in range(300) if c != q), key=lambda c: (-s[q, c], c))[:4])]
     assert got == sorted(want)
@@ -124,8 +135,41 @@ def test_store(spark, tmp_path):
         store.commit(2, "", [])
     with pytest.raises(ValueError):
         store.append(spark.range(1))
+    # what a writer left that died before, and what one may still write
+    store._write(df, store.manifest()["version"])
+    ahead = store._write(df, store.manifest()["version"] + 1)
+    n = len(ahead)
     assert store.vacuum() > 0
     assert store.read().count() == 15
+    listed = {s.path for s in store.manifest()["shards"]}
+    left = {f"data/{d}/{f}" for d, _ in store._list("data") for f, _ in store._list(f"data/{d}") if f.endswith(".parquet")}
+    assert left == listed | {s.path for s in ahead} and n
+
+
+def test_arrivals_of_one_file_are_compacted(spark, tmp_path):
+    """All rows in one file still arrive in parts, and their shards are merged."""
+    spark.range(5000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("x")).coalesce(1).write.parquet(str(tmp_path / "one"))
+    df = spark.read.parquet(str(tmp_path / "one"))
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/s", target_bytes=1 << 20, smallest=1 << 10)
+    for own in sharding.arrivals(df, 8, "id"):
+        store.append(own)
+    assert (len(store.manifest()["shards"]), store.manifest()["version"]) == (8, 8)
+    assert store.compact() > 8 and len(store.manifest()["shards"]) < 8
+    assert sorted(store.read().collect()) == sorted(df.collect())
+
+
+def test_shared_folder_must_be_named_on_a_cluster(spark, monkeypatch):
+    class Conf:
+        get = staticmethod(lambda key, default=None: None)
+
+    class Context:
+        master, getCheckpointDir = "spark://one:7077", staticmethod(lambda: None)
+
+    class Session:
+        conf, sparkContext = Conf, Context
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(Session)
 
 
 # -- components and wide SimHash
@@ -138,6 +182,10 @@ def test_components(spark):
     assert components.components(edges.limit(0), "a", "b").count() == 0
     chain = spark.range(1, 200).select(F.col("id").alias("a"), (F.col("id") - 1).alias("b"))
     assert {r["component"] for r in components.components(chain, "a", "b").collect()} == {0}
+    # hubs: more neighbours than a task should have
+    hubs = spark.range(1, 3000).select(F.col("id").alias("a"), (F.col("id") % 3 + 10_000).alias("b")).unionAll(spark.range(1, 2).select(F.lit(10_000), F.lit(10_001)))
+    got = {r["node"]: r["component"] for r in components.components(hubs, "a", "b").collect()}
+    assert len(got) == 3002 and all(c == (2 if n % 3 == 2 and n < 10_000 or n == 10_002 else 1) for n, c in got.items())
 
 
 def shingles(text, k=5):
