@@ -40,6 +40,25 @@ def erase(meta: Column, *keys: str) -> Column:
     return F.map_filter(meta, lambda k, v: ~k.isin(*keys))
 
 
+def has_key(meta: Column, key: str) -> Column:
+    return F.coalesce(F.map_contains_key(meta, F.lit(key)), F.lit(False))
+
+
+def cleared(meta: Column) -> Column:
+    """An empty map where there is one."""
+    return F.map_filter(meta, lambda k, v: F.lit(False))
+
+
+def inserted(meta: Column, other: Column) -> Column:
+    """The keys of ``other`` that ``meta`` lacks are added; those it has stay as they are."""
+    return merge(meta, other, "reject")
+
+
+def swapped(a: Column, b: Column) -> tuple[Column, Column]:
+    """Each in the other's place."""
+    return b, a
+
+
 def emitted(meta: Column) -> Column:
     """What goes out with a message: nothing if the map is empty."""
     return F.when(F.size(meta) > 0, meta)

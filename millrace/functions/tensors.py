@@ -57,6 +57,17 @@ def binary_class(data: Column, first: str, second: str) -> Column:
     return F.when(F.size(data) == 2, F.struct(F.when(a > b, first).otherwise(second).alias("label"), F.greatest(a, b).alias("confidence")))
 
 
+def binary_class_row(data: Column, columns: list[str]) -> Column:
+    """struct of three text ``columns``: 1, 0 and the confidence where the first of two scores is greater, else 0, 1 and the confidence (ties too).
+
+    Null unless there are two scores.
+    """
+    a, b = logistic(data[0]), logistic(data[1])
+    first = (a > b).cast("int")
+    values = (first.cast("string"), (1 - first).cast("string"), F.greatest(a, b).cast("string"))
+    return F.when(F.size(data) == 2, F.struct(*[v.alias(c) for v, c in zip(values, columns, strict=True)]))
+
+
 def printed(data: Column, sep: str = ", ", most: int | None = None) -> Column:
     """The values as text; of more than ``most``, the first ones and an ellipsis."""
     text = F.transform(data, lambda x: x.cast("string"))

@@ -4,22 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ordering import numbered
+from ..functions.ordering import highest_before, matched, numbered, running_sum
+
+#: Chains of a key that are summed up together.
+CHAINS = 4096
 
 
 def count_batches(df: DataFrame, keys: list[str], order: list[str], bucket: Column, size: int, name: str = "batch") -> DataFrame:
     """``df`` with its batch number, from 0: ``size`` rows of a key make a batch; the rows of an unfilled last one are left out."""
-    counts = df.groupBy(*keys).agg((F.floor(F.count(F.lit(1)) / size) * size).cast("long").alias("full_"))
-    rows = numbered(df, keys, order, bucket, "n_")
-    if keys:
-        rows = rows.join(counts, keys)
-    else:
-        rows = rows.crossJoin(F.broadcast(counts))  # one row
-    return rows.where("n_ <= full_").withColumn(name, F.floor((F.col("n_") - 1) / size).cast("long")).drop("n_", "full_")
+    rows = numbered(df, keys, order, bucket, "n_", total="all_")
+    return rows.where(F.col("n_") <= F.floor(F.col("all_") / size) * size).withColumn(name, F.floor((F.col("n_") - 1) / size).cast("long")).drop("n_", "all_")
 
 
 def per_port_batches(df: DataFrame, port: str, order: list[str], bucket: Column, sizes: dict[str, int]) -> DataFrame:
@@ -34,27 +32,34 @@ def per_port_batches(df: DataFrame, port: str, order: list[str], bucket: Column,
 
 def _folded(df: DataFrame, keys: list[str], at: str, order: list[str], start, name: str) -> DataFrame:
     """Numbers from ``start()``, a function of each row's time in turn, over the sorted rows of a key: streamed, a key at a time."""
-    columns = df.columns
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, step = None, None
-        for frame in frames:
+        for batch in batches:
             out = []
-            for key, t in zip(zip(*(frame[k] for k in keys), strict=True), frame[at].tolist(), strict=True):
+            # Arrow keeps nulls apart from numbers, so a null key is one key
+            for *key, t in zip(*(batch.column(k).to_pylist() for k in [*keys, at]), strict=True):
                 if step is None or key != now:
                     now, step = key, start()
                 out.append(step(t))
-            frame[name] = pd.Series(out, dtype="int64", index=frame.index)
-            yield frame[[*columns, name]]
+            yield batch.append_column(name, pa.array(out, pa.int64()))
 
     dealt = df.repartition(*keys).sortWithinPartitions(*keys, *order)
-    return dealt.mapInPandas(run, df.schema.add(name, "long"))
+    return dealt.mapInArrow(run, df.schema.add(name, "long"))
+
+
+def _chains(df: DataFrame, keys: list[str], at: str, order: list[str], bucket: Column, apart: Column) -> DataFrame:
+    """``df`` with the number of the ``chain_`` each row is in: a chain ends where ``apart`` of (time, time before) holds."""
+    rows = highest_before(df, keys, order, bucket, F.col(at), "before_")
+    return running_sum(rows, keys, order, bucket, apart.cast("long"), "chain_", inclusive=True).drop("before_")
 
 
-def expiring_batches(df: DataFrame, keys: list[str], at: str, order: list[str], size: int, delay: int, name: str = "batch") -> DataFrame:
+def expiring_batches(df: DataFrame, keys: list[str], at: str, order: list[str], bucket: Column, size: int, delay: int, name: str = "batch") -> DataFrame:
     """Greedy batches: one begins when none is open, when it holds ``size`` rows, or when a row is more than ``delay`` later than its first.
 
-    Rows of a key are folded in order as they stream by (a key is one sequence); nothing but the open batch is held.
+    ``order`` begins with ``at``. After a gap longer than ``delay`` a batch begins whatever came before, so the chains of rows
+    between such gaps are folded apart, in tasks of their own, and their numbers of batches are summed up. A chain is one
+    sequence; nothing but its open batch is held.
     """
 
     def start():
@@ -69,7 +74,11 @@ def expiring_batches(df: DataFrame, keys: list[str], at: str, order: list[str],
 
         return step
 
-    return _folded(df, keys, at, order, start, name)
+    rows = _chains(df, keys, at, order, bucket, F.coalesce(F.col(at) - F.col("before_") > delay, F.lit(False)))
+    rows = _folded(rows, [*keys, "chain_"], at, order, start, "own_")
+    batches = rows.groupBy(*keys, "chain_").agg((F.max("own_") + 1).alias("n_"))
+    before = running_sum(batches, keys, ["chain_"], F.floor(F.col("chain_") / CHAINS), F.col("n_"), "earlier_").drop("n_")
+    return matched(rows, before, [*keys, "chain_"]).withColumn(name, F.col("own_") + F.col("earlier_")).drop("own_", "earlier_", "chain_")
 
 
 def timeout_batches(df: DataFrame, keys: list[str], at: str, order: list[str], size: int, period: int, name: str = "batch") -> DataFrame:
@@ -95,8 +104,11 @@ def timeout_batches(df: DataFrame, keys: list[str], at: str, order: list[str], s
     return _folded(df, keys, at, order, start, name)
 
 
-def min_gap_ticks(df: DataFrame, keys: list[str], at: str, order: list[str], period: int) -> DataFrame:
-    """The rows at which a tick runs if ticks keep ``period`` apart: the first, then each that is at least that later than the last that ran."""
+def min_gap_ticks(df: DataFrame, keys: list[str], at: str, order: list[str], bucket: Column, period: int) -> DataFrame:
+    """The rows at which a tick runs if ticks keep ``period`` apart: the first, then each that is at least that later than the last that ran.
+
+    ``order`` begins with ``at``. After a gap of ``period`` a tick runs whatever came before, so the chains between such gaps are folded apart.
+    """
 
     def start():
         due = None
@@ -110,12 +122,13 @@ def min_gap_ticks(df: DataFrame, keys: list[str], at: str, order: list[str], per
 
         return step
 
-    return _folded(df, keys, at, order, start, "ran_").where("ran_ = 1").drop("ran_")
+    rows = _chains(df, keys, at, order, bucket, F.coalesce(F.col(at) - F.col("before_") >= period, F.lit(False)))
+    return _folded(rows, [*keys, "chain_"], at, order, start, "ran_").where("ran_ = 1").drop("ran_", "chain_")
 
 
 def _cells(df: DataFrame, keys: list[str], at: str, period: int) -> DataFrame:
     begin = df.groupBy(*keys).agg(F.min(at).alias("begin_"))
-    return df.join(begin, keys).withColumn("cell_", F.floor((F.col(at) - F.col("begin_")) / period).cast("long")).drop("begin_")
+    return matched(df, begin, keys).withColumn("cell_", F.floor((F.col(at) - F.col("begin_")) / period).cast("long")).drop("begin_")
 
 
 def grid_ticks(df: DataFrame, keys: list[str], at: str, order: list[str], period: int) -> DataFrame:
@@ -130,15 +143,12 @@ def catch_up_ticks(df: DataFrame, keys: list[str], at: str, order: list[str], pe
     With c[i] periods begun at row i, the ticks run by then are i + min(c[j] - j, j <= i), so a running minimum decides.
     """
     rows = numbered(_cells(df, keys, at, period), keys, order, bucket, "n_")
-    rows = rows.withColumn("slack_", F.col("cell_") + 1 - F.col("n_")).withColumn("bucket_", bucket)
-    inside = Window.partitionBy(*keys, "bucket_").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    ahead = Window.partitionBy(*keys).orderBy("bucket_").rowsBetween(Window.unboundedPreceding, -1)
-    lows = rows.groupBy(*keys, "bucket_").agg(F.min("slack_").alias("low_")).withColumn("base_", F.min("low_").over(ahead)).drop("low_")
-    rows = rows.join(lows, [*keys, "bucket_"])
-    before = F.least(F.lit(0), F.coalesce(F.min("slack_").over(inside), F.lit(0)), F.coalesce("base_", F.lit(0)))
+    # the least of c - j before, as the greatest of its negative
+    rows = highest_before(rows, keys, order, bucket, F.col("n_") - 1 - F.col("cell_"), "ahead_")
+    before = F.least(F.lit(0), F.coalesce(-F.col("ahead_"), F.lit(0)))
     # run by the row before: n - 1 + before; this row runs one if a period more has begun
     ran = F.col("n_") - 1 + before < F.col("cell_") + 1
-    return rows.withColumn("ran_", ran).where("ran_").drop("ran_", "n_", "slack_", "cell_", "bucket_", "base_")
+    return rows.where(ran).drop("n_", "cell_", "ahead_")
 
 
 def first_rows(df: DataFrame, order: list[str], n: int) -> DataFrame:

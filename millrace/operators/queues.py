@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ordering import last_known
+from ..functions.ordering import last_known, matched
 
 
 def bounded(df: DataFrame, keys: list[str], order: list[str], capacity: int = 1, policy: str = "pop") -> DataFrame:
@@ -21,14 +21,14 @@ def bounded(df: DataFrame, keys: list[str], order: list[str], capacity: int = 1,
     if policy != "fault":
         return kept
     counts = df.groupBy(*keys).agg(F.greatest(F.count(F.lit(1)) - capacity, F.lit(0)).alias("overflow"))
-    return kept.join(counts, keys)
+    return matched(kept, counts, keys)
 
 
 def strict(df: DataFrame, keys: list[str], capacity: int) -> DataFrame:
     """The rows as they are; the query fails if a key has more than ``capacity``."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_"))
     checked = counts.select(*keys, F.when(F.col("n_") > capacity, F.raise_error(F.lit("queue overflow"))).otherwise(F.lit(True)).alias("fits_"))
-    return df.join(checked, keys).where("fits_").drop("fits_")
+    return matched(df, checked, keys).where("fits_").drop("fits_")
 
 
 def latest_value(consumers: DataFrame, producers: DataFrame, keys: list[str], order: list[str], bucket: Column, value: str) -> DataFrame:
@@ -43,5 +43,5 @@ def latest_value(consumers: DataFrame, producers: DataFrame, keys: list[str], or
     read = tagged.where("side_ = 1")
     # a message was read before if a consumer row lies between it and this one
     firsts = read.where("read_ is not null").groupBy(*keys, F.col("read_.at").alias("at_")).agg(F.min(F.struct(*order)).alias("first_"))
-    joined = read.withColumn("at_", F.col("read_.at")).join(firsts, [*keys, "at_"], "left")
+    joined = matched(read.withColumn("at_", F.col("read_.at")), firsts, [*keys, "at_"], "left")
     return joined.select(*cols, F.col("read_.value").alias("latest"), F.coalesce(F.struct(*order) > F.col("first_"), F.lit(False)).alias("is_old"))

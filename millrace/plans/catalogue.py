@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions import metadata, tensors
 from ..functions.ordering import DAY_US, day, micros
-from ..functions.rotations import about_z, pose
+from ..functions.rotations import about_z, euler, flat, from_euler, from_flat, pose, power, yaw
 from ..operators import conditions, images, inference, poses, queues, routing, tracking
-from ..sources import recording
+from ..sources import generators, recording
 from .process import process
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -114,6 +114,17 @@ def serialized_tensors(spark, sf_dir):
     return _table(spark, sf_dir, "embeddings").select("vec_id", tensors.printed(v, most=5).alias("line"))
 
 
+@query("SELECT (range + 1)::bigint AS value FROM range(1000)")
+def counting_source(spark, sf_dir):
+    return generators.counter(spark, 1000)
+
+
+@query("SELECT (range + 1)::bigint AS msg_id, [2, 3] AS shape, 'float' AS dtype, 6::integer AS elements, 15.0::double AS total FROM range(100)")
+def tensor_source(spark, sf_dir):
+    t = generators.tensors(spark, 100, [2, 3], "float", [0.0, 1.0, 2.0, 3.0, 4.0, 5.0])
+    return generators.described(t).join(t.select("msg_id", F.aggregate("tensor.data", F.lit(0.0), lambda a, x: a + x).alias("total")), "msg_id")
+
+
 # -- queues and latest values
 
 
@@ -167,6 +178,29 @@ def multi_per_receiver(spark, sf_dir):
     return conditions.per_port_batches(_events(spark, sf_dir), "event_type", ["us", "event_id"], _day(), {"click": 3, "view": 2}).select("event_id", "event_type", "batch")
 
 
+_NULLABLE = "n AS (SELECT *, nullif(event_type, 'error') AS k FROM events)"
+
+
+@query(f"""WITH {_NULLABLE}, b AS (SELECT event_id, k, (row_number() OVER w - 1) // 7 AS batch, count(*) OVER (PARTITION BY k) // 7 AS full_n FROM n WINDOW w AS (PARTITION BY k ORDER BY ts, event_id))
+SELECT event_id, k, batch::bigint AS batch FROM b WHERE batch < full_n""")
+def count_batches_null_key(spark, sf_dir):
+    e = _events(spark, sf_dir).withColumn("k", F.nullif("event_type", F.lit("error")))
+    return conditions.count_batches(e, ["k"], ["us", "event_id"], _day(), 7).select("event_id", "k", "batch")
+
+
+@query(f"""WITH {_NULLABLE}, q AS (SELECT event_id, k, row_number() OVER (PARTITION BY k ORDER BY ts, event_id) AS r, greatest(0, count(*) OVER (PARTITION BY k) - 50)::bigint AS overflow FROM n)
+SELECT event_id, k, overflow FROM q WHERE r <= 50""")
+def queue_fault_null_key(spark, sf_dir):
+    e = _events(spark, sf_dir).withColumn("k", F.nullif("event_type", F.lit("error")))
+    return queues.bounded(e, ["k"], ["us", "event_id"], 50, "fault").select("event_id", "k", "overflow")
+
+
+@query(f"""WITH {_NULLABLE} SELECT event_id, k FROM (SELECT event_id, k, ts, max(ts) OVER (PARTITION BY k ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM n) WHERE m IS NULL OR ts > m""")
+def pose_ordered_updates_null_key(spark, sf_dir):
+    e = _events(spark, sf_dir).withColumn("k", F.nullif("event_type", F.lit("error")))
+    return poses.accepted(e, ["k"], "us", ["event_id"], F.floor(F.col("event_id") / 4096)).select("event_id", "k")
+
+
 def _recursive(start: str, step: str, out: str = "SELECT event_id, user_id, batch FROM r") -> str:
     return f"""WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts)::bigint AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
 r AS (SELECT event_id, user_id, us, i, {start} FROM e WHERE i = 1 UNION ALL SELECT e.event_id, e.user_id, e.us, e.i, {step} FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1) {out}"""
@@ -176,7 +210,7 @@ r AS (SELECT event_id, user_id, us, i, {start} FROM e WHERE i = 1 UNION ALL SELE
 CASE WHEN r.n >= 4 OR e.us - r.first_us > 172800000000 THEN e.us ELSE r.first_us END, CASE WHEN r.n >= 4 OR e.us - r.first_us > 172800000000 THEN 1 ELSE r.n + 1 END"""))
 def expiring_batches(spark, sf_dir):
     e = _events(spark, sf_dir).select("event_id", "user_id", "us")
-    return conditions.expiring_batches(e, ["user_id"], "us", ["us", "event_id"], 4, 2 * DAY_US).select("event_id", "user_id", "batch")
+    return conditions.expiring_batches(e, ["user_id"], "us", ["us", "event_id"], _day(), 4, 2 * DAY_US).select("event_id", "user_id", "batch")
 
 
 #: State after a row: its batch, when the last batch ended, rows in the open batch.
@@ -203,7 +237,7 @@ def periodic_catchup(spark, sf_dir):
 @query(_recursive("true AS ran, us + " + _P + " AS due", f"e.us >= r.due, CASE WHEN e.us >= r.due THEN e.us + {_P} ELSE r.due END", _TICKED))
 def periodic_mintime(spark, sf_dir):
     e = _events(spark, sf_dir).select("event_id", "user_id", "us")
-    return conditions.min_gap_ticks(e, ["user_id"], "us", ["us", "event_id"], DAY_US // 2).select("event_id", "user_id")
+    return conditions.min_gap_ticks(e, ["user_id"], "us", ["us", "event_id"], _day(), DAY_US // 2).select("event_id", "user_id")
 
 
 @query(f"""WITH {EVENTS}, b AS (SELECT user_id, min(us) AS b FROM e GROUP BY user_id)
@@ -218,17 +252,18 @@ def count_limit(spark, sf_dir):
     return conditions.first_rows(_events(spark, sf_dir), ["us", "event_id"], 250).select("event_id", "event_type", "value")
 
 
-#: A condition for each event type; the state stands for the type.
+#: A condition for each event; the state stands for its type, but small errors only wait.
 _STATE = {"error": "NEVER", "click": "READY", "view": "WAIT_TIME", "signup": "WAIT_EVENT", "purchase": "WAIT"}
 _STATES = f"""s AS (SELECT user_id, (epoch_us(ts) // 86400000000)::bigint AS day, epoch_us(ts)::bigint AS us,
-CASE event_type {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in _STATE.items())} END AS state FROM events WHERE event_type <> 'error' OR user_id % 3 = 0),
+CASE WHEN event_type = 'error' AND value < 100 THEN 'WAIT' ELSE CASE event_type {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in _STATE.items())} END END AS state FROM events),
 g AS (SELECT user_id, day, bool_or(state = 'NEVER') AS nv, bool_or(state = 'READY') AS rd, bool_or(state = 'WAIT_EVENT') AS we, bool_or(state = 'WAIT_TIME') AS wt, bool_or(state = 'WAIT') AS w,
 max(CASE WHEN state = 'READY' THEN us END) AS ra, max(CASE WHEN state = 'WAIT_TIME' THEN us END) AS wa FROM s GROUP BY user_id, day)"""
 
 
 def _conditions(spark, sf_dir) -> DataFrame:
     states = F.create_map(*[F.lit(x) for kv in _STATE.items() for x in kv])
-    return _events(spark, sf_dir).where("event_type <> 'error' OR user_id % 3 = 0").select("user_id", "day", states[F.col("event_type")].alias("state"), F.col("us").alias("at"))
+    state = F.when((F.col("event_type") == "error") & (F.col("value") < 100), "WAIT").otherwise(states[F.col("event_type")])
+    return _events(spark, sf_dir).select("user_id", "day", state.alias("state"), F.col("us").alias("at"))
 
 
 @query(f"""WITH {_STATES}, o AS (SELECT *, CASE WHEN nv THEN 'NEVER' WHEN we THEN 'WAIT_EVENT' WHEN w THEN 'WAIT' WHEN wt THEN 'WAIT_TIME' ELSE 'READY' END AS state FROM g)
@@ -281,6 +316,16 @@ def multi_receiver_zip(spark, sf_dir):
     return z.select("n", *[F.col("values")[i].alias(c) for i, c in enumerate(("click", "view_", "purchase"))])
 
 
+@query("""WITH b(branch, width) AS (VALUES ('fast', 21600000000), ('slow', 86400000000)), w AS (SELECT branch, user_id, event_id, value, (epoch_us(ts) // width)::bigint AS tick, row_number() OVER (PARTITION BY branch, user_id, epoch_us(ts) // width ORDER BY ts DESC, event_id DESC) AS r FROM events, b)
+SELECT branch, user_id, tick, event_id, value FROM w WHERE r = 1""")
+def multi_rate_branches(spark, sf_dir):
+    """Every branch takes the newest message once in its period; what came before it in its queue of one is dropped."""
+    e = _events(spark, sf_dir)
+    rates = F.array(*[F.struct(F.lit(n).alias("branch"), F.floor(F.col("us") / F.lit(w)).cast("long").alias("tick")) for n, w in (("fast", DAY_US // 4), ("slow", DAY_US))])
+    branches = e.select("user_id", "us", "event_id", "value", F.explode(rates).alias("b")).select("b.*", "user_id", "us", "event_id", "value")
+    return queues.bounded(branches, ["branch", "user_id", "tick"], ["us", "event_id"], 1, "pop").drop("us")
+
+
 @query("""SELECT o_orderkey, 'open' AS edge FROM orders WHERE o_orderstatus = 'O' UNION ALL SELECT o_orderkey, 'large' FROM orders WHERE o_totalprice >= 200000 UNION ALL
 SELECT o_orderkey, 'urgent' FROM orders WHERE o_orderpriority LIKE '1%'""")
 def dynamic_route(spark, sf_dir):
@@ -322,6 +367,19 @@ for _policy, _k in (("update", "user_id::varchar"), ("reject", f"coalesce({_K},
 (len(list_distinct(list_concat(json_keys(props), ['type', '{"other" if _policy == "raise" else "k"}']))))::integer AS n FROM events"""
 
 
+@query(f"""SELECT event_id, {_K} IS NOT NULL AS has_k, coalesce({_K}, 'none') AS k_, 0::integer AS cleared, (CASE WHEN {_K} IS NULL THEN 0 ELSE 1 END + 1)::integer AS with_type,
+(CASE WHEN {_K} IS NULL THEN 1 ELSE 0 END)::integer AS without_k, coalesce({_K}, event_type) AS kept, event_type AS put, {_K} AS other FROM events""")
+def metadata_map(spark, sf_dir):
+    """Each operation on one map: has, get, clear, insert, erase, put, swap."""
+    m = F.col("meta")
+    e = _events(spark, sf_dir).withColumn("meta", F.from_json("props", "map<string,string>")).withColumn("other", F.create_map(F.lit("k"), F.col("event_type")))
+    first, second = metadata.swapped(m, F.col("other"))
+    return e.select(
+        "event_id", metadata.has_key(m, "k").alias("has_k"), metadata.get(m, "k", F.lit("none")).alias("k_"), F.size(metadata.cleared(m)).alias("cleared"), F.size(metadata.put(m, "type", F.lit(1))).alias("with_type"),
+        F.size(metadata.put(metadata.erase(m, "k"), "k", F.lit(1))).cast("int").alias("put_back"), metadata.get(metadata.inserted(m, F.col("other")), "k").alias("kept"), metadata.get(first, "k").alias("put"), metadata.get(second, "k").alias("other"),
+    ).withColumn("without_k", F.when(F.col("has_k"), 0).otherwise(1)).drop("put_back")
+
+
 # -- kernels
 
 _D = "list_transform(embedding, lambda x: x::double)"
@@ -383,6 +441,20 @@ def binary_classification(spark, sf_dir):
     return _vectors(spark, sf_dir).select("vec_id", c["label"].alias("label"), F.round(c["confidence"], 6).alias("confidence"))
 
 
+@query("""WITH s AS (SELECT vec_id, embedding[1]::double AS a, embedding[2]::double AS b FROM embeddings)
+SELECT vec_id, (a > b)::integer::varchar AS yes, (NOT a > b)::integer::varchar AS no, round(greatest(1 / (1 + exp(-a)), 1 / (1 + exp(-b))), 6) AS confidence FROM s""")
+def binary_class_csv(spark, sf_dir):
+    """The rows that are written as CSV."""
+    c = tensors.binary_class_row(F.slice("v", 1, 2), ["yes", "no", "confidence"])
+    return _vectors(spark, sf_dir).select("vec_id", c.alias("c")).select("vec_id", "c.yes", "c.no", F.round(F.col("c.confidence").cast("double"), 6).alias("confidence"))
+
+
+@query("""SELECT vec_id, CASE WHEN label % 4 = 1 THEN 'color_lut' WHEN label % 4 = 2 THEN 'crosses' WHEN label % 2 = 1 THEN 'color' END AS kind FROM embeddings""")
+def primitive_kinds(spark, sf_dir):
+    n = F.col("label") % 4
+    return _table(spark, sf_dir, "embeddings").select("vec_id", tensors.primitive_kind(n, n == 1, F.lit(True), n == 3).alias("kind"))
+
+
 _NAMES, _OBJECTS = ["cat", "dog", "bird"], {"cat": 2, "dog": 1, "object": 3}
 
 
@@ -445,13 +517,14 @@ def narrow_u16(spark, sf_dir):
     return _exploded(_vectors(spark, sf_dir), tensors.narrow(F.transform(_u8(), lambda x: x * 256 + 17)), "i", "x")
 
 
-@query(f"""WITH u AS (SELECT vec_id, {_U8} AS u FROM embeddings), t AS (SELECT vec_id, u[1] AS y, u[2] AS cu, u[3] AS cv FROM u)
-SELECT vec_id, least(255, greatest(0, floor(y + 1.402::double * (cv - 128) + 0.5)))::integer AS r,
+@query(f"""WITH u AS (SELECT vec_id, unnest(range(64)) AS i, {_U8} AS u FROM embeddings), t AS (SELECT vec_id, i, u[i + 1] AS y, u[(i + 1) % 64 + 1] AS cu, u[(i + 2) % 64 + 1] AS cv FROM u)
+SELECT vec_id, i::integer AS i, least(255, greatest(0, floor(y + 1.402::double * (cv - 128) + 0.5)))::integer AS r,
   least(255, greatest(0, floor(y - 0.344136::double * (cu - 128) - 0.714136::double * (cv - 128) + 0.5)))::integer AS g,
   least(255, greatest(0, floor(y + 1.772::double * (cu - 128) + 0.5)))::integer AS b FROM t""")
 def yuv_to_rgb(spark, sf_dir):
-    u = _vectors(spark, sf_dir).select("vec_id", _u8().alias("u"))
-    return u.select("vec_id", tensors.yuv_to_rgb(F.col("u")[0], F.col("u")[1], F.col("u")[2]).alias("c")).select("vec_id", "c.*")
+    """A pixel a value: its luma is the value, its chroma the next two."""
+    pixels = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: tensors.yuv_to_rgb(*[F.get("u", ((i + k) % 64).cast("int")) for k in range(3)]))
+    return _exploded(_vectors(spark, sf_dir).select("vec_id", _u8().alias("u")), pixels, "i", "c").select("vec_id", "i", "c.*")
 
 
 @query(f"WITH u AS (SELECT vec_id, unnest(range(16)) AS i, {_U8} AS u FROM embeddings) SELECT vec_id, i::integer AS i, u[((i // 4) * 2) * 8 + (i % 4) * 2 + 1] AS x FROM u")
@@ -459,6 +532,80 @@ def resize(spark, sf_dir):
     return _exploded(_vectors(spark, sf_dir), images.resize_nearest(_u8(), 8, 8, 1, 4, 4), "i", "x")
 
 
+_TAPS = "unnest(range(floor(({0} + 0.5) * 0.5 - 0.5)::integer - 1, floor(({0} + 0.5) * 0.5 - 0.5)::integer + 3))"
+_WEIGHT = "CASE WHEN abs({0}) <= 1 THEN 1.5 * abs({0}) ** 3 - 2.5 * {0} ** 2 + 1 ELSE -0.5 * abs({0}) ** 3 + 2.5 * {0} ** 2 - 4 * abs({0}) + 2 END"
+
+
+@query(f"""WITH n AS (SELECT o, {_TAPS.format("o")} AS k FROM range(16) r(o)), w AS (SELECT o, least(7, greatest(0, k)) AS k, (o + 0.5::double) * 0.5 - 0.5 - k AS d FROM n),
+c AS (SELECT o, k, {_WEIGHT.format("d")} AS w FROM w), t AS (SELECT y.o * 16 + x.o AS i, y.k * 8 + x.k + 1 AS j, y.w * x.w AS w FROM c y, c x), u AS (SELECT vec_id, {_U8} AS u FROM embeddings)
+SELECT vec_id, i::integer AS i, least(255, greatest(0, floor(sum(w * u[j]) + 0.5)))::integer AS x FROM u, t GROUP BY vec_id, i""")
+def resize_cubic(spark, sf_dir):
+    """To twice the size, where all weights are exact in binary."""
+    u = _vectors(spark, sf_dir).select("vec_id", _u8().alias("u"))
+    return _exploded(u, images.resize_cubic(F.col("u"), 8, 8, 1, 16, 16), "i", "x")
+
+
+def _luma_sql(luma: str, full: bool) -> dict[str, str]:
+    (kr, kb), (black, y_range, c_range) = images.LUMA[luma], images._ranges(full)
+    number = lambda x: f"{x!r}::double"
+    return {
+        "y": f"((y - {number(black)}) * {number(255 / y_range)})", "u": f"((cu - 128) * {number(255 / c_range)})", "v": f"((cv - 128) * {number(255 / c_range)})",
+        "r": number(2 * (1 - kr)), "b": number(2 * (1 - kb)), "gu": number(2 * kb * (1 - kb) / (1 - kr - kb)), "gv": number(2 * kr * (1 - kr) / (1 - kr - kb)),
+    }
+
+
+def _planes_sql(height: int, width: int, more: str, y: str, cu: str, cv: str, luma: str, full: bool) -> str:
+    c = _luma_sql(luma, full)
+    return f"""WITH u AS (SELECT vec_id, {_U8} AS u FROM embeddings), d AS (SELECT vec_id, {more} AS d, unnest(range({height * width})) AS p FROM u), t AS (SELECT *, p // {width} AS py, p % {width} AS px FROM d),
+    s AS (SELECT vec_id, p, d[{y} + 1] AS y, d[{cu} + 1] AS cu, d[{cv} + 1] AS cv FROM t), f AS (SELECT vec_id, p, {c["y"]} AS y, {c["u"]} AS cu, {c["v"]} AS cv FROM s)
+    SELECT vec_id, p::integer AS pixel, least(255, greatest(0, floor(y + {c["r"]} * cv + 0.5)))::integer AS r, least(255, greatest(0, floor(y - {c["gu"]} * cu - {c["gv"]} * cv + 0.5)))::integer AS g,
+      least(255, greatest(0, floor(y + {c["b"]} * cu + 0.5)))::integer AS b FROM f"""
+
+
+def _from_planes(layout: str, height: int, width: int, luma: str, full: bool):
+    def run(spark, sf_dir):
+        u = _vectors(spark, sf_dir).select("vec_id", _u8().alias("u"))
+        data = F.col("u") if layout == "yuyv" else F.concat("u", F.slice("u", 1, 32))
+        rgb = u.select("vec_id", images.planes_to_rgb(data, height, width, layout, luma, full).alias("x"))
+        pixels = F.transform(F.sequence(F.lit(0), F.lit(height * width - 1)), lambda p: F.struct(*[F.get("x", p * 3 + k).alias(n) for k, n in enumerate("rgb")]))
+        return _exploded(rgb, pixels, "pixel", "c").select("vec_id", "pixel", "c.*")
+
+    return run
+
+
+_QUARTER = "(64 + (py // 2) * 4 + px // 2)"
+for _name, _layout, _h, _w, _more, _at, _luma, _full in (
+    ("yuv420_to_rgb", "yuv420", 8, 8, "list_concat(u, u[1:32])", ("p", _QUARTER, f"({_QUARTER} + 16)"), "601", True),
+    ("nv12_to_rgb", "nv12", 8, 8, "list_concat(u, u[1:32])", ("p", "(64 + ((py // 2) * 4 + px // 2) * 2)", "(65 + ((py // 2) * 4 + px // 2) * 2)"), "709", False),
+    ("yuyv_to_rgb", "yuyv", 4, 8, "u", ("(p * 2)", "((p // 2) * 4 + 1)", "((p // 2) * 4 + 3)"), "601", False),
+):
+    QUERIES[_name] = _from_planes(_layout, _h, _w, _luma, _full)
+    ORACLES[_name] = _planes_sql(_h, _w, _more, *_at, _luma, _full)
+
+
+def _to_planes(layout: str, luma: str, full: bool):
+    def run(spark, sf_dir):
+        u = _vectors(spark, sf_dir).select("vec_id", F.concat(*[_u8()] * 3).alias("u"))
+        return _exploded(u, images.rgb_to_planes(F.col("u"), 8, 8, layout, luma, full), "i", "x")
+
+    return run
+
+
+def _to_planes_sql(luma: str, full: bool, place: str) -> str:
+    (kr, kb), (black, y_range, c_range) = images.LUMA[luma], images._ranges(full)
+    number = lambda x: f"{x!r}::double"
+    return f"""WITH u AS (SELECT vec_id, {_U8} AS u, unnest(range(64)) AS p FROM embeddings), c AS (SELECT vec_id, p, u[(p * 3) % 64 + 1] AS r, u[(p * 3 + 1) % 64 + 1] AS g, u[(p * 3 + 2) % 64 + 1] AS b FROM u),
+    y AS (SELECT vec_id, p, r, b, {number(kr)} * r + {number(1 - kr - kb)} * g + {number(kb)} * b AS y FROM c),
+    q AS (SELECT vec_id, (p // 16) * 4 + (p % 8) // 2 AS q, avg((b - y) / {number(2 * (1 - kb))}) * {number(c_range / 255)} + 128 AS cu, avg((r - y) / {number(2 * (1 - kr))}) * {number(c_range / 255)} + 128 AS cv FROM y GROUP BY 1, 2),
+    a AS (SELECT vec_id, p AS i, y * {number(y_range / 255)} + {number(black)} AS x FROM y UNION ALL SELECT vec_id, {place.format(0)}, cu FROM q UNION ALL SELECT vec_id, {place.format(1)}, cv FROM q)
+    SELECT vec_id, i::integer AS i, least(255, greatest(0, floor(x + 0.5)))::integer AS x FROM a"""
+
+
+for _name, _layout, _luma, _full, _place in (("rgb_to_yuv420", "yuv420", "601", True, "64 + {0} * 16 + q"), ("rgb_to_nv12", "nv12", "709", False, "64 + q * 2 + {0}")):
+    QUERIES[_name] = _to_planes(_layout, _luma, _full)
+    ORACLES[_name] = _to_planes_sql(_luma, _full, _place)
+
+
 @query()
 def bayer_demosaic(spark, sf_dir):
     u = _vectors(spark, sf_dir).select("vec_id", _u8().alias("u"))
@@ -484,7 +631,7 @@ def _shapes(kind: str):
     return run
 
 
-for _kind in ("lines", "line_strip", "rectangles", "crosses"):
+for _kind in tensors.PRIMITIVES:
     _size, _step = tensors.PRIMITIVES[_kind]
     QUERIES[f"primitives_{_kind}"] = _shapes(_kind)
     ORACLES[f"primitives_{_kind}"] = f"""WITH p AS (SELECT vec_id, unnest(range({(64 - _size) // _step + 1})) AS i, {_D} AS v FROM embeddings)
@@ -570,13 +717,87 @@ LEFT JOIN h p ON p.user_id = q.user_id AND p.i = q.i LEFT JOIN h b ON b.user_id
 LEFT JOIN h n ON n.user_id = q.user_id AND n.i = q.i + 1 AND n.valid AND n.us <= q.v"""
 
 
-for _mode in poses.MODES:
+for _mode in (m for m in poses.MODES if "slerp" not in m):
     QUERIES[f"pose_{_mode}"] = _reads(_mode)
     ORACLES[f"pose_{_mode}"] = _reads_sql(_mode)
 QUERIES["pose_versioned"] = _reads("linear", True)
 ORACLES["pose_versioned"] = _reads_sql("linear", True)
 
 
+def _rigid_reads(mode: str):
+    def run(spark, sf_dir):
+        """Each purchase turns the user's frame about z by its value, in hundredths, and moves it."""
+        e = _events(spark, sf_dir)
+        history = e.where("event_type = 'purchase'").select("user_id", "us", about_z(F.col("value") / 200, F.col("value"), (F.col("event_id") % 7).cast("double"), F.lit(1.0)).alias("value"), F.col("us").alias("version"), F.lit(True).alias("valid"))
+        asked = e.where("event_type = 'view'").select("user_id", F.col("event_id").alias("id"), "us", F.lit(1 << 62).alias("version"))
+        out = poses.reads(asked, history, ["user_id"], "us", "value", _days, _days, mode)
+        return out.select("user_id", "id", (F.round(yaw(F.col("value")), 6) + 0.0).alias("angle"), *[(F.round(f"value.{c}", 6) + 0.0).alias(c) for c in ("tx", "ty", "tz")])
+
+    return run
+
+
+def _rigid_sql(mode: str) -> str:
+    """Turns about z, so angles add up; ``d`` is the turn from a to b on the shorter way, ``e`` how far to go."""
+    arc = "CASE WHEN abs(d) < 1e-12 THEN e ELSE sin(e * d / 2) / sin(d / 2) END"
+    # the step from a to b in the frame of a, turned half way back, stretched, and turned into the root again
+    turn = "aa + d * (e - 1) / 2"
+    step = {"tx": "(cos(-aa) * (bx - ax) - sin(-aa) * (b_y - ay))", "ty": "(sin(-aa) * (bx - ax) + cos(-aa) * (b_y - ay))"}
+    screw = {"tx": f"ax + ({arc}) * (cos({turn}) * {step['tx']} - sin({turn}) * {step['ty']})", "ty": f"ay + ({arc}) * (sin({turn}) * {step['tx']} + cos({turn}) * {step['ty']})"}
+    line = {"tx": "ax + e * (bx - ax)", "ty": "ay + e * (b_y - ay)"}
+    move = screw if "slerp" in mode else line
+    out = f"""WITH h AS (SELECT user_id, epoch_us(ts)::bigint AS us, value / 200 AS a, value AS x, (event_id % 7)::double AS y, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS i FROM events WHERE event_type = 'purchase'),
+q AS (SELECT user_id, event_id AS id, epoch_us(ts)::bigint AS t FROM events WHERE event_type = 'view'), m AS (SELECT q.*, (SELECT max(i) FROM h WHERE h.user_id = q.user_id AND h.us <= q.t) AS i FROM q),
+j AS (SELECT q.user_id, q.id, q.t, p.us AS p_us, p.a AS pa, p.x AS px, p.y AS py, n.us AS n_us, n.a AS na, n.x AS nx, n.y AS ny, b.us AS b_us, b.a AS ba, b.x AS bbx, b.y AS bby FROM m q
+LEFT JOIN h p ON p.user_id = q.user_id AND p.i = q.i LEFT JOIN h n ON n.user_id = q.user_id AND n.i = q.i + 1 LEFT JOIN h b ON b.user_id = q.user_id AND b.i = q.i - 1),"""
+    if mode.startswith("extrapolate"):
+        after = "WHEN t = p_us THEN {p} WHEN b_us IS NOT NULL THEN {b}"
+    else:
+        after = "WHEN p_us IS NOT NULL THEN {p}"
+    pick = lambda n, p, b: f"CASE WHEN n_us IS NOT NULL AND p_us IS NOT NULL THEN {n} " + after.format(p=p, b=b) + " END"
+    out += f"""k AS (SELECT user_id, id, {pick("pa", "pa", "ba")} AS aa, {pick("px", "px", "bbx")} AS ax, {pick("py", "py", "bby")} AS ay, {pick("na", "pa", "pa")} AS a2, {pick("nx", "px", "px")} AS bx, {pick("ny", "py", "py")} AS b_y,
+{pick("(t - p_us)::double / (n_us - p_us)", "0", "(t - b_us)::double / (p_us - b_us)")} AS e FROM j),
+d AS (SELECT *, a2 - aa - 2 * pi() * round((a2 - aa) / (2 * pi())) AS d FROM k), f AS (SELECT user_id, id, aa + e * d AS a, {move["tx"]} AS tx, {move["ty"]} AS ty FROM d)
+SELECT user_id, id, round(atan2(sin(a), cos(a)), 6) + 0.0 AS angle, round(tx, 6) + 0.0 AS tx, round(ty, 6) + 0.0 AS ty, CASE WHEN a IS NOT NULL THEN 1.0::double END AS tz FROM f"""
+    return out
+
+
+for _mode in ("linear", "slerp", "extrapolate", "extrapolate_slerp"):
+    QUERIES[f"pose_rigid_{_mode}"] = _rigid_reads(_mode)
+    ORACLES[f"pose_rigid_{_mode}"] = _rigid_sql(_mode)
+
+
+@query("""WITH h AS (SELECT user_id, epoch_us(ts)::bigint AS us, value, event_type = 'purchase' AS valid, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS i FROM events WHERE event_type IN ('purchase', 'error')),
+q AS (SELECT user_id, event_id AS id, epoch_us(ts)::bigint AS t FROM events WHERE event_type = 'view'), m AS (SELECT q.*, (SELECT max(i) FROM h WHERE h.user_id = q.user_id AND h.us <= q.t) AS i FROM q)
+SELECT m.user_id, m.id, CASE WHEN h.valid THEN h.value END AS value FROM m LEFT JOIN h ON h.user_id = m.user_id AND h.i = m.i""")
+def pose_disconnect(spark, sf_dir):
+    """An error disconnects its user's edge until the next purchase."""
+    e = _events(spark, sf_dir)
+    history = e.where("event_type = 'purchase'").select("user_id", "us", "value", F.col("us").alias("version"), F.lit(True).alias("valid"))
+    cuts = e.where("event_type = 'error'").select("user_id", "us", F.col("us").alias("version"))
+    asked = e.where("event_type = 'view'").select("user_id", F.col("event_id").alias("id"), "us", F.lit(1 << 62).alias("version"))
+    return poses.reads(asked, poses.disconnected(history, cuts, ["user_id"], "us", "value"), ["user_id"], "us", "value", _days, _days, "previous").select("user_id", "id", "value")
+
+
+@query("""WITH RECURSIVE e AS (SELECT s_suppkey AS k, s_nationkey AS a, 25 + s_suppkey % 5 AS b FROM supplier), p AS (SELECT a, b, min(k) AS k FROM e GROUP BY a, b), o AS (SELECT *, row_number() OVER (ORDER BY k) AS i FROM p),
+r AS (SELECT 0::bigint AS i, -1::bigint AS a, -1::bigint AS b, true AS fresh, range(30) AS label UNION ALL
+  SELECT o.i, o.a, o.b, r.label[o.a + 1] <> r.label[o.b + 1], list_transform(r.label, lambda x: CASE WHEN x = r.label[o.b + 1] THEN r.label[o.a + 1] ELSE x END) FROM r JOIN o ON o.i = r.i + 1)
+SELECT e.k AS s_suppkey, 'f' || e.a AS lhs, 'f' || e.b AS rhs, r.fresh AS accepted FROM e JOIN r ON r.a = e.a AND r.b = e.b""")
+def pose_tree_edges(spark, sf_dir):
+    """Each supplier links its nation's frame with one of five others; an edge that closes a cycle is refused."""
+    s = _table(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.lit("f"), "s_nationkey").alias("lhs"), F.concat(F.lit("f"), 25 + F.col("s_suppkey") % 5).alias("rhs"))
+    return poses.tree_edges(s, "s_suppkey")
+
+
+@query(f"""WITH v AS (SELECT vec_id, v[1] * 2 AS r, v[2] * 2 AS p, v[3] * 2 AS y, v[4] AS tx, v[5] AS ty FROM (SELECT vec_id, {_D} AS v FROM embeddings))
+SELECT vec_id, round(r, 6) AS roll, round(p, 6) AS pitch, round(y, 6) AS yaw, round(y, 6) AS angle, round(tx, 6) AS x, round(ty, 6) AS y, round(y * 0.5, 6) AS half_angle FROM v""")
+def pose_maths(spark, sf_dir):
+    """Angles to a rotation and back, a turn in the plane, and half of it."""
+    v = _vectors(spark, sf_dir).select("vec_id", "v")
+    p = v.select("vec_id", from_euler(F.col("v")[0] * 2, F.col("v")[1] * 2, F.col("v")[2] * 2).alias("p"), about_z(F.col("v")[2] * 2, F.col("v")[3], F.col("v")[4]).alias("z"))
+    e, f = euler(F.col("p")), flat(F.col("z"))
+    return p.select("vec_id", *[F.round(e[c], 6).alias(c) for c in ("roll", "pitch", "yaw")], *[F.round(f[c], 6).alias(c) for c in ("angle", "x", "y")], F.round(yaw(power(from_flat(f), 0.5)), 6).alias("half_angle"))
+
+
 @query("""SELECT event_id, user_id FROM (SELECT event_id, user_id, ts, max(ts) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM events) WHERE m IS NULL OR ts > m""")
 def pose_ordered_updates(spark, sf_dir):
     return poses.accepted(_events(spark, sf_dir), ["user_id"], "us", ["event_id"], F.floor(F.col("event_id") / 4096)).select("event_id", "user_id")
@@ -606,7 +827,7 @@ def _frames(spark, sf_dir) -> DataFrame:
 @query("""SELECT 'c' || c_custkey AS frame, 3 AS depth, r_regionkey::double - c_custkey AS tx, n_nationkey::double AS ty FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey
 UNION ALL SELECT 'n' || n_nationkey, 2, r_regionkey, n_nationkey FROM nation JOIN region ON r_regionkey = n_regionkey UNION ALL SELECT 'r' || r_regionkey, 1, r_regionkey, 0 FROM region UNION ALL SELECT 'world', 0, 0, 0""")
 def pose_compose(spark, sf_dir):
-    out = poses.to_root(_frames(spark, sf_dir), 3)
+    out = poses.to_root(_frames(spark, sf_dir))
     return out.select("frame", "depth", *[(F.round(f"pose.{c}", 6) + 0.0).alias(c) for c in ("tx", "ty")])
 
 
@@ -619,10 +840,11 @@ def pose_canonical(spark, sf_dir):
     return out.select("lhs", "rhs", *[(F.round(f"pose.{c}", 6) + 0.0).alias(c) for c in ("tx", "ty")])
 
 
-@query("""WITH f AS (SELECT CASE WHEN event_type = 'error' THEN '_' || event_id WHEN event_id % 50 = 0 THEN '' ELSE 'f' || (event_id % 5000) END AS frame, 'f' || (event_id % 7000) AS parent FROM events),
-c AS (SELECT frame, count(*) AS n, max(parent) AS parent FROM f GROUP BY frame)
+@query("""WITH RECURSIVE f AS (SELECT CASE WHEN event_type = 'error' THEN '_' || event_id WHEN event_id % 50 = 0 THEN '' ELSE 'f' || (event_id % 5000) END AS frame, 'f' || (event_id % 7000) AS parent FROM events),
+c AS (SELECT frame, count(*) AS n, max(parent) AS parent FROM f GROUP BY frame),
+w(frame, up) AS (SELECT frame, parent FROM c UNION SELECT w.frame, c.parent FROM w JOIN c ON c.frame = w.up WHERE w.up <> w.frame)
 SELECT frame, 'no name' AS problem FROM c WHERE frame = '' UNION ALL SELECT frame, 'reserved name' FROM c WHERE starts_with(frame, '_') UNION ALL SELECT frame, 'repeated name' FROM c WHERE n > 1
-UNION ALL SELECT frame, 'no such parent' FROM c WHERE NOT EXISTS (SELECT 1 FROM c d WHERE d.frame = c.parent)""")
+UNION ALL SELECT frame, 'no such parent' FROM c WHERE NOT EXISTS (SELECT 1 FROM c d WHERE d.frame = c.parent) UNION ALL SELECT frame, 'cycle' FROM w WHERE frame = up""")
 def frame_problems(spark, sf_dir):
     e = _events(spark, sf_dir)
     name = F.when(F.col("event_type") == "error", F.concat(F.lit("_"), "event_id")).when(F.col("event_id") % 50 == 0, "").otherwise(F.concat(F.lit("f"), F.col("event_id") % 5000))

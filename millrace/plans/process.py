@@ -15,6 +15,7 @@ OPERATIONS: dict[str, Callable[..., Column]] = {
     "sigmoid_classes": tensors.sigmoid_classes,
     "max_positions": tensors.max_positions,
     "binary_class": tensors.binary_class,
+    "binary_class_row": tensors.binary_class_row,
     "printed": tensors.printed,
     "rescale_up": tensors.rescale_up,
     "rescale_down": tensors.rescale_down,

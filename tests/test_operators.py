@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from millrace.functions import durations, metadata, ordering, rotations, tensors
 from millrace.operators import conditions, images, inference, poses, queues, routing, tracking
-from millrace.plans.flow import Flow, Node, operator
 from millrace.sources import generators, recording
 
 
@@ -93,7 +92,7 @@ def test_rotations(spark):
 def test_tree_composition(spark):
     rows = [("f0", None)] + [(f"f{i}", f"f{i // 3}") for i in range(1, 40)]
     frames = spark.createDataFrame(rows, "frame string, parent string").withColumn("pose", F.when(F.col("parent").isNotNull(), rotations.about_z(0.3, 1.0, 2.0, 0.5)).otherwise(rotations.pose(1, 0, 0, 0, 0, 0, 0)))
-    paths = poses.to_root(frames, 5)
+    paths = poses.to_root(frames)
     assert {r["root"] for r in paths.select("root").collect()} == {"f0"}
     assert {r["frame"]: r["depth"] for r in paths.collect()}["f39"] == 4
     pairs = spark.createDataFrame([("f39", "f5"), ("f5", "f39")], "lhs string, rhs string")
@@ -108,7 +107,7 @@ def test_periodic_ticks(spark, policy, ticks, ran):
     if policy == "catch":
         got = conditions.catch_up_ticks(df, ["k"], "t", ["t"], 100, F.floor(F.col("t") / 200).cast("long"))
     else:
-        got = (conditions.grid_ticks if policy == "grid" else conditions.min_gap_ticks)(df, ["k"], "t", ["t"], 100)
+        got = conditions.grid_ticks(df, ["k"], "t", ["t"], 100) if policy == "grid" else conditions.min_gap_ticks(df, ["k"], "t", ["t"], F.floor(F.col("t") / 150), 100)
     assert sorted(r["t"] for r in got.collect()) == ran
 
 
@@ -197,33 +196,6 @@ def test_sources(spark, tmp_path):
         recording.export_csv(spark.range(1), str(tmp_path / "csv"), ["none"])
 
 
-def test_flow(spark):
-    flow = Flow()
-
-    @operator()
-    def source():
-        return spark.range(10)
-
-    flow.add(source)
-    flow.add(Node("split", lambda df: {"even": df.where("id % 2 = 0"), "odd": df.where("id % 2 = 1")}, ("df",), ("even", "odd")))
-    flow.add(Node("join", lambda parts: parts[0].unionAll(parts[1]), ("parts",), ("out",), ("parts",)))
-    flow.connect("source", "split")
-    flow.connect("split", "join", [("even", "parts"), ("odd", "parts")])
-    assert flow.frames()[("join", "out")].count() == 10
-    with pytest.raises(ValueError):
-        flow.connect("split", "join")
-    with pytest.raises(ValueError):
-        flow.add(source)
-    outer = Flow()
-    outer.embed("a", flow)
-    assert outer.order()[-1] == "a_join"
-    loop = Flow()
-    loop.add(Node("x", lambda a: a, ("a",)))
-    loop.connect("x", "x")
-    with pytest.raises(ValueError, match="cycle"):
-        loop.order()
-
-
 def test_routes(spark):
     df = spark.range(6)
     got = sorted(tuple(r) for r in routing.routed(df, {"a": F.col("id") < 2, "b": F.col("id") < 4}).collect())
@@ -251,3 +223,185 @@ def test_rigid_poses_and_cuts(spark):
     assert tuple(df.select(*[poses.is_rigid(F.col(c)) for c in "abc"]).first()) == (True, False, False)
     cut = poses.disconnected(history(spark, TWO), spark.createDataFrame([(1, 3.0, 3)], "edge int, t double, version long"), ["edge"], "t", "x")
     assert cut.where("not valid").count() == 1
+
+
+# -- null keys are keys like any other
+
+
+def nullable(spark):
+    """Six rows of key 1 and six of no key, in turn."""
+    return spark.createDataFrame([(None if i % 2 else 1, i, 10 * i) for i in range(12)], "k int, seq int, t long")
+
+
+def by_key(rows, *columns):
+    out = {}
+    for r in sorted(rows, key=lambda r: r["seq"]):
+        out.setdefault(r["k"], []).append(tuple(r[c] for c in columns) if len(columns) > 1 else r[columns[0]])
+    return out
+
+
+def test_null_keys(spark):
+    df, bucket = nullable(spark), F.floor(F.col("seq") / 5)
+    batches = by_key(conditions.count_batches(df, ["k"], ["seq"], bucket, 4).collect(), "batch")
+    assert batches == {1: [0] * 4, None: [0] * 4}
+    assert by_key(conditions.expiring_batches(df, ["k"], "t", ["t"], bucket, 3, 1000).collect(), "batch") == {1: [0, 0, 0, 1, 1, 1], None: [0, 0, 0, 1, 1, 1]}
+    assert by_key(conditions.timeout_batches(df, ["k"], "t", ["t"], 3, 1000).collect(), "batch") == {1: [0, 0, 0, 1, 1, 1], None: [0, 0, 0, 1, 1, 1]}
+    for ticks in (conditions.grid_ticks(df, ["k"], "t", ["t"], 40), conditions.catch_up_ticks(df, ["k"], "t", ["t"], 40, bucket), conditions.min_gap_ticks(df, ["k"], "t", ["t"], bucket, 40)):
+        assert by_key(ticks.collect(), "t") == {1: [0, 40, 80], None: [10, 50, 90]}
+    assert by_key(queues.bounded(df, ["k"], ["seq"], 2, "fault").collect(), "seq", "overflow") == {1: [(0, 4), (2, 4)], None: [(1, 4), (3, 4)]}
+    assert queues.strict(df, ["k"], 6).count() == 12
+    latest = queues.latest_value(df.where("seq >= 4"), df.where("seq < 4"), ["k"], ["t", "seq"], F.floor(F.col("t") / 50), "seq").collect()
+    assert {(r["k"], r["latest"]) for r in latest} == {(1, 2), (None, 3)} and sum(r["is_old"] for r in latest) == 6
+    assert len(poses.accepted(df, ["k"], "t", ["seq"], bucket).collect()) == 12
+    assert {r["k"] for r in images.equalized_bins(df, ["k"], "t").collect()} == {1, None}
+    assert by_key(ordering.numbered(df, ["k"], ["seq"], bucket, total="all").collect(), "n", "all")[None] == [(i, 6) for i in range(1, 7)]
+    assert by_key(ordering.running_sum(df, ["k"], ["seq"], bucket, F.col("seq"), "s").collect(), "s")[None] == [0, 1, 4, 9, 16, 25]
+
+
+def test_chains_are_folded_apart(spark):
+    """A key whose rows come in bursts: the greedy batches of the whole sequence, whatever the bursts."""
+    rng, t, rows = random.Random(3), 0, []
+    for i in range(400):
+        t += rng.choice([0, 1, 2, 5, 30])
+        rows.append((1, i, t))
+    df = spark.createDataFrame(rows, "k int, seq int, t long")
+    got = [r["batch"] for r in conditions.expiring_batches(df, ["k"], "t", ["t", "seq"], F.floor(F.col("t") / 100), 5, 12).orderBy("seq").collect()]
+    want, batch, first, n = [], -1, 0, 0
+    for _, _, t in rows:
+        if not n or n >= 5 or t - first > 12:
+            batch, first, n = batch + 1, t, 0
+        n += 1
+        want.append(batch)
+    assert got == want
+    ran = [r["seq"] for r in conditions.min_gap_ticks(df, ["k"], "t", ["t", "seq"], F.floor(F.col("t") / 100), 7).orderBy("seq").collect()]
+    due, want = None, []
+    for _, i, t in rows:
+        if due is None or t >= due:
+            due = t + 7
+            want.append(i)
+    assert ran == want
+
+
+def exchanged(df, column: str) -> int:
+    """How often the physical plan shuffles ``column``, before reuse."""
+    n, text = 0, df._jdf.queryExecution().executedPlan().toString().split("\n")
+    for i, line in enumerate(text):
+        if "Exchange hashpartitioning" in line or "Exchange SinglePartition" in line:
+            below = next((x for x in text[i + 1 :] if "Project" in x or "Scan" in x or "HashAggregate" in x or "Filter" in x), "")
+            n += column in below
+    return n
+
+
+def test_full_rows_are_shuffled_once(spark, tmp_path):
+    spark.range(1000).selectExpr("id % 7 k", "id", "cast(id as string) wide").write.parquet(str(tmp_path / "rows"))
+    df = spark.read.parquet(str(tmp_path / "rows"))
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        bucket = F.floor(F.col("id") / 100)
+        for out in (ordering.numbered(df, ["k"], ["id"], bucket), ordering.running_sum(df, ["k"], ["id"], bucket, F.col("id"), "s"), ordering.last_known(df, ["k"], ["id"], bucket, F.col("id"), "l"), conditions.count_batches(df, ["k"], ["id"], bucket, 4)):
+            assert exchanged(out, "wide") == 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
+# -- frames
+
+
+def test_cycles_are_found(spark):
+    frames = spark.createDataFrame([("a", "c"), ("b", "a"), ("c", "b"), ("d", "a"), ("e", None), ("f", "f"), ("g", "e")], "frame string, parent string")
+    problems = {(r["frame"], r["problem"]) for r in poses.frame_problems(frames).collect()}
+    assert problems == {(x, "cycle") for x in "abcf"}
+    with pytest.raises(ValueError, match="cycle"):
+        poses.to_root(frames.withColumn("pose", rotations.pose(1, 0, 0, 0, 0, 0, 0)))
+
+
+def test_deep_chain_has_one_root(spark):
+    rows = [("f0", None)] + [(f"f{i}", f"f{i - 1}") for i in range(1, 40)]
+    frames = spark.createDataFrame(rows, "frame string, parent string").withColumn("pose", F.when(F.col("parent").isNotNull(), rotations.pose(1, 0, 0, 0, 1, 0, 0)).otherwise(rotations.pose(1, 0, 0, 0, 0, 0, 0)))
+    got = {r["frame"]: (r["root"], r["depth"], r["pose"]["tx"]) for r in poses.to_root(frames).collect()}
+    assert got == {f"f{i}": ("f0", i, float(i)) for i in range(40)}
+
+
+def test_edges_that_close_a_cycle_are_refused(spark):
+    df = spark.createDataFrame([("a", "b", 1), ("b", "c", 2), ("a", "c", 3), ("c", "b", 4), ("d", "d", 5), ("x", "y", 6), ("c", "y", 7), (None, "a", 8), ("x", "a", 9)], "lhs string, rhs string, at int")
+    got = {r["at"]: r["accepted"] for r in poses.tree_edges(df, "at").collect()}
+    assert got == {1: True, 2: True, 3: False, 4: True, 5: False, 6: True, 7: True, 8: False, 9: False}
+    rng = random.Random(9)
+    rows = [(f"n{rng.randint(0, 60)}", f"n{rng.randint(0, 60)}", i) for i in range(150)]
+    label, want, seen = {}, {}, {}
+    for a, b, i in rows:
+        pair = tuple(sorted((a, b)))
+        la, lb = label.setdefault(a, a), label.setdefault(b, b)
+        want[i] = seen.setdefault(pair, la != lb)
+        if la != lb:
+            label = {k: la if v == lb else v for k, v in label.items()}
+    assert {r["at"]: r["accepted"] for r in poses.tree_edges(spark.createDataFrame(rows, "lhs string, rhs string, at int"), "at").collect()} == want
+
+
+def test_screw_motion(spark):
+    half = math.sqrt(0.5)
+    df = spark.range(1).select(rotations.pose(1, 0, 0, 0, 0, 0, 0).alias("a"), rotations.pose(half, 0, half, 0, 3, 3, 3).alias("b"))
+    m = df.select(rotations.slerp_pose(F.col("a"), F.col("b"), F.lit(0.5)).alias("m")).first()["m"]
+    assert 2 * math.acos(m["qw"]) == pytest.approx(math.pi / 4, abs=1e-8)
+    assert (m["tx"], m["ty"], m["tz"]) == pytest.approx(((2 - math.sqrt(2)) * 1.5, 1.5, math.sqrt(2) * 1.5), abs=1e-8)
+    twice = df.select(rotations.multiply(rotations.power(F.col("b"), 0.5), rotations.power(F.col("b"), 0.5)).alias("m")).first()["m"]
+    assert tuple(twice) == pytest.approx((half, 0, half, 0, 3, 3, 3), abs=1e-9)
+
+
+def test_euler_angles(spark):
+    df = spark.createDataFrame([(0.3, -0.4, 1.2), (1.5, 2.0, -3.0), (-0.7, 0.0, 0.0)], "r double, p double, y double")
+    back = df.select("*", rotations.euler(rotations.from_euler(F.col("r"), F.col("p"), F.col("y"))).alias("e")).collect()
+    for x in back:
+        turned = spark.createDataFrame([(x["e"]["roll"], x["e"]["pitch"], x["e"]["yaw"], x["r"], x["p"], x["y"])], "a double, b double, c double, r double, p double, y double")
+        q = turned.select(rotations.multiply(rotations.from_euler(F.col("a"), F.col("b"), F.col("c")), rotations.inverse(rotations.from_euler(F.col("r"), F.col("p"), F.col("y")))).alias("q")).first()["q"]
+        assert abs(q["qw"]) == pytest.approx(1, abs=1e-9) and abs(x["e"]["roll"]) <= math.pi / 2 + 1e-9
+
+
+# -- images
+
+
+def test_cubic_weights_and_planes(spark):
+    w = images.cubic_weights(5, 9)
+    assert w.sum(axis=1) == pytest.approx([1.0] * 9)
+    df = spark.createDataFrame([(1, [7] * 64), (2, None)], "id int, v array<int>")
+    got = {r["id"]: r["x"] for r in df.select("id", images.resize_cubic(F.col("v"), 8, 8, 1, 5, 3).alias("x")).collect()}
+    assert got == {1: [7] * 15, 2: None}
+    rng = random.Random(1)
+    gray = [x for _ in range(16) for x in [rng.randint(0, 255)] * 3]
+    df = spark.createDataFrame([(gray,)], "v array<int>")
+    for layout in images.LAYOUTS:
+        for luma in images.LUMA:
+            back = df.select(images.planes_to_rgb(images.rgb_to_planes(F.col("v"), 4, 4, layout, luma), 4, 4, layout, luma).alias("x")).first()["x"]
+            assert back == gray  # a gray image has no chroma to lose
+    with pytest.raises(ValueError):
+        images.planes_to_rgb(F.col("v"), 3, 4)
+    with pytest.raises(ValueError):
+        images.planes_to_rgb(F.col("v"), 4, 4, "other")
+
+
+def test_binary_class_rows(spark):
+    df = spark.createDataFrame([(1, [2.0, 1.0]), (2, [1.0, 1.0]), (3, [0.0, 3.0]), (4, [1.0])], "id int, v array<double>")
+    got = {r["id"]: r["c"] and tuple(r["c"])[:2] for r in df.select("id", tensors.binary_class_row(F.col("v"), ["a", "b", "c"]).alias("c")).collect()}
+    assert got == {1: ("1", "0"), 2: ("0", "1"), 3: ("0", "1"), 4: None}
+
+
+# -- recordings
+
+
+def test_entity_recording(spark, tmp_path):
+    from millrace.sources import entities
+
+    spark.dataSource.register(entities.EntityRecording)
+    rows = [(i, bytes([i % 256]) * (i % 5)) for i in range(50)]
+    spark.createDataFrame(rows, "log_time long, data binary").repartition(3).write.format("entities").mode("append").option("path", str(tmp_path / "r")).save()
+    back = spark.read.format("entities").option("path", str(tmp_path / "r")).option("rows", 4).load()
+    assert sorted((r["log_time"], bytes(r["data"])) for r in back.collect()) == rows
+    assert not list((tmp_path / "r").glob(".part*"))
+    base = tmp_path / "one"
+    base.with_suffix(".index").write_bytes(entities.RECORD.pack(5, 3, 0) + entities.RECORD.pack(6, 9, 3))
+    base.with_suffix(".entities").write_bytes(b"abcd")
+    got = [tuple(r) for r in spark.read.format("entities").option("path", str(base)).load().collect()]
+    assert [(r[0], r[1], r[2], r[3] and bytes(r[3])) for r in got] == [(5, 3, 0, b"abc"), (6, 9, 3, None)]
+    with pytest.raises(Exception, match="nowhere"):
+        spark.read.format("entities").option("path", str(tmp_path / "nowhere")).load().collect()

@@ -27,7 +27,7 @@ def source(spark, tmp_path):
 
 def test_expiring_batches(spark, tmp_path):
     batch, stream = source(spark, tmp_path)
-    want = conditions.expiring_batches(batch, ["user_id"], "us", ["us", "event_id"], 4, 2 * DAY_US).select("user_id", "event_id", "batch")
+    want = conditions.expiring_batches(batch, ["user_id"], "us", ["us", "event_id"], F.floor(F.col("us") / F.lit(DAY_US)), 4, 2 * DAY_US).select("user_id", "event_id", "batch")
     assert rows_of(drained(stateful.expiring_batches(stream, "user_id", "us", "event_id", 4, 2 * DAY_US), "expiring")) == rows_of(want)
 
 
