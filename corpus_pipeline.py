@@ -1,7 +1,8 @@
 """A training corpus from raw documents: known languages, one document of each near-copy group, no long repeats, mixed sources, packed.
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``documents``. ``run``
-writes each stage's rows to the shared folder and reads them back, so a lost executor costs at most one stage.
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``documents``, and other
+columns of ``docs`` are ignored, whatever their names. An empty table gives an empty result in every stage. ``run`` writes each
+stage's rows to the shared folder and reads them back, so a lost executor costs at most one stage.
 """
 
 from __future__ import annotations
@@ -24,13 +25,21 @@ REPEAT_BYTES = 240
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known; nothing is learnt from fold 0."""
+    """Documents whose language is known; nothing is learnt from fold 0.
+
+    Rejected are null texts, texts without a letter, and those of which no language has a probability of MIN_SCORE; a table without any ``lang``
+    teaches nothing, so all its documents go. Repeated rows are judged alike; whole texts are judged, however long. No other column is looked at, so
+    nulls in them change nothing, but a null doc_id or lang teaches nothing.
+    """
     judged = langid.identify(docs.select(*COLUMNS), langid.learn(docs))
     return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE)).select(*COLUMNS)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group; rows without a doc_id stay. Rows that share a doc_id stay or go together."""
+    """The document with the smallest doc_id of each group; rows without a doc_id stay. Rows that share a doc_id stay or go together.
+
+    Texts without words (null, empty, white) are one group. Nulls in other columns change nothing.
+    """
     groups = simhash.similar_groups(docs)
     kept = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct().withColumn("kept_", F.lit(True))
     return docs.select(*COLUMNS).join(kept, "doc_id", "left").where("kept_ or doc_id is null").select(*COLUMNS)
@@ -45,18 +54,30 @@ def _without_repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the bytes that repeat anywhere; a character that is cut through goes with them."""
+    """Texts without the bytes that repeat anywhere; a character that is cut through goes with them.
+
+    Every row stays; a null text becomes an empty one; ``n_chars`` counts what is left. Repeated rows are each other's repeats, so both lose all that is
+    REPEAT_BYTES long; shorter texts lose nothing. Nulls in other columns change nothing.
+    """
     marked = suffix_dedup.mark_repeats(docs, ["doc_id", "lang", "source", "n_chars"], length=REPEAT_BYTES, anchor=96)
     return marked.select(F.col("doc_id").cast("long"), "lang", "source", "n_chars", "text_", "spans_").mapInArrow(_without_repeats, SCHEMA)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their source's target takes them."""
+    """Documents as often as their source's target takes them, a text that is taken in part cut after its last word taken.
+
+    A null source is a source, the last one; documents without words are not taken; repeated rows are documents of their own, and a null doc_id is
+    an id like others. ``n_chars`` counts what is taken.
+    """
     return mixing.mixed_documents(docs.select(*COLUMNS), mixing.mix_sources(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces with their place in a sequence."""
+    """Pieces with their place in a sequence: (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset).
+
+    A null or empty text is its end mark alone; repeated rows, and rows without a doc_id, are documents of their own; a long text is cut at multiples
+    of 2048 tokens.
+    """
     return packing.pack_documents(docs, ids=False)
 
 

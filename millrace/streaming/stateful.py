@@ -1,7 +1,9 @@
 """Stateful forms of the batch operators, for streams: age-limited batches, latest values, running latencies, bounded queues.
 
 Rows of one trigger are put in order by their time; a row that comes in a later trigger counts as later. State is a few numbers
-a key (for :func:`latest`, the last value), kept in Spark's state store.
+a key (for :func:`latest`, the last value), kept in Spark's state store. To put them in order, a key's rows of one trigger are held in
+memory, so a source with hot keys needs a limit on its triggers (maxFilesPerTrigger, maxOffsetsPerTrigger); :func:`first_in` holds no more
+rows than it admits.
 """
 
 from __future__ import annotations
@@ -81,9 +83,12 @@ def latency_report(stream: DataFrame, path: str, latency: str, order: list[str],
 
 def _admitted(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState, *, columns: list[str], order: list[str], capacity: int) -> Iterator[pd.DataFrame]:
     (n,) = state.get if state.exists else (0,)
-    rows = pd.concat(list(frames)).sort_values(order).head(max(0, capacity - n))
-    state.update((n + len(rows),))
-    yield rows[columns]
+    rows = None
+    for frame in frames:
+        rows = (frame if rows is None else pd.concat([rows, frame])).sort_values(order).head(max(0, capacity - n))
+    if rows is not None:
+        state.update((n + len(rows),))
+        yield rows[columns]
 
 
 def first_in(stream: DataFrame, key: str, order: list[str], capacity: int) -> DataFrame:
