@@ -33,6 +33,8 @@ BANDS, BAND = 24, 5
 #: The bits of a set's fingerprint, and in how many of them sets may differ that are compared. Sets at a similarity of 0.8 differ in 15 % of the bits
 #: (the angle between them over pi), so in more than this many of 48 about once in 100,000 pairs; unrelated ones in half.
 SET_BITS, SET_BUDGET = 48, 20
+#: The fewest pairs that are compared at once.
+LEAST_PAIRS = 1 << 13
 #: Groups are joined together until they have this many rows or shingles.
 SET_ROWS, SET_SHINGLES = 4096, 1 << 20
 #: A group of more rows or shingles is dealt to several tasks.
@@ -308,26 +310,6 @@ def keys(grams: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def overlaps(codes: np.ndarray, first: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """How many codes the sets a[i] and b[i] share; set j is codes[first[j] : first[j] + size[j]], ascending."""
-    out, most = np.zeros(len(a), np.int64), int(codes.max(initial=0)) + 1
-    ends = np.cumsum(size[a] + size[b])
-    lo = 0
-    while lo < len(a):
-        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + (1 << 20), side="right")))
-        sides = []
-        for own in (a[lo:hi], b[lo:hi]):
-            n = size[own]
-            of = np.repeat(np.arange(len(own)), n)
-            sides.append(of * most + codes[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + first[own][of]])
-        x, y = sides
-        if len(y):
-            met = y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x
-            out[lo:hi] = np.bincount(x[met] // most, minlength=hi - lo)
-        lo = hi
-    return out
-
-
 def alike(values: np.ndarray, sets: list[np.ndarray], label: np.ndarray, pivot: np.ndarray, shared: int) -> np.ndarray:
     """``label`` (least rows of classes), joined where a pivot's set and any other have an intersection of 0.8 or more of their union.
 
@@ -337,23 +319,53 @@ def alike(values: np.ndarray, sets: list[np.ndarray], label: np.ndarray, pivot:
     size = np.fromiter(map(len, sets), np.int64, len(sets))
     _, codes = np.unique(np.concatenate(sets), return_inverse=True)
     first = np.cumsum(size) - size
+    mark = np.zeros(len(codes) + 1, bool)
+
+    def shared_with(q: int, c: np.ndarray) -> np.ndarray:
+        """How many codes each of the sets c shares with set q. A group's sets lie side by side."""
+        mine = codes[first[q] : first[q] + size[q]]
+        mark[mine] = True
+        lo, hi = first[c[0]], first[c[-1]] + size[c[-1]]
+        if 4 * size[c].sum() >= hi - lo:
+            total = np.concatenate([[0], np.cumsum(mark[codes[lo:hi]])])
+            n = total[first[c] + size[c] - lo] - total[first[c] - lo]
+        else:
+            starts = np.cumsum(size[c]) - size[c]
+            n = np.add.reduceat(mark[codes[np.arange(size[c].sum()) + np.repeat(first[c] - starts, size[c])]].astype(np.int64), starts)
+        mark[mine] = False
+        return n
+
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    waiting, limit = 0, LEAST_PAIRS
+
+    def settle(label: np.ndarray) -> np.ndarray:
+        """Compare the pairs held, all of a set's at once."""
+        nonlocal waiting, limit
+        waiting = 0
+        a, b = (np.concatenate([np.zeros(0, np.int64), *(x[i] for x in held)]) for i in (0, 1))
+        held.clear()
+        may = (pivot[a] | pivot[b]) & (label[a] != label[b]) & (5 * np.minimum(size[a], size[b]) >= 4 * np.maximum(size[a], size[b]))
+        order = np.lexsort((b[may], a[may]))
+        a, b = a[may][order], b[may][order]
+        cuts = np.flatnonzero(np.diff(a, prepend=-1, append=-1)).tolist()
+        joined = 0
+        for lo, hi in zip(cuts, cuts[1:]):
+            q, c = int(a[lo]), b[lo:hi]
+            c = c[label[c] != label[q]]  # what has been joined meanwhile need not be compared
+            if len(c):
+                near = c[9 * shared_with(q, c) >= 4 * (size[q] + size[c])]
+                if len(near):
+                    label, joined = hook(label, np.full(len(near), q), near), joined + len(near)
+        limit = LEAST_PAIRS if 16 * joined > len(cuts) else min(4 * limit, 1 << 20)  # where little joins, pairs wait for more of their sets'
+        return label
 
     def join(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        may = (pivot[a] | pivot[b]) & (5 * np.minimum(size[a], size[b]) >= 4 * np.maximum(size[a], size[b]))
-        a, b = a[may], b[may]
-        while len(a):
-            apart = label[a] != label[b]
-            a, b = a[apart], b[apart]
-            # one pair a class at a time: what it joins need not be compared
-            turn = np.zeros(len(a), bool)
-            turn[np.unique(label[a], return_index=True)[1]] = True
-            x, y = a[turn], b[turn]
-            near = 9 * overlaps(codes, first, size, x, y) >= 4 * (size[x] + size[y])
-            label = hook(label, x[near], y[near])
-            a, b = a[~turn], b[~turn]
-        return label
+        nonlocal waiting
+        held.append((a, b))
+        waiting += len(a)
+        return settle(label) if waiting >= limit else label
 
-    return walked(values, label, np.arange(len(values)), SET_BUDGET, shared, join)
+    return settle(walked(values, label, np.arange(len(values)), SET_BUDGET, shared, join))
 
 
 def _stars_of(rows: DataFrame) -> DataFrame:
