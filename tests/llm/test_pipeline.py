@@ -75,6 +75,30 @@ def test_packing_has_every_token(stages):
     assert used.max() <= 2048
 
 
+def test_rows_are_followed_through_all_stages(stages):
+    """What a stage drops never comes back, and what the last one packs is what the one before it holds."""
+    ids = [{r["doc_id"] for r in s["rows"]} for s in stages]
+    assert all(after <= before for before, after in zip(ids, ids[1:]))
+    assert ids[3] == ids[2] and ids[4] == ids[5]
+    raw = {r["doc_id"]: r["text"] or "" for r in stages[0]["rows"]}
+    for r in stages[4]["rows"]:
+        left = iter(raw[r["doc_id"]])
+        assert all(c in left for c in r["text"])  # nothing but cuts
+    tokens = sorted((r["doc_id"], len(own)) for r, own in zip(stages[4]["rows"], ids_of([r["text"] for r in stages[4]["rows"]])))
+    assert sorted((r["doc_id"], r["doc_tokens"]) for r in stages[5]["rows"] if r["start"] == 0) == tokens
+
+
+def test_nulls_everywhere(spark, tmp_path):
+    """Rows with a null in each column, repeated ones, and a column whose name the stages use themselves."""
+    words = " ".join(f"word{i}" for i in range(120))
+    rows = [(1, words, "en", "a", 5), (1, words, "en", "a", 5), (None, words + " more", None, None, None), (2, None, "en", "a", None), (3, "", None, "b", 0), (None, None, None, None, None), (4, "some other text of its own", "en", None, 3)]
+    docs = spark.createDataFrame([(*r, 7, 8) for r in rows], corpus_pipeline.SCHEMA + ", size int, score string")
+    for name, stage in corpus_pipeline.STAGES:
+        out = staged(stage(spark, docs, str(tmp_path)), name)
+        assert out.columns == corpus_pipeline.COLUMNS or name == "packing"
+        assert out.count() > 0 or name == "language_id"
+
+
 def test_run_and_empty_table(spark, stages, tmp_path):
     assert corpus_pipeline.run(spark, DATA).columns == stages[-1]["df"].columns
     docs = spark.createDataFrame([], corpus_pipeline.SCHEMA)
