@@ -26,7 +26,9 @@ class RunIndex:
     below: np.ndarray  # how many bytes each shares with its successor
 
     @classmethod
-    def build(cls, texts: list[bytes]) -> RunIndex:
+    def build(cls, texts: list[bytes], twins: list[bool] | None = None) -> RunIndex:
+        """``twins`` says which texts are there a second time. Such a text's suffixes and their twins lie next to each other in suffix order with the same
+        byte before them, so the twin adds nothing to the runs but one sample at its start: there and onwards all bytes are shared."""
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         data = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8)
         ends = np.cumsum(sizes + 1) - 1
@@ -38,8 +40,14 @@ class RunIndex:
         turn = np.flatnonzero((left[1:] != left[:-1]) | (left[1:] < 0))
         upper, lower = order[turn], order[turn + 1]
         shared = common(data, end, upper, lower)
-        by_head, by_tail = np.argsort(lower), np.argsort(upper)
-        return cls(len(data), lower[by_head], shared[by_head], upper[by_tail], shared[by_tail])
+        by_head = np.argsort(lower)
+        heads, above = lower[by_head], shared[by_head]
+        if twins is not None and any(twins):
+            two = np.flatnonzero(twins)
+            alone = ~np.asarray(twins)[text[upper]]
+            upper, shared = np.concatenate([upper[alone], ends[two] - sizes[two]]), np.concatenate([shared[alone], sizes[two]])
+        by_tail = np.argsort(upper)
+        return cls(len(data), heads, above, upper[by_tail], shared[by_tail])
 
     def matching_statistics(self) -> np.ndarray:
         """For each position, how many bytes from there on occur at another position too (matches stay inside texts)."""
@@ -64,7 +72,7 @@ def common(data: np.ndarray, end: np.ndarray, i: np.ndarray, j: np.ndarray) -> n
         if not len(open_):
             break
         step, still = np.arange(width), []
-        for part in np.array_split(open_, -(-len(open_) * width // (1 << 22))):
+        for part in np.array_split(open_, -(-len(open_) * width // (1 << 20))):
             a, b = padded[(i[part] + out[part])[:, None] + step], padded[(j[part] + out[part])[:, None] + step]
             same = a == b
             whole = same.all(axis=1)

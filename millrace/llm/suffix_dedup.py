@@ -31,8 +31,8 @@ ANCHOR = 128
 MOST = 512
 #: Into how many parts the windows of a crowded anchor go at a level.
 PARTS = 4
-#: Bytes that are hashed, or indexed, at once.
-CHUNK = 1 << 20
+#: Bytes that are hashed at once, and that are indexed at once (beyond it, an anchor's group as a whole). An index takes about 120 times its bytes while it is built.
+CHUNK, INDEXED = 1 << 20, 1 << 18
 SEGMENTS = "d1 long, d2 long, first long, more long, off long, key long, sig long, copies long"
 
 
@@ -184,9 +184,9 @@ def runs_of(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(step == 1), np.flatnonzero(step == -1) - 1
 
 
-def marked(texts: list[bytes], length: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Per text, the runs of positions whose ``length`` bytes occur elsewhere in the texts."""
-    repeated = RunIndex.build(texts).matching_statistics() >= length
+def marked(texts: list[bytes], twins: list[bool], length: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per text, the runs of positions whose ``length`` bytes occur elsewhere in the texts, of which ``twins`` are there twice."""
+    repeated = RunIndex.build(texts, twins).matching_statistics() >= length
     out, at = [], 0
     for t in texts:
         out.append(runs_of(repeated[at : at + len(t) - length + 1]))
@@ -196,27 +196,29 @@ def marked(texts: list[bytes], length: int) -> list[tuple[np.ndarray, np.ndarray
 
 def _index(length: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by anchor; an index is built whenever whole anchors hold CHUNK bytes."""
+        """Rows come sorted by (anchor, segment); an index is built whenever whole anchors hold INDEXED bytes."""
         keys: list[int] = []
         rest: list[tuple] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
-            found = marked([r[2] for r in rest], length)
-            # of equal segments one tells
-            own = [i for i, r in enumerate(rest) if not r[1]]
-            m = [len(found[i][0]) for i in own]
-            out = [np.repeat(np.array([keys[i] for i in own], np.int64), m), np.repeat(np.array([rest[i][0] for i in own], np.int64), m), *(np.concatenate([np.zeros(0, np.int64), *(found[i][k] for i in own)]) for k in (0, 1))]
+            # the second of two segments with one hash is the first one's twin if all bytes are equal
+            twin = [k == keys[i - 1] and r == rest[i - 1] if i else False for i, (k, r) in enumerate(zip(keys, rest, strict=True))]
+            own = np.flatnonzero(~np.array(twin))
+            found = marked([rest[i][1] for i in own], [i + 1 < len(rest) and twin[i + 1] for i in own.tolist()], length)
+            m = [len(f[0]) for f in found]
+            out = [np.repeat(np.array([x[i] for i in own], np.int64), m) for x in (keys, [r[0] for r in rest])]
+            out += [np.concatenate([f[k] for f in found]) for k in (0, 1)]
             return pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["key", "sig", "lo", "hi"])
 
         for batch in batches:
             for key, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if size >= CHUNK and key != keys[-1]:
+                if size >= INDEXED and key != keys[-1]:
                     yield flush()
                     keys, rest, size = [], [], 0
                 keys.append(key)
                 rest.append(tuple(row))
-                size += len(row[2])
+                size += len(row[1])
         if keys:
             yield flush()
 
@@ -244,7 +246,7 @@ def _repeated(keyed: DataFrame, found: DataFrame, length: int, slack: int, most:
     cut = keyed.join(wanted, ["d1", "d2"]).select("text", "wanted").mapInArrow(_cut, "key long, sig long, which int, copies long, crowded boolean, off long, more long, bytes binary")
     cut = staged(cut, "segment-bytes")
     one = cut.dropDuplicates(["key", "sig", "which"])  # of equal rows one is enough
-    dealt = one.where("not crowded").select("key", "sig", "which", "bytes").repartition(n, "key").sortWithinPartitions("key", "sig")
+    dealt = one.where("not crowded").select("key", "sig", "bytes").repartition(n, "key").sortWithinPartitions("key", "sig")
     verdict = dealt.mapInArrow(_index(length), "key long, sig long, lo long, hi long")
     if several:
         parents = staged(one.where("crowded"), "crowded-segments")

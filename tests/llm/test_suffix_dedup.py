@@ -138,3 +138,14 @@ def test_one_passage_in_many_texts(spark):
 def test_anchor_must_fit(spark):
     with pytest.raises(ValueError):
         suffix_dedup.mark_repeats(spark.range(1).select(F.col("id").alias("doc_id"), F.lit("x").alias("text")), ["doc_id"], length=10, anchor=11)
+
+
+def test_a_twin_adds_one_sample():
+    """The index of texts of which some are twins says what that of all texts says."""
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("ab") for _ in range(rng.randint(1, 60))).encode() for _ in range(20)]
+    twins = [i % 3 == 0 for i in range(20)]
+    got = RunIndex.build(texts, twins).matching_statistics()
+    every = texts + [t for t, two in zip(texts, twins) if two]
+    assert got.tolist() == RunIndex.build(every).matching_statistics()[: len(got)].tolist()
+    assert len(RunIndex.build(texts, [True] * 20).tails) == 20
