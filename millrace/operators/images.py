@@ -189,7 +189,7 @@ def planes_to_rgb(data: Column, height: int, width: int, layout: str = "yuv420",
 
 
 def rgb_to_planes(data: Column, height: int, width: int, layout: str = "yuv420", luma: str = "601", full: bool = True) -> Column:
-    """Subsampled YUV of RGB, channels last: a chroma sample is the mean of its pixels'; rounded half up and clamped."""
+    """Subsampled YUV of RGB, channels last: a chroma sample is the mean of its pixels', added up row by row; rounded half up and clamped."""
     _checked(height, width, layout)
     (kr, kb), (black, y_range, c_range) = LUMA[luma], _ranges(full)
     whole = lambda x: np.clip(np.floor(x + 0.5), 0, 255)
@@ -199,7 +199,8 @@ def rgb_to_planes(data: Column, height: int, width: int, layout: str = "yuv420",
         y = kr * r + (1 - kr - kb) * g + kb * b
         u, v = (b - y) / (2 * (1 - kb)), (r - y) / (2 * (1 - kr))
         down = 1 if layout == "yuyv" else 2
-        u, v = (c.reshape(-1, height // down, down, width // 2, 2).mean(axis=(2, 4)) * (c_range / 255) + 128 for c in (u, v))
+        cells = [[c.reshape(-1, height // down, down, width // 2, 2)[:, :, i, :, j] for i in range(down) for j in range(2)] for c in (u, v)]
+        u, v = (sum(c[1:], c[0]) / len(c) * (c_range / 255) + 128 for c in cells)  # added up row by row: at a half, the order decides
         y, u, v = whole(y * (y_range / 255) + black), whole(u), whole(v)
         if layout == "yuyv":
             y = y.reshape(-1, height, width // 2, 2)

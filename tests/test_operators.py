@@ -1,6 +1,5 @@
 """Golden cases and invariants of the operators."""
 
-import math
 import random
 
 import pytest
@@ -380,6 +379,15 @@ def test_cubic_weights_and_planes(spark):
         images.planes_to_rgb(F.col("v"), 4, 4, "other")
 
 
+def test_chroma_is_added_up_row_by_row(spark):
+    """Halves are decided by rounding errors: the sum goes over a sample's four pixels in their order, as plain SQL does."""
+    cells = {103: (205, 197, 154, 170, 224, 169, 137, 236, 92, 187, 42, 88), 102: (182, 101, 184, 35, 174, 98, 167, 93, 43, 227, 243, 74), 126: (25, 161, 53, 96, 19, 250, 143, 84, 69, 235, 235, 115)}
+    frames = [(u, [x for _ in range(4) for row in (c[:6], c[6:]) for x in row * 4]) for u, c in cells.items()]
+    df = spark.createDataFrame(frames, "u int, v array<int>")
+    for r in df.select("u", images.rgb_to_planes(F.col("v"), 8, 8).alias("x")).collect():
+        assert r["x"][64:80] == [r["u"]] * 16
+
+
 def test_binary_class_rows(spark):
     df = spark.createDataFrame([(1, [2.0, 1.0]), (2, [1.0, 1.0]), (3, [0.0, 3.0]), (4, [1.0])], "id int, v array<double>")
     got = {r["id"]: r["c"] and tuple(r["c"])[:2] for r in df.select("id", tensors.binary_class_row(F.col("v"), ["a", "b", "c"]).alias("c")).collect()}
