@@ -8,20 +8,44 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _edges(df: DataFrame, keys: list[str], order: list[str], n: int, last: bool, name: str) -> DataFrame:
-    """The order of the n-th row of each key from one end; keys with fewer rows have their last. Window group limits keep n rows a task."""
-    w = Window.partitionBy(*keys).orderBy(*[F.desc(c) if last else F.asc(c) for c in order])
+#: The most paths whose bounds and extremes, a row each, are broadcast; for more of them the rows are shuffled.
+FEW = 1 << 16
+#: Shares into which a key's rows are dealt to find a bound of its first and last rows.
+SHARES = 1 << 10
+
+
+def _few(df: DataFrame, keys: list[str]) -> bool:
+    return df.select(*keys).distinct().limit(FEW + 1).count() <= FEW
+
+
+def _with(df: DataFrame, other: DataFrame, keys: list[str], few: bool) -> DataFrame:
+    """Joined with a table of one row a key."""
+    return df.join(F.broadcast(other) if few else other, keys)
+
+
+def _edges(df: DataFrame, keys: list[str], order: list[str], n: int, last: bool, name: str, few: bool) -> DataFrame:
+    """The order of the n-th row of each key from one end; keys with fewer rows have their last.
+
+    Of the ends of SHARES shares of a key the n-th one bounds its n-th row, so only the rows up to there are sorted: about n, and those that are equal in
+    the first order column.
+    """
+    end, up = (F.max, F.desc) if last else (F.min, F.asc)
+    first, w = F.col(order[0]), Window.partitionBy(*keys)
+    ends = df.groupBy(*keys, F.pmod(F.xxhash64(*order), F.lit(SHARES)).alias("share_")).agg(end(order[0]).alias("end_"))
+    bound = ends.withColumn("rank_", F.row_number().over(w.orderBy(up("end_")))).where(F.col("rank_") <= n).groupBy(*keys).agg((F.min if last else F.max)("end_").alias("bound_"))
+    near = _with(df.select(*keys, *order), bound, keys, few).where(F.coalesce(first >= F.col("bound_") if last else first <= F.col("bound_"), F.lit(True)))
     edge = (F.min if last else F.max)(F.struct(*order))
-    return df.select(*keys, *order).withColumn("rank_", F.row_number().over(w)).where(F.col("rank_") <= n).groupBy(*keys).agg(edge.alias(name))
+    return near.withColumn("rank_", F.row_number().over(w.orderBy(*[up(c) for c in order]))).where(F.col("rank_") <= n).groupBy(*keys).agg(edge.alias(name))
 
 
 def trimmed(df: DataFrame, keys: list[str], order: list[str], skip: int, discard: int) -> DataFrame:
     """Without the first ``skip`` and the last ``discard`` rows of each key, by ``order`` (unique in a key)."""
+    few = bool(skip or discard) and _few(df, keys)
     if skip:
-        df = df.join(_edges(df, keys, order, skip, False, "from_"), keys).where(F.struct(*order) > F.col("from_")).drop("from_")
+        df = _with(df, _edges(df, keys, order, skip, False, "from_", few), keys, few).where(F.struct(*order) > F.col("from_")).drop("from_")
     if discard:
         # counted among all rows, as the rows skipped come first
-        df = df.join(_edges(df, keys, order, discard, True, "to_"), keys).where(F.struct(*order) < F.col("to_")).drop("to_")
+        df = _with(df, _edges(df, keys, order, discard, True, "to_", few), keys, few).where(F.struct(*order) < F.col("to_")).drop("to_")
     return df
 
 
@@ -30,13 +54,21 @@ def latency_report(df: DataFrame, path: str, latency: str, order: list[str], thr
 
     Latencies below ``threshold`` are left out first, then the first ``skip`` messages and the last ``discard``. Numbers
     count the messages that are left, from 1; of equal extremes the latest counts. Paths without messages left have no row.
+    Aggregates are of plain numbers, so that they are hashed; structs would have all rows sorted.
     """
-    kept = trimmed(df.where(F.col(latency) >= threshold).select(F.col(path).alias("path"), F.col(latency).alias("latency"), *order), ["path"], order, skip, discard)
-    at = F.struct(*order)
-    found = kept.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.max("latency").alias("max_ms"), F.max(F.struct("latency", at.alias("at")))["at"].alias("max_at"), F.min("latency").alias("min_ms"), F.max(F.struct((-F.col("latency")).alias("latency"), at.alias("at")))["at"].alias("min_at"), F.avg("latency").alias("avg_ms"))
+    rows = df.where(F.col(latency) >= threshold).select(F.col(path).alias("path"), F.col(latency).alias("latency"), *order)
+    kept, few = trimmed(rows, ["path"], order, skip, discard), _few(rows, ["path"])
+    found = kept.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.max("latency").alias("max_ms"), F.min("latency").alias("min_ms"), F.avg("latency").alias("avg_ms"))
+    # the latest of equal extremes, one order column after the other
+    ends = ("max", "min")
+    for i, c in enumerate(order):
+        at = {e: reduce(lambda a, b: a & b, [F.col(o).eqNullSafe(F.col(f"{e}_{k}_")) for k, o in enumerate(order[:i])], F.col("latency") == F.col(f"{e}_ms")) for e in ends}
+        latest = _with(kept, found, ["path"], few).groupBy("path").agg(*[F.max(F.when(at[e], F.col(c))).alias(f"{e}_{i}_") for e in ends])
+        found = _with(found, latest, ["path"], few)
     # a message's number is how many come up to it
-    numbers = kept.join(found.select("path", "max_at", "min_at"), "path").groupBy("path").agg(F.count_if(at <= F.col("max_at")).alias("max_no"), F.count_if(at <= F.col("min_at")).alias("min_no"))
-    return found.join(numbers, "path").select("path", "n", "max_ms", "max_no", "min_ms", "min_no", "avg_ms")
+    at = {e: F.struct(*[F.col(f"{e}_{i}_").alias(c) for i, c in enumerate(order)]) for e in ends}
+    numbers = _with(kept, found, ["path"], few).groupBy("path").agg(*[F.count_if(F.struct(*order) <= at[e]).alias(f"{e}_no") for e in ends])
+    return _with(found, numbers, ["path"], few).select("path", "n", "max_ms", "max_no", "min_ms", "min_no", "avg_ms")
 
 
 def source_counts(df: DataFrame, operator: str, port: str) -> DataFrame:

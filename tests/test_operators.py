@@ -28,6 +28,20 @@ def test_latest_of_equal_extremes_counts(spark):
     assert (r["max_no"], r["min_no"], r["avg_ms"]) == (3, 4, 3.0)
 
 
+def test_latency_report_sorts_no_more_than_the_edges(spark):
+    """Rows that are all equal in the first order column, or have none, are told apart by the second; the rest is hashed."""
+    rng = random.Random(5)
+    rows = [(p, rng.choice([None, *range(4)]), i, float(rng.randint(0, 5))) for p in "abc" for i in range(60)] + [("d", None, i, 1.0) for i in range(30)]
+    df = spark.createDataFrame(rows, "path string, us long, id long, latency double")
+    got = {r["path"]: tuple(r)[1:] for r in tracking.latency_report(df, "path", "latency", ["us", "id"], 1, 10, 10).collect()}
+    for p in "abcd":
+        own = sorted((-1 if us is None else us, i, x) for q, us, i, x in rows if q == p and x >= 1)[10:-10]
+        xs = [x for _, _, x in own]
+        assert got[p] == (len(xs), max(xs), max(i for i, x in enumerate(xs, 1) if x == max(xs)), min(xs), max(i for i, x in enumerate(xs, 1) if x == min(xs)), pytest.approx(sum(xs) / len(xs)))
+    plan = tracking.latency_report(df, "path", "latency", ["us", "id"], 0, 0, 0)._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan and "Sort " not in plan
+
+
 def test_metadata_merge(spark):
     df = spark.sql("SELECT map('key1', '5', 'key2', '10') AS a, map('key1', '3', 'key3', '20') AS b, cast(null as map<string,string>) AS c")
     one = lambda x: df.select(x.alias("x")).first()["x"]
