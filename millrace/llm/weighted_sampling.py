@@ -12,6 +12,7 @@ import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +26,8 @@ from .shared import partitions, table
 SAMPLES = 128
 #: Hexadecimal digits of a sample in a fingerprint.
 DIGITS = 4
-#: Words of consecutive texts whose draws are kept at once.
-WORDS = 1 << 13
+#: The most words whose bids are kept (512 bytes each), and the most words that occur often in a text whose draws are (1,536 bytes).
+WORDS, OFTEN = 1 << 14, 1 << 13
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -50,61 +51,82 @@ class Sampler:
         g = _gamma_quantiles()
         self._r, self._log_c = g.astype(np.float32), np.log(g).astype(np.float32)
         self._seeds = np.random.default_rng(2010).integers(0, 1 << 63, samples, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        # bids of words that occur once, and the draws of words that occur more often
         self._index: dict[bytes, int] = {}
-        self._hash = np.zeros(2 * WORDS, np.uint64)
-        self._draws = [np.zeros((2 * WORDS, samples), np.float32) for _ in range(4)]
+        self._hash = np.zeros(WORDS, np.uint64)
+        self._bids = np.zeros((WORDS, samples), np.float32)
+        self._often: dict[bytes, int] = {}
+        self._draws = [np.zeros((OFTEN, samples), np.float32) for _ in range(3)]
 
     def _drawn(self, h: np.ndarray) -> tuple[np.ndarray, ...]:
         """(r, ln c, b, the bid of a word that occurs once) for word hashes and all samples."""
         x = h[:, None] * self._seeds
-        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
         x ^= x >> np.uint64(32)
-        r, log_c = self._r[x.astype(np.uint16)], self._log_c[(x >> np.uint64(16)).astype(np.uint16)]
-        b = (x >> np.uint64(32)).astype(np.float32) * np.float32(2.0**-32)
+        x *= np.uint64(0xD6E8FEB86659FD93)
+        x ^= x >> np.uint64(32)
+        x = x.astype("<u8", copy=False)
+        parts = x.view("<u2").reshape(*x.shape, 4)  # the lowest first
+        r, log_c = self._r.take(parts[..., 0], mode="clip"), self._log_c.take(parts[..., 1], mode="clip")
+        b = x.view("<u4").reshape(*x.shape, 2)[..., 1].astype(np.float32)
+        b *= np.float32(2.0**-32)
         return r, log_c, b, log_c - r * (1 - b)
 
     def begin(self, texts: list[bytes]) -> list[Counter]:
-        """Counts of the words of ``texts``; draws for them are ready afterwards, unless they are too many to keep."""
+        """Counts of the words of ``texts``; bids and draws for them are ready afterwards, unless they are too many to keep."""
         counts = [Counter(_WORD.findall(t.translate(_UPPER))) for t in texts]
-        new = list(dict.fromkeys(w for c in counts for w in c if w not in self._index))
-        if len(self._index) + len(new) > 2 * WORDS:
-            self._index = {}
-            new = list(dict.fromkeys(w for c in counts for w in c))
-        if len(new) <= 2 * WORDS:
+        every = set().union(*counts)
+        new = [w for w in every if w not in self._index]
+        if len(self._index) + len(new) > WORDS:
+            self._index, new = {}, list(every)
+        if len(new) <= WORDS:
             n = len(self._index)
             self._index.update(zip(new, range(n, n + len(new)), strict=True))
             h = self._hash[n : n + len(new)] = self._hashes(new)
-            for lo in range(0, len(new), 1024):
-                for kept, drawn in zip(self._draws, self._drawn(h[lo : lo + 1024]), strict=True):
-                    kept[n + lo : n + lo + len(drawn)] = drawn
+            for lo in range(0, len(new), 256):
+                self._bids[n + lo : n + min(lo + 256, len(new))] = self._drawn(h[lo : lo + 256])[3]
+        every = {w for c in counts for w, k in c.items() if k > 1}
+        new = [w for w in every if w not in self._often]
+        if len(self._often) + len(new) > OFTEN:
+            self._often, new = {}, list(every)
+        if len(new) <= OFTEN:
+            n = len(self._often)
+            self._often.update(zip(new, range(n, n + len(new)), strict=True))
+            h = self._hashes(new)
+            for lo in range(0, len(new), 256):
+                for kept, drawn in zip(self._draws, self._drawn(h[lo : lo + 256])[:3], strict=True):
+                    kept[n + lo : n + min(lo + 256, len(new))] = drawn
         return counts
 
     @staticmethod
     def _hashes(words: list[bytes]) -> np.ndarray:
-        return np.fromiter((xxhash.xxh64_intdigest(w, 7) for w in words), np.uint64, len(words))
+        return np.fromiter(map(xxhash.xxh64_intdigest, words, repeat(7)), np.uint64, len(words))
 
     def fingerprint(self, counts: Counter) -> np.ndarray:
         """(samples,) of 16 bits; zeros for no words."""
-        k = np.arange(self.samples)
+        k, i = np.arange(self.samples), np.zeros(self.samples, np.int64)
         best, won, level = np.full(self.samples, np.inf, np.float32), np.zeros(self.samples, np.uint64), np.zeros(self.samples, np.int64)
         if not counts:
             return np.zeros(self.samples, np.uint16)
         words, w = list(counts), np.fromiter(counts.values(), np.int64, len(counts))
-        at = np.fromiter((self._index.get(x, -1) for x in words), np.int64, len(words))
+        at = np.fromiter(map(self._index.get, words, repeat(-1)), np.int64, len(words))
         kept = bool((at >= 0).all())
         h = self._hash[at] if kept else self._hashes(words)
         for often in (False, True):
             some = np.flatnonzero((w > 1) == often)
+            if often:
+                place = np.fromiter((self._often.get(words[i], -1) for i in some.tolist()), np.int64, len(some))
+                known = bool((place >= 0).all())
             for lo in range(0, len(some), 1024):
                 own = some[lo : lo + 1024]
                 if often:
-                    r, log_c, b = (d[at[own]] for d in self._draws[:3]) if kept else self._drawn(h[own])[:3]
+                    r, log_c, b = (d.take(place[lo : lo + 1024], axis=0) for d in self._draws) if known else self._drawn(h[own])[:3]
                     n = np.floor(np.log(w[own]).astype(np.float32)[:, None] / r + b)
                     bid = log_c - r * (n - b + 1)
                 else:
-                    bid = self._draws[3][at[own]] if kept else self._drawn(h[own])[3]
-                i = bid.argmin(axis=0)
-                got = bid[i, k]
+                    bid = self._bids.take(at[own], axis=0) if kept else self._drawn(h[own])[3]
+                got = bid.min(axis=0)
+                row, sample = np.divmod(np.flatnonzero(bid == got)[::-1], self.samples)
+                i[sample] = row  # the first of equal ones, as it comes last
                 win = got < best
                 best[win], won[win], level[win] = got[win], h[own][i[win]], n[i, k][win].astype(np.int64) if often else 0
         x = (won + level.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)

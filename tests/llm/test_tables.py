@@ -111,3 +111,17 @@ def test_edits_of_one_document_and_of_none(spark):
     some = spark.createDataFrame([(1, "x y"), (1, "x y"), (None, "x z"), (2, None), (2, "")], "doc_id long, text string")
     assert weighted_sampling.with_edits(some).count() == 5
     assert weighted_sampling.fingerprints(some).where("fingerprint rlike '^0+$'").count() == 2
+
+
+def test_samples_do_not_depend_on_what_is_kept(monkeypatch):
+    """Tables of kept draws take less than 24 MB; without room for any, in other orders and with long texts the samples are the same."""
+    texts = [" ".join(f"w{(i * j) % 97 if j % 3 else i * 50 + j}" for j in range(400)).encode() for i in range(40)] + [b"", b"a a A b"]
+    many = [weighted_sampling.text_of(x.fingerprint(c)) for x in [weighted_sampling.Sampler()] for c in x.begin(texts)]
+    own = weighted_sampling.Sampler()
+    assert sum(a.nbytes for x in vars(own).values() for a in (x if isinstance(x, list) else [x]) if isinstance(a, np.ndarray)) < 24 << 20
+    alone = [weighted_sampling.text_of(own.fingerprint(own.begin([t])[0])) for t in reversed(texts)]
+    monkeypatch.setattr(weighted_sampling, "WORDS", 4)
+    monkeypatch.setattr(weighted_sampling, "OFTEN", 2)
+    none = weighted_sampling.Sampler()
+    drawn = [weighted_sampling.text_of(none.fingerprint(none.begin([t])[0])) for t in texts]
+    assert many == alone[::-1] == drawn and many[-2] == "0" * 512
