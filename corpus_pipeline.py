@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import langid, mixing, packing, simhash, suffix_dedup
-from millrace.llm.shared import staged, table
+from millrace.llm.shared import lean, sliced, staged, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -46,7 +46,7 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def _without_repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         texts = []
         for text, spans in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True):
             texts.append(suffix_dedup.kept(text, suffix_dedup.merged(spans)).decode("utf-8", "ignore") if spans else text.decode("utf-8", "ignore"))
@@ -60,7 +60,7 @@ def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     REPEAT_BYTES long; shorter texts lose nothing. Nulls in other columns change nothing.
     """
     marked = suffix_dedup.mark_repeats(docs, ["doc_id", "lang", "source", "n_chars"], length=REPEAT_BYTES, anchor=96)
-    return marked.select(F.col("doc_id").cast("long"), "lang", "source", "n_chars", "text_", "spans_").mapInArrow(_without_repeats, SCHEMA)
+    return marked.select(F.col("doc_id").cast("long"), "lang", "source", "n_chars", "text_", "spans_").mapInArrow(lean(_without_repeats), SCHEMA)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

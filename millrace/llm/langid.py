@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import partitions, staged, table
+from .shared import lean, partitions, staged, table
 
 VOCABULARY = "piece_bpe_32k.model"
 #: About so many documents of each language are learnt from (chosen by a hash of their id); all are, if there are fewer.
@@ -224,7 +224,7 @@ def learn(docs: DataFrame, vocabulary: str | None = None, per_language: int = PE
     share = F.create_map(*[x for k in languages for x in (F.lit(k), F.lit(min(1.0, per_language / found[k])))])
     number = F.create_map(*[x for i, k in enumerate(languages) for x in (F.lit(k), F.lit(i))])
     sample = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
-    words = sample.select(number[F.col("lang")].cast("long").alias("language"), F.col("text").cast("string").alias("text")).mapInArrow(_counted, "language long, word string, n long")
+    words = sample.select(number[F.col("lang")].cast("long").alias("language"), F.col("text").cast("string").alias("text")).mapInArrow(lean(_counted), "language long, word string, n long")
     counts = staged(words.groupBy("language", "word").agg(F.sum("n").alias("n")).repartition(partitions(spark)), "word-counts")
     probabilities = np.full((size, len(languages)), 1.0 / size)
     for _ in range(rounds):
@@ -241,7 +241,7 @@ def learn(docs: DataFrame, vocabulary: str | None = None, per_language: int = PE
             yield pa.RecordBatch.from_arrays([pa.array(piece), pa.array(language), pa.array(total[piece, language])], ["piece", "language", "n"])
 
         # at most a row for each piece and language
-        got = counts.mapInArrow(run, "piece long, language long, n double").groupBy("piece", "language").agg(F.sum(F.round("n", 9).cast("decimal(28,9)")).cast("double").alias("n")).toPandas()
+        got = counts.mapInArrow(lean(run), "piece long, language long, n double").groupBy("piece", "language").agg(F.sum(F.round("n", 9).cast("decimal(28,9)")).cast("double").alias("n")).toPandas()
         total = np.zeros((size, len(languages)))
         total[got["piece"], got["language"]] = got["n"]
         probabilities = smoothed(total)
@@ -252,8 +252,9 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How often each batch has each word, by language."""
     for batch in batches:
         counts: Counter = Counter()
-        for language, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            counts.update((language, w) for w in _WORD.findall(text.lower()))
+        for lo in range(0, batch.num_rows, 128):
+            for language, text in zip(*(c.slice(lo, 128).to_pylist() for c in batch.columns), strict=True):
+                counts.update((language, w) for w in _WORD.findall(text.lower()))
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.int64()), pa.array([k[1] for k in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], ["language", "word", "n"])
 
 
@@ -301,7 +302,7 @@ def identify(docs: DataFrame, model: Model, vocabulary: str | None = None, keep:
 
     rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.col("text").cast("string").alias("text_of_"))
     fields = docs.select(*[F.col(f"`{c}`") for c in kept]).schema.add("lang_pred", "string").add("score", "double")
-    return rows.mapInArrow(run, fields)
+    return rows.mapInArrow(lean(run), fields)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -90,9 +91,11 @@ def mix_sources(docs: DataFrame, weights=(5.0, 2.0, 1.0), most: float = 3.0, slo
     quotas = [min(math.floor(t + 0.5), math.floor(most * s)) for t, s in zip(target, sizes, strict=True)]
     plan = schedule(quotas, slots)
     met = np.bincount(plan["sid"], minlength=len(rows)) if len(plan) else np.zeros(len(rows), int)
-    fields = "source string, sid int, source_size long, target double, quota long, slots long, groups long"
-    sources = spark.createDataFrame([(r["source"], i, sizes[i], target[i], quotas[i], int(met[i]), 1 + r["docs"] // GROUP) for i, r in enumerate(rows)], fields)
-    slots_df = spark.createDataFrame(plan, "slot long, sid int, rank long")
+    # Arrow tables become local rows; rows of Python would start Python workers of another kind on each executor
+    columns = [("source", pa.string()), ("sid", pa.int32()), ("source_size", pa.int64()), ("target", pa.float64()), ("quota", pa.int64()), ("slots", pa.int64()), ("groups", pa.int64())]
+    own = [(r["source"], i, sizes[i], target[i], quotas[i], int(met[i]), 1 + r["docs"] // GROUP) for i, r in enumerate(rows)]
+    sources = spark.createDataFrame(pa.table({name: pa.array([x[i] for x in own], kind) for i, (name, kind) in enumerate(columns)}))
+    slots_df = spark.createDataFrame(pa.table({name: pa.array(plan[name], kind) for name, kind in (("slot", pa.int64()), ("sid", pa.int32()), ("rank", pa.int64()))}))
 
     key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(seed)))
     s = F.broadcast(sources.withColumnRenamed("source", "its"))

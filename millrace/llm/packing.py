@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import staged, table
+from .shared import lean, staged, table
 
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
@@ -102,9 +102,8 @@ def cut_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CA
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = WordCoder(path)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for lo in range(0, len(texts), 256):
-                coded = coder(texts[lo : lo + 256], END)
+            for lo in range(0, batch.num_rows, 256):
+                coded = coder(batch.column(1).slice(lo, 256).to_pylist(), END)
                 counts = np.array([len(c) // 4 for c in coded])
                 n = -(-counts // capacity)
                 doc = np.repeat(np.arange(len(coded)), n)
@@ -121,7 +120,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CA
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     fields = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * ids
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(run, fields)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(lean(run), fields)
 
 
 # -- the cutting-stock problem

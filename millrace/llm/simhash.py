@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import partitions, staged, table
+from .shared import lean, partitions, staged, table
 
 #: The most node pairs that are walked at once.
 FRONTIER = 1 << 17
@@ -74,7 +74,7 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
             fp = np.fromiter((fingerprint(t.as_py() or b"", words) for t in text), np.uint64, len(text))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), "doc_id long, fp long")
 
 
 # -- the trie
@@ -226,7 +226,7 @@ def _joined(keyed: DataFrame, order: Callable, budget: int) -> DataFrame:
             yield from flush(held[0])
 
     dealt = keyed.repartition(partitions(keyed.sparkSession), "way", "key").sortWithinPartitions("way", "key")
-    return dealt.mapInArrow(join, "a long, b long")
+    return dealt.mapInArrow(lean(join), "a long, b long")
 
 
 def finer(ranges: list[tuple[int, int]], shared: int, budget: int) -> list[tuple[list[tuple[int, int]], int]]:
@@ -413,7 +413,7 @@ def _stars_of(rows: DataFrame) -> DataFrame:
             yield out
 
     dealt = rows.select(*place, "node", "label", "pivot", "fp", "shingles").repartition(partitions(rows.sparkSession), *place).sortWithinPartitions(*place)
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(lean(run), "a long, b long")
 
 
 def _meetings(keyed: DataFrame, part_rows: int) -> tuple[DataFrame, bool]:
@@ -490,13 +490,13 @@ def similar_groups(docs: DataFrame, words: int = 5, part_rows: int = PART_ROWS)
                 fps = np.array([majority(x) if len(x) else 0 for x in grams], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([*(pa.array([x[i] for x in ids], pa.int64()) for i in (0, 1)), pa.array(fps), pa.array([x.tobytes() for x in grams], pa.binary())], ["s0", "s1", "fp", "shingles"])
 
-    each = staged(whole.mapInArrow(run, "doc_id long, s0 long, s1 long, size long, keys array<long>"), "shingle-keys")
+    each = staged(whole.mapInArrow(lean(run), "doc_id long, s0 long, s1 long, size long, keys array<long>"), "shingle-keys")
     distinct = each.where("doc_id is not null").groupBy("s0", "s1").agg(F.min("doc_id").alias("node"), F.first("size").alias("size"), F.first("keys").alias("keys"))
     distinct = staged(distinct, "distinct-shingles")
     keyed = distinct.select(F.posexplode("keys").alias("way", "key"), "node", "s0", "s1", "size")
     met, several = _meetings(keyed, part_rows)
     wanted = met.select(F.col("node").alias("doc_id")).distinct()
-    sets = whole.join(wanted, "doc_id", "left_semi").select("text").mapInArrow(load, "s0 long, s1 long, fp long, shingles binary")
+    sets = whole.join(wanted, "doc_id", "left_semi").select("text").mapInArrow(lean(load), "s0 long, s1 long, fp long, shingles binary")
     sets = sets.groupBy("s0", "s1").agg(F.first("fp").alias("fp"), F.first("shingles").alias("shingles"))
     sets = staged(sets, "sets") if several else sets
     rows = met.select("way", "key", "part", F.lit(0).alias("block"), "node", F.col("node").alias("label"), "s0", "s1", F.lit(True).alias("pivot"))
