@@ -34,7 +34,7 @@ class RunIndex:
         ends = np.cumsum(sizes + 1) - 1
         text = np.repeat(np.arange(len(texts)), sizes + 1)
         end = ends[text]
-        order = suffix_order(data, end, text)
+        order = suffix_order(data, end)
         left = data[order - 1].astype(np.int16)
         left[np.isin(order, np.concatenate([[0], ends[:-1] + 1]))] = -1  # what precedes a text's start equals nothing
         turn = np.flatnonzero((left[1:] != left[:-1]) | (left[1:] < 0))
@@ -52,14 +52,12 @@ class RunIndex:
     def matching_statistics(self) -> np.ndarray:
         """For each position, how many bytes from there on occur at another position too (matches stay inside texts)."""
         at = np.arange(self.n)
-        out = np.zeros(self.n, np.int64)
+        reach = at.copy()  # past the last byte of the longest match
         for samples, shared in ((self.heads, self.above), (self.tails, self.below)):
-            if not len(samples):
-                continue
-            last = np.searchsorted(samples, at, side="right") - 1
-            seen = last >= 0
-            out[seen] = np.maximum(out[seen], shared[last[seen]] - (at[seen] - samples[last[seen]]))
-        return out
+            if len(samples):
+                onward = np.repeat(samples + shared, np.diff(samples, append=self.n))
+                np.maximum(reach[samples[0] :], onward, out=reach[samples[0] :])
+        return reach - at
 
 
 def common(data: np.ndarray, end: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -82,38 +80,41 @@ def common(data: np.ndarray, end: np.ndarray, i: np.ndarray, j: np.ndarray) -> n
     return np.minimum(out, most)
 
 
-def suffix_order(data: np.ndarray, end: np.ndarray, text: np.ndarray) -> np.ndarray:
-    """Suffixes sorted by their bytes up to their text's end, equal ones by text: prefix doubling over the groups still tied."""
+def suffix_order(data: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Suffixes sorted by their bytes up to their text's end, equal ones by text: the sorted length grows threefold (twofold where three ranks need
+    more than 63 bits) over the groups still tied."""
     n = len(data)
     at = np.arange(n)
-    first = np.zeros(n, np.int64)
-    for j in range(7):
-        symbol = np.zeros(n, np.int64)
-        symbol[: n - j] = data[j:].astype(np.int64) + 1
-        first = (first << 9) | np.where(at + j < end, symbol, 0)
+    left = end - at
+    first = np.where(left > 0, data.astype(np.int64) + 1, 0)
+    for have, more in ((1, 1), (2, 2), (4, 3)):
+        # the first ``have`` symbols of 9 bits, then ``more`` symbols of the suffix that follows them
+        then = np.zeros(n, np.int64)
+        then[: max(n - have, 0)] = first[have:] >> (9 * (have - more))
+        first = (first << (9 * more)) | np.where(left > have, then, 0)
     order = np.argsort(first)
+    ends = np.flatnonzero(left == 0)
+    order[: len(ends)] = ends  # the empty suffixes come first, by text
     new = np.concatenate([[True], first[order[1:]] != first[order[:-1]]])
+    new[: len(ends) + 1] = True
     rank = np.empty(n, np.int64)
-    rank[order] = np.maximum.accumulate(np.where(new, at, 0))
-    slots = at
-    h = 7
+    slots, own, r = at, order.copy(), np.maximum.accumulate(np.where(new, at, 0))
+    rank[own] = r
+    h, times = 7, 3 if n < 1 << 21 else 2
     while True:
         # slots of the groups with more than one suffix; a group's rank is its first slot
-        r = rank[order[slots]]
-        same = r[1:] == r[:-1]
-        tied = np.zeros(len(slots), bool)
-        tied[1:] |= same
-        tied[:-1] |= same
-        slots = slots[tied]
-        if not len(slots):
+        tied = ~new
+        tied[:-1] |= ~new[1:]
+        if not tied.any():
             return order
-        own = order[slots]
-        r = rank[own]
-        beyond = own + h > end[own]
-        second = np.where(beyond, text[own], rank[np.minimum(own + h, n - 1)])
-        resort = np.argsort(r * (n + 1) + second)
-        own, r, second = own[resort], r[resort], second[resort]
+        slots, own, by = slots[tied], own[tied], r[tied]
+        past = end[own]
+        for k in range(1, times):
+            by = by * (n + 1) + rank[np.minimum(own + k * h, past)]
+        resort = np.argsort(by)
+        own, by = own[resort], by[resort]
         order[slots] = own
-        new = np.concatenate([[True], (r[1:] != r[:-1]) | (second[1:] != second[:-1])])
-        rank[own] = np.maximum.accumulate(np.where(new, slots, 0))
-        h *= 2
+        new = np.concatenate([[True], by[1:] != by[:-1]])
+        r = np.maximum.accumulate(np.where(new, slots, 0))
+        rank[own] = r
+        h *= times

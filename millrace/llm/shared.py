@@ -6,6 +6,7 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,6 +42,14 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unstage(*tables: DataFrame) -> None:
+    """Delete staged tables before the application's end; nothing that is still to run may read them."""
+    for df in tables:
+        for folder in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(unquote(folder))
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def drop_staged(spark: SparkSession) -> None:
     """Delete this application's staged tables; results that still read them must have been written before."""
     at = spark._jvm.org.apache.hadoop.fs.Path(_staging(spark))

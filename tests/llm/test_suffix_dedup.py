@@ -149,3 +149,44 @@ def test_a_twin_adds_one_sample():
     every = texts + [t for t, two in zip(texts, twins) if two]
     assert got.tolist() == RunIndex.build(every).matching_statistics()[: len(got)].tolist()
     assert len(RunIndex.build(texts, [True] * 20).tails) == 20
+
+
+@pytest.mark.parametrize("most", [512, 4, 1])
+def test_passages_against_brute_force(spark, most):
+    """Both lengths at once; the shorter one is found inside, across and outside of what the longer one removes."""
+    texts, rng = corpus(2), random.Random(2)
+    shared = texts[4] or ""
+    for i in range(60, 100):
+        own = ["".join(rng.choice("abcdé ") for _ in range(rng.randint(0, 40))) for _ in range(3)]
+        at = [rng.randint(0, 40) for _ in range(2)]
+        texts[i] = f"{own[0]}{shared[at[0] : at[0] + rng.randint(30, 70)]}{own[1]}{own[1][::-1]}{shared[at[1] : at[1] + rng.randint(30, 45)]}{own[2]}"
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    marked = suffix_dedup.mark_repeats(df, ["doc_id"], length=60, anchor=16, most=most, passages=(36, 8))
+    got = {r["doc_id"]: r for r in marked.mapInArrow(suffix_dedup._digest, f"{suffix_dedup.DIGEST}, {suffix_dedup.PASSAGES}").collect()}
+    assert set(got) == set(texts)
+    long, short = brute(texts, 60), brute(texts, 36)
+    for k, r in got.items():
+        data = (texts[k] or "").encode()
+        for flags, count, left in ((long[k], "n_removed", "text"), (short[k], "n_repeated", "unrepeated_text")):
+            keep = bytes(b for b, f in zip(data, flags) if not f)
+            assert (r[count], r[left]) == (sum(flags), keep.decode("utf-8", "ignore")), k
+    assert sum(map(sum, short.values())) > sum(map(sum, long.values())) + 500 > 1000
+
+
+def test_passages_of_over_50_words(spark, tmp_path):
+    """A passage of 51 words has 300 bytes or so: the contract's 400 leave it, the text without repeated passages must not have it."""
+    rng = random.Random(9)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 7))) for _ in range(n))
+    passages = [prose(51) for _ in range(5)]
+    clean = {i: prose(200) for i in range(20)}
+    planted = {100 + i: f"{prose(90)} {passages[i % 5]} {prose(90)}" for i in range(20)}
+    spark.createDataFrame([*clean.items(), *planted.items()], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in suffix_dedup.op4_suffix_dedup(spark, str(tmp_path)).collect()}
+    assert all(240 < len(p) < 400 for p in passages)
+    for k, text in clean.items():
+        assert (got[k]["n_repeated"], got[k]["unrepeated_text"]) == (0, text)
+    for k, text in planted.items():
+        passage = passages[k % 5]
+        assert (got[k]["n_removed"], got[k]["text"]) == (0, text)
+        assert passage not in got[k]["unrepeated_text"]
+        assert len(passage) <= got[k]["n_repeated"] <= len(passage) + 10
