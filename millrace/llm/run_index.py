@@ -97,8 +97,9 @@ def suffix_order(data: np.ndarray, end: np.ndarray) -> np.ndarray:
     order[: len(ends)] = ends  # the empty suffixes come first, by text
     new = np.concatenate([[True], first[order[1:]] != first[order[:-1]]])
     new[: len(ends) + 1] = True
-    rank = np.empty(n, np.int64)
-    slots, own, r = at, order.copy(), np.maximum.accumulate(np.where(new, at, 0))
+    small = np.int32 if n < 1 << 30 else np.int64
+    rank, end = np.empty(n, small), end.astype(small)
+    slots, own, r = at, order.astype(small), np.maximum.accumulate(np.where(new, at, 0))
     rank[own] = r
     h, times = 7, 3 if n < 1 << 21 else 2
     while True:
@@ -110,7 +111,7 @@ def suffix_order(data: np.ndarray, end: np.ndarray) -> np.ndarray:
         slots, own, by = slots[tied], own[tied], r[tied]
         past = end[own]
         for k in range(1, times):
-            by = by * (n + 1) + rank[np.minimum(own + k * h, past)]
+            by = by * (n + 1) + rank[np.minimum(own + small(min(k * h, n)), past)]
         resort = np.argsort(by)
         own, by = own[resort], by[resort]
         order[slots] = own

@@ -176,13 +176,16 @@ def _part(length: int, slack: int) -> Callable:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of each text's wanted segments."""
+    """The bytes of each text's wanted segments; of equal rows that follow one another (as they do after a sorted join) one is enough."""
     kinds = {"key": pa.int64(), "sig": pa.int64(), "which": pa.int32(), "copies": pa.int64(), "crowded": pa.bool_(), "off": pa.int64(), "more": pa.int64()}
+    last = None
     for batch in batches:
-        text, wanted = batch.column(0), batch.column(1)
+        text, wanted, ids = batch.column(2), batch.column(3), list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
         rows: dict[str, list] = {k: [] for k in (*kinds, "bytes")}
         for i in range(batch.num_rows):
-            whole = text[i].as_py()
+            if ids[i] == last:
+                continue
+            last, whole = ids[i], text[i].as_py()
             for w in wanted[i].as_py():
                 for k in kinds:
                     rows[k].append(w[k])
@@ -254,14 +257,15 @@ def _repeated(keyed: DataFrame, found: DataFrame, length: int, slack: int, most:
     wanted = rated.select("key", "sig", "copies", "crowded", F.posexplode(two).alias("which", "at"))
     wanted = wanted.select("at.d1", "at.d2", F.struct("key", "sig", "which", "copies", "crowded", "at.off", "at.more", "at.first", (F.col("at.first") + F.col("at.more") + length).alias("past")).alias("w"))
     wanted = wanted.groupBy("d1", "d2").agg(F.collect_list("w").alias("wanted"))
-    cut = keyed.join(wanted, ["d1", "d2"]).select("text", "wanted").mapInArrow(lean(_cut), "key long, sig long, which int, copies long, crowded boolean, off long, more long, bytes binary")
+    cut = keyed.join(wanted, ["d1", "d2"]).select("d1", "d2", "text", "wanted").mapInArrow(lean(_cut), "key long, sig long, which int, copies long, crowded boolean, off long, more long, bytes binary")
     cut = staged(cut, "segment-bytes")
     unstage(distinct)
-    one = cut.dropDuplicates(["key", "sig", "which"])  # of equal rows one is enough
-    dealt = one.where("not crowded").select("key", "sig", "bytes").repartition(n, "key").sortWithinPartitions("key", "sig")
+    # dealt by key first, so that dropping equal rows needs no shuffle of its own
+    dealt = cut.where("not crowded").select("key", "sig", "which", "bytes").repartition(n, "key").dropDuplicates(["key", "sig", "which"])
+    dealt = dealt.select("key", "sig", "bytes").sortWithinPartitions("key", "sig")
     verdict = dealt.mapInArrow(lean(_index(length)), "key long, sig long, lo long, hi long")
     if several:
-        parents = staged(one.where("crowded"), "crowded-segments")
+        parents = staged(cut.where("crowded").dropDuplicates(["key", "sig"]), "crowded-segments")
         finer = staged(parents.select("key", "sig", "copies", "off", "more", "bytes").mapInArrow(lean(_part(length, slack)), SEGMENTS), "parted-segments")
         finer = _repeated(parents.select(F.col("key").alias("d1"), F.col("sig").alias("d2"), F.col("bytes").alias("text")), finer, length, slack // PARTS, most)
         verdict = verdict.unionAll(finer.select(F.col("d1").alias("key"), F.col("d2").alias("sig"), "lo", "hi"))
